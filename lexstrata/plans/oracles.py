@@ -70,8 +70,8 @@ e0 AS (SELECT {key}, {text} AS t FROM {table}),
 e1 AS (SELECT {key}, tok, count(*) AS k FROM (SELECT {key}, unnest(regexp_extract_all({LOW.format("t")}, '[a-z0-9]{{2,}}')) AS tok FROM e0) GROUP BY ALL),
 voc AS (SELECT tok, {slot("tok")} AS a, {slot("(tok || '#2')")} AS b FROM (SELECT DISTINCT tok FROM e1)),
 e2 AS (SELECT {key}, a AS pos, k * 1.0 AS x FROM e1 JOIN voc USING (tok) UNION ALL SELECT {key}, b, k * 0.5 FROM e1 JOIN voc USING (tok) UNION ALL
-  SELECT {key}, (CASE WHEN v >= 128 THEN v - 256 ELSE v END + 128) % 128, 0.05 FROM (SELECT {key}, CAST(('0x' || h[i]) AS INT) AS v FROM
-  (SELECT {key}, regexp_extract_all(hex(encode(t)), '..') AS h, unnest(range(1, strlen(t) + 1, 7)) AS i FROM e0))),
+  SELECT {key}, (CASE WHEN v >= 128 THEN v - 256 ELSE v END + 128) % 128, 0.05 FROM (SELECT {key}, CAST(('0x' || h) AS INT) AS v FROM
+  (SELECT {key}, unnest(regexp_extract_all(hex(encode(t)), '(..).{{0,12}}', 1)) AS h FROM e0))),
 e3 AS (SELECT {key}, pos, sum(x) AS x FROM e2 GROUP BY ALL),
 emb AS (SELECT {key}, pos, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS v FROM e3)"""
 
