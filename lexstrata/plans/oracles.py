@@ -117,10 +117,10 @@ INDIA = scored("scope", f"SELECT * FROM ({ALL}) WHERE dataset_id = 1 AND topic =
 def interval(v: str = "p_ai") -> str:
     err = f"CASE WHEN count({v}) = 0 THEN 0.0 ELSE 1.96 * CASE WHEN count({v}) < 2 THEN 0.08 ELSE stddev_samp({v}) / sqrt(count({v})) END END"
     m = f"coalesce(avg({v}), 0.0)"
-    return f"round({m}, 4) AS mean, round({clip(f'{m} - {err}')}, 4) AS low, round({clip(f'{m} + {err}')}, 4) AS high"
+    return f"round(round({m}, 6), 4) AS mean, round(round({clip(f'{m} - {err}')}, 6), 4) AS low, round(round({clip(f'{m} + {err}')}, 6), 4) AS high"
 
 
-SUMMARY = f"""SELECT count(*) AS documents, count(p_ai) AS scored, {interval()}, round(coalesce(sum(p_ai * word_count) / nullif(sum(word_count), 0), 0.0), 4) AS word_share,
+SUMMARY = f"""SELECT count(*) AS documents, count(p_ai) AS scored, {interval()}, round(round(coalesce(sum(p_ai * word_count) / nullif(sum(word_count), 0), 0.0), 6), 4) AS word_share,
 count(*) FILTER (band = 'LIKELY_AI') AS likely_ai, count(*) FILTER (band = 'UNCERTAIN') AS uncertain, count(*) FILTER (band = 'LIKELY_HUMAN') AS likely_human FROM scored"""
 YEARS = "yr AS (SELECT year, count(*) AS documents, round(avg(p_ai), 6) AS mean FROM scored WHERE year >= 2015 GROUP BY year)"
 PAIRS = """WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS l FROM embeddings),
@@ -161,7 +161,7 @@ ORACLES = {
     "evidence_ranked": f"{VIEW}, e AS (SELECT id, round(" + " + ".join(f"CASE WHEN contains({LOW.format(chr(40) + 'title || chr(32) || topic || chr(32) || chr(32) || source' + chr(41))}, '{t}') THEN 4.0 ELSE 0.0 END" for t in ("which", "src7", "pages", "about", "india")) + " + abs(p_ai - 0.5) * 2 + CASE WHEN band = 'LIKELY_AI' THEN 0.5 ELSE 0.0 END, 6) AS s, band FROM scored) SELECT id, round(s, 4) AS score, band FROM e ORDER BY s DESC, id LIMIT 8",
     "era_sample": f"{DS}, {DATED}, t AS (SELECT {TOPIC} AS topic, id, date FROM rec), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY date, id) - 1 AS r, count(*) OVER (PARTITION BY topic) AS n FROM t WHERE topic <> '') SELECT topic, id FROM r WHERE n <= 50 OR r IN (SELECT i * (n - 1) // 49 FROM range(50) x(i))",
     "year_rise": f"{VIEW}, {YEARS}, b AS (SELECT year, mean, (SELECT count(*) FROM yr q WHERE q.year < yr.year) AS k, (SELECT max(mean) FROM yr q WHERE q.year < yr.year) AS mx, (SELECT quantile_cont(mean, 0.5) FROM yr q WHERE q.year < yr.year) AS md FROM yr) SELECT min(year) AS rise_year FROM b WHERE mean >= 0.4 AND k > 0 AND (mx < 0.3 OR md < 0.3)",
-    "era_compare_sept": f"{VIEW}, x AS (SELECT p_ai, CASE WHEN regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN date >= '2019-09-01' ELSE year > 2019 END AS late FROM scored WHERE date <> '' AND year > 0 AND date <> '2019') SELECT count(*) FILTER (NOT late) AS n_before, count(*) FILTER (late) AS n_after, round(avg(p_ai) FILTER (NOT late), 4) AS mean_before, round(avg(p_ai) FILTER (late), 4) AS mean_after FROM x",
+    "era_compare_sept": f"{VIEW}, x AS (SELECT p_ai, CASE WHEN regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN date >= '2019-09-01' ELSE year > 2019 END AS late FROM scored WHERE date <> '' AND year > 0 AND date <> '2019') SELECT count(*) FILTER (NOT late) AS n_before, count(*) FILTER (late) AS n_after, round(round(avg(p_ai) FILTER (NOT late), 6), 4) AS mean_before, round(round(avg(p_ai) FILTER (late), 6), 4) AS mean_after FROM x",
     "url_normalize": f"WITH {NORMAL.format(src='pages')} SELECT page_id, normal, host, regexp_replace(normal, '^https?://(www\\.)?', '') AS key, true AS public FROM nw",
     "url_dedup": f"WITH v AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'https://' || regexp_replace(url, '^https?://', '') FROM pages UNION ALL SELECT page_id, url || '/' FROM pages), {NORMAL.format(src='v')} SELECT regexp_replace(normal, '^https?://(www\\.)?', '') AS key, min(page_id) AS first_page, count(*) AS n FROM nw GROUP BY 1",
     "crawl_frontier": "WITH RECURSIVE r AS (SELECT page_id AS page, 0 AS depth FROM pages WHERE page_id = 0 UNION ALL SELECT p.page_id, depth + 1 FROM r JOIN pages p ON p.page_id IN (r.page * 2 + 1, r.page * 2 + 2) WHERE depth < 4) SELECT page, depth FROM r",
