@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexstrata.fixtures import CORPUS_SQL, DATASETS_SQL
 from lexstrata.functions.text import STOCK_PHRASES, TOPIC_MARKS
+from lexstrata.operators.reports import SUBJECTS, TRAITS
 from lexstrata.plans.queries import FILLERS
 
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,6 +132,18 @@ GUESS = "CASE " + " ".join("WHEN " + " OR ".join(hit(m) for m in marks) + f" THE
 NORMAL = r"""nu AS (SELECT page_id, url, lower(regexp_extract(url, '^([^:/]*)://', 1)) AS sch, regexp_replace(url, '^[^:/]*://', '') AS rest FROM {src}),
 nv AS (SELECT *, lower(regexp_extract(rest, '^([^/?:]*)', 1)) AS host, regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+', '/', 'g') AS path, regexp_extract(rest, '\?(.*)$', 1) AS qs FROM nu),
 nw AS (SELECT *, sch || '://' || host || CASE WHEN path IN ('', '/') THEN '/' ELSE rtrim(path, '/') END || CASE WHEN qs = '' THEN '' ELSE '?' || qs END AS normal FROM nv)"""
+SUBJECT = "CASE " + " ".join(f"WHEN regexp_matches(lower(title || ' ' || substr(text, greatest(length(text) - 39, 1), 40)), '{p}') THEN '{n}'" for n, p in SUBJECTS) + " ELSE '' END"
+WIKI = scored("dataset_id", f"SELECT * EXCLUDE (topic), {TOPIC} AS topic FROM corpus0 WHERE dataset_id = 1")
+POOLS = "pools AS (SELECT topic, count(*) AS documents, count(*) FILTER (year > 0) AS dated, count(*) FILTER (year > 0 AND year < 2019) AS before_pool, count(*) FILTER (year >= 2019) AS after_pool FROM {src} WHERE topic <> '' GROUP BY topic HAVING count(*) >= 100)"
+COHORT = f"""{WIKI}, {POOLS.format(src="scored")},
+pick AS (SELECT *, year >= 2019 AS late, row_number() OVER (PARTITION BY topic, year >= 2019 ORDER BY date, id) - 1 AS r, count(*) OVER (PARTITION BY topic, year >= 2019) AS n
+  FROM scored WHERE year > 0 AND topic IN (SELECT topic FROM pools WHERE before_pool >= 50 AND after_pool >= 50)),
+smp AS (SELECT * FROM pick WHERE r IN (SELECT i * (n - 1) // 49 FROM range(50) x(i))),
+mid AS (SELECT topic, pos, sum(v) AS x FROM smp JOIN emb USING (id) WHERE NOT late GROUP BY ALL),
+far AS (SELECT smp.id, 1 - sum(v * coalesce(x, 0)) / any_value(nn) AS _far FROM smp JOIN emb USING (id) LEFT JOIN mid USING (topic, pos)
+  JOIN (SELECT topic, sqrt(sum(x * x)) AS nn FROM mid GROUP BY topic) USING (topic) GROUP BY smp.id),
+tr AS (SELECT topic, unnest([{", ".join(f"'{k}'" for k, _, _ in TRAITS)}]) AS trait, unnest([{", ".join(f"coalesce(avg({c}) FILTER (NOT late), 0.0)" for _, c, _ in TRAITS)}]) AS b,
+  unnest([{", ".join(f"coalesce(avg({c}) FILTER (late), 0.0)" for _, c, _ in TRAITS)}]) AS a, unnest([{", ".join(str(u).lower() for _, _, u in TRAITS)}]) AS up FROM smp JOIN far USING (id) GROUP BY topic)"""
 DS = f"WITH corpus0 AS ({CORPUS_SQL}), ds AS ({DATASETS_SQL}), c AS (SELECT * FROM corpus0)"
 
 ORACLES = {
@@ -162,6 +175,10 @@ ORACLES = {
     "era_sample": f"{DS}, {DATED}, t AS (SELECT {TOPIC} AS topic, id, date FROM rec), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY date, id) - 1 AS r, count(*) OVER (PARTITION BY topic) AS n FROM t WHERE topic <> '') SELECT topic, id FROM r WHERE n <= 50 OR r IN (SELECT i * (n - 1) // 49 FROM range(50) x(i))",
     "year_rise": f"{VIEW}, {YEARS}, b AS (SELECT year, mean, (SELECT count(*) FROM yr q WHERE q.year < yr.year) AS k, (SELECT max(mean) FROM yr q WHERE q.year < yr.year) AS mx, (SELECT quantile_cont(mean, 0.5) FROM yr q WHERE q.year < yr.year) AS md FROM yr) SELECT min(year) AS rise_year FROM b WHERE mean >= 0.4 AND k > 0 AND (mx < 0.3 OR md < 0.3)",
     "era_compare_sept": f"{VIEW}, x AS (SELECT p_ai, CASE WHEN regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN date >= '2019-09-01' ELSE year > 2019 END AS late FROM scored WHERE date <> '' AND year > 0 AND date <> '2019') SELECT count(*) FILTER (NOT late) AS n_before, count(*) FILTER (late) AS n_after, round(round(avg(p_ai) FILTER (NOT late), 6), 4) AS mean_before, round(round(avg(p_ai) FILTER (late), 6), 4) AS mean_after FROM x",
+    "subject_mix": f"{VIEW}, g AS (SELECT {SUBJECT} AS subject, p_ai FROM scored) SELECT subject, count(*) AS documents, round(round(count(*) / (SELECT count(*) FROM g), 6), 4) AS share, round(round(avg(p_ai), 6), 4) AS mean FROM g WHERE subject <> '' GROUP BY subject",
+    "year_span_mode": f"{DS}, {DATED}, y AS (SELECT year, count(*) AS n FROM rec WHERE year > 0 GROUP BY year) SELECT CAST(sum(n) AS BIGINT) AS dated, CAST(min(year) AS INT) AS first, CAST(max(year) AS INT) AS last, (SELECT CAST(year AS INT) FROM y ORDER BY n DESC, year LIMIT 1) AS mode_year, round(round(max(n) / sum(n), 6), 4) AS peak_share, max(n) / sum(n) >= 0.6 AS peaked FROM y",
+    "era_cohort_pools": f"{DS.replace('SELECT * FROM corpus0', f'SELECT * EXCLUDE (topic), {TOPIC} AS topic FROM corpus0 WHERE dataset_id = 1')}, {DATED}, {POOLS.format(src='rec')} SELECT *, least(before_pool, after_pool) >= 50 AS ready FROM pools",
+    "era_cohort_traits": f"{COHORT} SELECT topic, trait, round(round(b, 6), 4) AS before, round(round(a, 6), 4) AS after, CASE WHEN up THEN round(a, 6) - round(b, 6) > 0.02 ELSE round(b, 6) - round(a, 6) > 0.02 END AS ai_like FROM tr",
     "url_normalize": f"WITH {NORMAL.format(src='pages')} SELECT page_id, normal, host, regexp_replace(normal, '^https?://(www\\.)?', '') AS key, true AS public FROM nw",
     "url_dedup": f"WITH v AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'https://' || regexp_replace(url, '^https?://', '') FROM pages UNION ALL SELECT page_id, url || '/' FROM pages), {NORMAL.format(src='v')} SELECT regexp_replace(normal, '^https?://(www\\.)?', '') AS key, min(page_id) AS first_page, count(*) AS n FROM nw GROUP BY 1",
     "crawl_frontier": "WITH RECURSIVE r AS (SELECT page_id AS page, 0 AS depth FROM pages WHERE page_id = 0 UNION ALL SELECT p.page_id, depth + 1 FROM r JOIN pages p ON p.page_id IN (r.page * 2 + 1, r.page * 2 + 2) WHERE depth < 4) SELECT page, depth FROM r",

@@ -9,7 +9,7 @@ from lexstrata.fixtures import corpus, datasets
 from lexstrata.functions import urls
 from lexstrata.functions.embed import byte_entropy, centroids, cosine, hashed_embedding
 from lexstrata.functions.text import STOCK_PHRASES, ascii_lower, detectors, document_date, guess_topic, recency_signal, style_features, year_of_date
-from lexstrata.operators import catalog, graph, score, views
+from lexstrata.operators import catalog, graph, reports, score, views
 from lexstrata.sources import ingest
 
 # Words that don't count as shared wording.
@@ -169,6 +169,30 @@ def era_compare_sept(spark, sf):
     return _four(catalog.era_compare(_view(spark, sf)))
 
 
+def subject_mix(spark, sf):
+    rows = _view(spark, sf)
+    ends = F.expr("substring(text, greatest(length(text) - 39, 1), 40)")
+    return _four(reports.subject_mix(rows.withColumn("subject", reports.subject_of(F.concat_ws(" ", "title", ends)))))
+
+
+def year_span_mode(spark, sf):
+    d = document_date()
+    return _four(reports.year_span(corpus(spark, sf).select(year_of_date(d).alias("year"))))
+
+
+def _cohort_rows(spark, sf):
+    wiki = corpus(spark, sf).where("dataset_id = 1").withColumn("topic", views.country_topic(F.col("topic")))
+    return wiki.withColumn("date", document_date()).withColumn("year", year_of_date(F.col("date")))
+
+
+def era_cohort_pools(spark, sf):
+    return reports.cohort_pools(_cohort_rows(spark, sf))
+
+
+def era_cohort_traits(spark, sf):
+    return _four(reports.cohort_traits(score.era_scores(score.featured(_cohort_rows(spark, sf)))))
+
+
 def url_normalize(spark, sf):
     u = F.col("url")
     return _t(spark, sf, "pages").select("page_id", urls.normalize_url(u).alias("normal"), urls.host_of(u).alias("host"), urls.dedup_key(u).alias("key"), urls.is_public(u).alias("public"))
@@ -224,7 +248,7 @@ QUERIES = {
     for f in (
         summary_documents, summary_topic_view, doc_style, doc_entropy, doc_detectors, doc_topic_guess, doc_dates, doc_hashed_embedding, stock_phrase_df, vec_centroid_by_label,
         vec_anomaly, knn_edges_vec, graph_visible_edges, graph_undirected, graph_mean_aggregate, era_scores, breakdown_source, breakdown_topic, breakdown_time, topics_list,
-        examples_by_band, group_fold, ai_common_words, strongest_signal, evidence_ranked, era_sample, year_rise, era_compare_sept, url_normalize, url_dedup, crawl_frontier,
+        examples_by_band, group_fold, ai_common_words, strongest_signal, evidence_ranked, era_sample, year_rise, era_compare_sept, subject_mix, year_span_mode, era_cohort_pools, era_cohort_traits, url_normalize, url_dedup, crawl_frontier,
         jsonl_ingest, news_ingest, catalog_delete_cascade, short_doc_delete, revision_backfill, run_progress,
     )
 }
