@@ -91,3 +91,16 @@ def cohort_traits(docs: DataFrame, least: int = 100, size: int = 50) -> DataFram
     pairs = [F.struct(F.lit(k).alias("trait"), F.col(f"{k}_False").alias("before"), F.col(f"{k}_True").alias("after"), F.lit(up).alias("up")) for k, _, up in TRAITS]
     more, fewer = F.col("after") - F.col("before") > TRAIT_MARGIN, F.col("before") - F.col("after") > TRAIT_MARGIN
     return means.select("topic", F.inline(F.array(*pairs))).select("topic", "trait", "before", "after", F.when(F.col("up"), more).otherwise(fewer).alias("ai_like"))
+
+
+def merge_breakdown(rows: DataFrame) -> DataFrame:
+    """Partial breakdown rows (key, documents, mean, low, high) as one for each key.
+
+    Means are weighted by documents and rounded once; rows with a null mean count as documents
+    only. The range spans all partial ranges. Rows without a key go.
+    """
+    weight = F.when(F.col("mean").isNotNull(), F.col("documents"))
+    return rows.where("key <> ''").groupBy("key").agg(
+        F.sum("documents").alias("documents"), F.round(F.try_divide(F.sum(F.col("mean") * weight), F.sum(weight)), 6).alias("mean"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
+    )

@@ -177,6 +177,7 @@ ORACLES = {
     "era_compare_sept": f"{VIEW}, x AS (SELECT p_ai, CASE WHEN regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN date >= '2019-09-01' ELSE year > 2019 END AS late FROM scored WHERE date <> '' AND year > 0 AND date <> '2019') SELECT count(*) FILTER (NOT late) AS n_before, count(*) FILTER (late) AS n_after, round(round(avg(p_ai) FILTER (NOT late), 6), 4) AS mean_before, round(round(avg(p_ai) FILTER (late), 6), 4) AS mean_after FROM x",
     "subject_mix": f"{VIEW}, g AS (SELECT {SUBJECT} AS subject, p_ai FROM scored) SELECT subject, count(*) AS documents, round(round(count(*) / (SELECT count(*) FROM g), 6), 4) AS share, round(round(avg(p_ai), 6), 4) AS mean FROM g WHERE subject <> '' GROUP BY subject",
     "year_span_mode": f"{DS}, {DATED}, y AS (SELECT year, count(*) AS n FROM rec WHERE year > 0 GROUP BY year) SELECT CAST(sum(n) AS BIGINT) AS dated, CAST(min(year) AS INT) AS first, CAST(max(year) AS INT) AS last, (SELECT CAST(year AS INT) FROM y ORDER BY n DESC, year LIMIT 1) AS mode_year, round(round(max(n) / sum(n), 6), 4) AS peak_share, max(n) / sum(n) >= 0.6 AS peaked FROM y",
+    "breakdown_merge": "WITH p AS (SELECT source, lang, count(*) AS n, round(avg(n_chars % 100 / 100), 6) AS m, min(n_chars % 100 / 100) AS lo, max(n_chars % 100 / 100) AS hi FROM documents GROUP BY ALL) SELECT source AS key, CAST(sum(n) AS BIGINT) AS documents, round(round(sum(m * n) / sum(n), 6), 4) AS mean, round(min(lo), 4) AS low, round(max(hi), 4) AS high FROM p WHERE source <> '' GROUP BY source",
     "era_cohort_pools": f"{DS.replace('SELECT * FROM corpus0', f'SELECT * EXCLUDE (topic), {TOPIC} AS topic FROM corpus0 WHERE dataset_id = 1')}, {DATED}, {POOLS.format(src='rec')} SELECT *, least(before_pool, after_pool) >= 50 AS ready FROM pools",
     "era_cohort_traits": f"{COHORT} SELECT topic, trait, round(round(b, 6), 4) AS before, round(round(a, 6), 4) AS after, CASE WHEN up THEN round(a, 6) - round(b, 6) > 0.02 ELSE round(b, 6) - round(a, 6) > 0.02 END AS ai_like FROM tr",
     "url_normalize": f"WITH {NORMAL.format(src='pages')} SELECT page_id, normal, host, regexp_replace(normal, '^https?://(www\\.)?', '') AS key, true AS public FROM nw",

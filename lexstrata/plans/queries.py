@@ -180,6 +180,12 @@ def year_span_mode(spark, sf):
     return _four(reports.year_span(corpus(spark, sf).select(year_of_date(d).alias("year"))))
 
 
+def breakdown_merge(spark, sf):
+    x = F.col("n_chars") % 100 / 100
+    parts = _t(spark, sf, "documents").groupBy(F.col("source").alias("key"), "lang").agg(F.count("*").alias("documents"), F.round(F.avg(x), 6).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high"))
+    return _four(reports.merge_breakdown(parts))
+
+
 def _cohort_rows(spark, sf):
     wiki = corpus(spark, sf).where("dataset_id = 1").withColumn("topic", views.country_topic(F.col("topic")))
     return wiki.withColumn("date", document_date()).withColumn("year", year_of_date(F.col("date")))
@@ -248,7 +254,7 @@ QUERIES = {
     for f in (
         summary_documents, summary_topic_view, doc_style, doc_entropy, doc_detectors, doc_topic_guess, doc_dates, doc_hashed_embedding, stock_phrase_df, vec_centroid_by_label,
         vec_anomaly, knn_edges_vec, graph_visible_edges, graph_undirected, graph_mean_aggregate, era_scores, breakdown_source, breakdown_topic, breakdown_time, topics_list,
-        examples_by_band, group_fold, ai_common_words, strongest_signal, evidence_ranked, era_sample, year_rise, era_compare_sept, subject_mix, year_span_mode, era_cohort_pools, era_cohort_traits, url_normalize, url_dedup, crawl_frontier,
+        examples_by_band, group_fold, ai_common_words, strongest_signal, evidence_ranked, era_sample, year_rise, era_compare_sept, subject_mix, year_span_mode, breakdown_merge, era_cohort_pools, era_cohort_traits, url_normalize, url_dedup, crawl_frontier,
         jsonl_ingest, news_ingest, catalog_delete_cascade, short_doc_delete, revision_backfill, run_progress,
     )
 }

@@ -21,3 +21,8 @@ def test_cohorts(spark):
     assert len(got) == 9 and got["p_ai"].ai_like and not got["burstiness"].ai_like
     assert got["pre2019_centroid_distance"].before == 0 and round(got["pre2019_centroid_distance"].after, 4) == 0.2929
     assert reports.cohort_traits(docs, least=100).count() == 0
+
+
+def test_merge_breakdown(spark):
+    rows = spark.createDataFrame([("a", 1, 0.2, 0.1, 0.3), ("a", 3, 0.6, 0.5, 0.9), ("a", 5, None, None, None), ("b", 2, None, None, None), ("", 1, 0.5, 0.5, 0.5), (None, 1, 0.5, 0.5, 0.5)], "key string, documents long, mean double, low double, high double")
+    assert sorted(map(tuple, reports.merge_breakdown(rows).collect())) == [("a", 9, 0.5, 0.1, 0.9), ("b", 2, None, None, None)]
