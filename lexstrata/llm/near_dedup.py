@@ -224,9 +224,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, bands:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose document isn't the least of its group; rows without an id stay."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 44, rows: int = 5) -> DataFrame:
+    """``docs`` without the rows whose document isn't the least of its group; rows without an id stay.
+
+    A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**44 = 3e-8.
+    """
+    gone = near_duplicates(docs, size=size, percent=percent, bands=bands, rows=rows).where("NOT kept").select("doc_id").distinct()
     return docs.join(keys_for_join(materialize(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -17,7 +17,7 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "quality rules":
             assert all(not brute.base_rules(t)[5] for t in after.values()) and after
         elif name == "minhash near-dedup":
-            assert set(after) == {d for d, _, _, kept in brute.components(list(before.items())) if kept}
+            assert set(after) == {d for d, _, _, kept in brute.components(list(before.items()), percent=80, size=5) if kept}
         elif name == "substring dedup":
             left = {d: n - gone for d, n, gone, _ in brute.substring(list(before.items()))}
             assert {d: len(brute.WORD.findall(t)) for d, t in after.items()} == {d: n for d, n in left.items() if n}
