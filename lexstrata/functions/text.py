@@ -132,3 +132,27 @@ def detectors(df: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("detector_uniformity", clip01(0.6 * (1 - b / 1.1) + 0.4 * (1 - sd / 16)))
         .withColumn("detector_repetition", clip01(rep * 1.4))
     )
+
+
+# Title namespaces that hold no articles (talk spaces besides).
+SKIPPED_SPACES = (
+    "special", "file", "image", "talk", "user", "wikipedia", "wp", "help", "template", "module", "mediawiki", "draft", "timedtext", "media",
+    "education_program", "gadget", "gadget_definition",
+)
+HUB_SPACES = ("category", "portal")
+
+
+def title_space(title: Column) -> Column:
+    """What stands before the first colon, folded, '_' for blanks; '' if nothing does."""
+    return F.translate(ascii_lower(F.regexp_extract(F.coalesce(title, F.lit("")), r"^([^:]+):", 1)), " ", "_")
+
+
+def is_article_title(title: Column) -> Column:
+    space = title_space(title)
+    return (trimmed(F.coalesce(title, F.lit(""))) != "") & ~space.isin(*SKIPPED_SPACES, *HUB_SPACES) & ~space.endswith("_talk")
+
+
+def is_disambiguation(title: Column, text: Column) -> Column:
+    """By the title's mark, or an opening of 180 characters that says so in a text of under 120 words."""
+    head = ascii_lower(F.substring(F.coalesce(text, F.lit("")), 1, 180))
+    return ascii_lower(F.coalesce(title, F.lit(""))).contains("(disambiguation)") | (head.contains("may refer to") & (F.size(word_tokens(F.coalesce(text, F.lit("")))) < 120))

@@ -44,3 +44,27 @@ def is_public(url: Column) -> Column:
     private = (a.isin(0, 10, 127)) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 168)) | ((a == 172) & b.between(16, 31))
     local = h.isin("localhost", "0.0.0.0", "::1", "127.0.0.1") | h.endswith(".local")
     return F.coalesce(h.isNotNull() & ~local & ~F.coalesce(private, F.lit(False)), F.lit(False))
+
+
+# File endings of addresses that hold no page.
+FILE_ENDINGS = (
+    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".7z", ".tar", ".gz", ".tgz", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".ico",
+    ".bmp", ".mp3", ".mp4", ".m4a", ".wav", ".webm", ".avi", ".mov", ".wmv", ".css", ".js", ".mjs", ".map", ".json", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".exe",
+    ".dmg", ".apk", ".iso", ".csv", ".tsv",
+)
+
+
+def url_path(url: Column) -> Column:
+    """Path of the normal form, '/' if it has none; null if the address isn't http(s)."""
+    n = normalize_url(url)
+    return F.when(n.isNotNull(), F.coalesce(F.nullif(F.regexp_extract(n, r"^https?://[^/?]*(/[^?]*)", 1), F.lit("")), F.lit("/")))
+
+
+def skippable(url: Column) -> Column:
+    """True if no address, or if the path has a file ending whose last occurrence no letter or digit follows."""
+    low = ascii_lower(url_path(url))
+    out = F.lit(False)
+    for e in FILE_ENDINGS:
+        dot = e.replace(".", r"\.")
+        out = out | low.rlike(rf"^(?s:.*){dot}(?![a-z0-9])(?!(?s:.*){dot})")
+    return F.coalesce(out, F.lit(True))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.functions.embed import centroids, cosine
-from lexstrata.operators.views import sample_evenly
+from lexstrata.functions.text import trimmed
+from lexstrata.operators.views import SIGNAL_COLUMNS, sample_evenly
 
 # Subjects and the patterns that decide them in lower-case text, first match wins.
 SUBJECTS = (
@@ -104,3 +105,57 @@ def merge_breakdown(rows: DataFrame) -> DataFrame:
         F.sum("documents").alias("documents"), F.round(F.try_divide(F.sum(F.col("mean") * weight), F.sum(weight)), 6).alias("mean"),
         F.min("low").alias("low"), F.max("high").alias("high"),
     )
+
+
+def strongest_detector(scored: DataFrame) -> DataFrame:
+    """The detector of greatest mean, the first of equals; uniformity and recency don't take part."""
+    names = ("stylometry", "stock", "ngram", "anomaly", "deviation")
+    means = scored.agg(*(F.round(F.avg(c), 3).alias(c) for c in names))
+    rows = means.select(F.inline(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).alias("score"), F.lit(i).alias("i")) for i, c in enumerate(names)))))
+    return rows.where("score IS NOT NULL").orderBy(F.desc("score"), "i").limit(1).select("key", "score")
+
+
+def top_group(docs: DataFrame, by: str, value: str, least: int = 100) -> DataFrame:
+    """key, percent, documents of the group of greatest mean in whole percent, then of most documents, then by key.
+
+    Groups need ``least`` documents and a value; no row if there are fewer than two groups of any size.
+    """
+    groups = docs.where(F.coalesce(trimmed(F.col(by)), F.lit("")) != "").groupBy(trimmed(F.col(by)).alias("key")).agg(F.count("*").alias("documents"), F.avg(value).alias("mean"))
+    many = groups.agg(F.count("*").alias("groups")).where("groups >= 2")
+    rows = groups.where((F.col("documents") >= least) & F.col("mean").isNotNull()).join(F.broadcast(many), F.lit(True))
+    percent = F.floor(F.round(F.col("mean") * 100, 6) + 0.5)
+    return rows.select("key", percent.alias("percent"), "documents").orderBy(F.desc("percent"), F.desc("documents"), "key").limit(1)
+
+
+def merge_years(first: DataFrame, second: DataFrame, since: int = 2015, now: int = 2026) -> DataFrame:
+    """A row (year, documents, mean) for every year from ``since`` to the last one with data.
+
+    Where both tables have a year, the second's row counts if it has more documents, or a mean that the first lacks.
+    """
+    sides = [df.where(F.col("year").between(since, now)).select("year", F.col("documents").alias(f"n{k}"), F.col("mean").alias(f"m{k}"), F.lit(True).alias(f"h{k}")) for k, df in enumerate((first, second))]
+    both = sides[0].join(sides[1], "year", "full")
+    later = F.col("h0").isNull() | (F.col("h1").isNotNull() & ((F.coalesce("n1", F.lit(0)) > F.coalesce("n0", F.lit(0))) | (F.col("m0").isNull() & F.col("m1").isNotNull())))
+    pick = lambda c: F.when(later, F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    rows = both.select("year", F.coalesce(pick("n"), F.lit(0)).alias("documents"), pick("m").alias("mean"))
+    axis = rows.where("documents > 0 OR mean IS NOT NULL").agg(F.max("year").alias("last")).where("last IS NOT NULL")
+    years = axis.select(F.explode(F.sequence(F.lit(since), F.col("last"))).alias("year"))
+    return years.join(rows, "year", "left").select("year", F.coalesce("documents", F.lit(0)).alias("documents"), "mean")
+
+
+def collapsed_dates(docs: DataFrame, filler: int = 2016) -> DataFrame:
+    """dataset_id, documents, bad, years, collapsed: half the creation years missing or ``filler``, or one year at most."""
+    year = F.coalesce(F.regexp_extract(F.coalesce("created_at", F.lit("")), r"^([0-9]{4})", 1).try_cast("int"), F.lit(0))
+    rows = docs.withColumn("_y", year).groupBy("dataset_id").agg(
+        F.count("*").alias("documents"), F.count_if((F.col("_y") <= 0) | (F.col("_y") == filler)).alias("bad"), F.count_distinct(F.when(F.col("_y") > 0, F.col("_y"))).alias("years")
+    )
+    return rows.withColumn("collapsed", (2 * F.col("bad") >= F.col("documents")) | (F.col("years") <= 1))
+
+
+def cards(scored: DataFrame, size: int = 320) -> DataFrame:
+    """Document cards: dates '' as null, scores in thousandths, missing signals as 0, the first ``size`` characters."""
+    third = lambda c: F.round(c, 3)
+    return scored.select(
+        "id", "title", "source", "topic", F.nullif("published_at", F.lit("")).alias("published_at"), F.nullif("created_at", F.lit("")).alias("created_at"), "word_count",
+        *(third(c).alias(c) for c in ("p_ai", "ci_low", "ci_high")), "band", *(third(F.coalesce(c, F.lit(0.0))).alias(c) for c in SIGNAL_COLUMNS),
+        F.substring("text", 1, size).alias("excerpt"),
+    )

@@ -190,3 +190,23 @@ ORACLES = {
     "revision_backfill": f"{DS} SELECT id, coalesce(created_at, '2011-01-01') AS created_at FROM c",
     "run_progress": "SELECT event_type AS task_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, round(sum(value), 2) AS ms FROM events GROUP BY 1",
 }
+
+#: Undirected pruning is sequential, so graph_pruned has no SQL; a test holds it to a plain loop.
+_HOP = "SELECT id, i, sum(x) / (1 + any_value(n)) AS x FROM (SELECT id, i, x FROM {0} UNION ALL SELECT s, i, x FROM pairs2 JOIN {0} ON {0}.id = d) q JOIN deg USING (id) GROUP BY id, i"
+_ENDS = "[('', false), ('/a.PDF', true), ('/a.pdfx', false), ('/a.json?x=1', true), ('/b.tar.gz', true), ('/c.js/d', true)]"
+_SIDE = "SELECT year, count(*) AS n, round(avg(x) FILTER (id % 2 = 0), 6) AS m FROM z WHERE id % 3 {} 0 GROUP BY year"
+ORACLES |= {
+    "graph_two_hop": f"{PAIRS}, pairs2 AS (SELECT src AS s, dst AS d FROM edges UNION ALL SELECT dst, src FROM edges), deg AS (SELECT vec_id AS id, count(d) AS n FROM embeddings LEFT JOIN pairs2 ON s = vec_id GROUP BY 1), h0 AS (SELECT vec_id AS id, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 9) r(i)), h1 AS ({_HOP.format('h0')}), h2 AS ({_HOP.format('h1')}) SELECT id, CAST(i AS INT) AS i, round(x, 5) AS mean FROM h2",
+    "graph_orphans": f"{PAIRS} SELECT src, dst FROM edges WHERE src IN (SELECT vec_id FROM embeddings WHERE label <> 3)",
+    "graph_nodes": f"{DS} SELECT id, title, CASE WHEN topic IN ('India', 'United States', 'Germany', 'Australia') THEN topic ELSE '' END AS topic, CASE dataset_id WHEN 1 THEN 'Wikipedia' WHEN 2 THEN 'GDELT' ELSE 'Unknown collection' END AS collection FROM c",
+    "strongest_detector": f"{VIEW}, s AS (SELECT unnest(['stylometry', 'stock', 'ngram', 'anomaly', 'deviation']) AS key, unnest([round(avg(stylometry), 3), round(avg(stock), 3), round(avg(ngram), 3), round(avg(anomaly), 3), round(avg(deviation), 3)]) AS v, unnest([1, 2, 3, 4, 5]) AS i FROM scored) SELECT key FROM s ORDER BY v DESC, i LIMIT 1",
+    "field_share_max": "SELECT trim(source) AS key, CAST(floor(round(avg(n_chars % 100 / 100) * 100, 6) + 0.5) AS BIGINT) AS percent, count(*) AS documents FROM documents WHERE trim(source) <> '' AND (SELECT count(DISTINCT trim(source)) FROM documents) > 1 GROUP BY 1 HAVING count(*) >= 20 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 1",
+    "year_rows": f"{DS}, {DATED}, z AS (SELECT id, year, length(text) % 100 / 100 AS x FROM d), p AS ({_SIDE.format('=')}), q AS ({_SIDE.format('<>')}), b AS (SELECT year, CASE WHEN p.n IS NULL OR q.n > p.n OR (p.m IS NULL AND q.m IS NOT NULL) THEN q.n ELSE p.n END AS n, CASE WHEN p.n IS NULL OR q.n > p.n OR (p.m IS NULL AND q.m IS NOT NULL) THEN q.m ELSE p.m END AS m FROM p FULL JOIN q USING (year) WHERE year BETWEEN 2015 AND 2026) SELECT CAST(y AS INT) AS year, coalesce(n, 0) AS documents, round(m, 4) AS mean FROM (SELECT unnest(range(2015, (SELECT max(year) FROM b) + 1)) AS y) LEFT JOIN b ON b.year = y",
+    "created_collapsed": f"{DS}, z AS (SELECT dataset_id, coalesce(TRY_CAST(nullif(regexp_extract(created_at, '^([0-9]{{4}})', 1), '') AS INT), 0) AS y FROM c) SELECT dataset_id, count(*) AS documents, count(*) FILTER (y <= 0 OR y = 2016) AS bad, count(DISTINCT y) FILTER (y > 0) AS years, 2 * count(*) FILTER (y <= 0 OR y = 2016) >= count(*) OR count(DISTINCT y) FILTER (y > 0) <= 1 AS collapsed FROM z GROUP BY 1",
+    "document_cards": f"{VIEW} SELECT id, title, source, topic, nullif(published_at, '') AS published_at, nullif(created_at, '') AS created_at, CAST(word_count AS INT) AS word_count, round(p_ai, 3) AS p_ai, round(ci_low, 3) AS ci_low, round(ci_high, 3) AS ci_high, band, "
+    + ", ".join(f"round({x}, 3) AS {x}" for x in ("anomaly", "stock", "ngram", "stylometry", "uniformity", "deviation")) + ", substr(text, 1, 320) AS excerpt FROM scored",
+    "article_extracts": f"{DS}, z AS (SELECT id, title, text FROM c WHERE id % 5 <> 0 AND regexp_replace(text, '{SPACE}', '', 'g') <> '') SELECT title, CAST(length(text) AS INT) AS n FROM z UNION ALL SELECT lower(title), CAST(length(text) AS INT) FROM z WHERE id % 2 = 0",
+    "revision_dates": f"{DS}, z AS (SELECT title, created_at FROM c WHERE regexp_matches(created_at, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) SELECT title, created_at AS date FROM z UNION ALL SELECT upper(title), created_at FROM z",
+    "url_skippable": f"SELECT page_id, CAST(k - 1 AS INT) AS k, CASE WHEN k = 1 THEN regexp_matches(lower(split_part(url, '?', 1)), '\\.(pdf|zip|png|jpg|css|js|json|csv)$') WHEN contains(url, '?') THEN regexp_matches(lower(split_part(url, '?', 1)), '\\.(pdf|zip|png|jpg|css|js|json|csv)$') ELSE ({_ENDS})[k][2] END AS skip FROM (SELECT page_id, url, unnest(range(1, 7)) AS k FROM pages)",
+    "title_filters": f"{DS}, z AS (SELECT id, id % 7 AS s, CASE WHEN id % 3 = 0 THEN 'It May refer to ' ELSE '' END || text AS t FROM c) SELECT id, s NOT IN (1, 2, 3, 4) AS article, id % 11 = 0 OR (contains({LOW.format('substr(t, 1, 180)')}, 'may refer to') AND len(regexp_extract_all({LOW.format('t')}, '[a-z0-9'']+')) < 120) AS pointer FROM z",
+}

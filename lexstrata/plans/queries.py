@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexstrata.fixtures import corpus, datasets
 from lexstrata.functions import urls
 from lexstrata.functions.embed import byte_entropy, centroids, cosine, hashed_embedding
-from lexstrata.functions.text import STOCK_PHRASES, ascii_lower, detectors, document_date, guess_topic, recency_signal, style_features, year_of_date
+from lexstrata.functions.text import STOCK_PHRASES, ascii_lower, detectors, document_date, guess_topic, is_article_title, is_disambiguation, recency_signal, style_features, year_of_date
 from lexstrata.operators import catalog, graph, reports, score, views
 from lexstrata.sources import ingest
 
@@ -249,6 +249,76 @@ def run_progress(spark, sf):
     return catalog.run_progress(e)
 
 
+def graph_two_hop(spark, sf):
+    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("vector"))
+    return graph.two_hop_mean(_edges(spark, sf), v).select("id", "i", F.round("mean", 5).alias("mean"))
+
+
+def graph_pruned(spark, sf):
+    nodes = _t(spark, sf, "embeddings").count()
+    return graph.prune_edges(_edges(spark, sf), nodes).select("a", "b", F.round("cosine", 5).alias("cosine"))
+
+
+def graph_orphans(spark, sf):
+    left = _t(spark, sf, "embeddings").where("label <> 3").select(F.col("vec_id").alias("id"))
+    return graph.orphan_free(_edges(spark, sf), left).select("src", "dst")
+
+
+def graph_nodes(spark, sf):
+    ds = datasets(spark).where("dataset_id <> 3")
+    return graph.labelled_nodes(corpus(spark, sf), ds).select("id", "title", views.country_topic(F.col("topic")).alias("topic"), "collection")
+
+
+def strongest_detector(spark, sf):
+    return reports.strongest_detector(_view(spark, sf)).select("key")
+
+
+def field_share_max(spark, sf):
+    return reports.top_group(_t(spark, sf, "documents").withColumn("x", F.col("n_chars") % 100 / 100), "source", "x", 20)
+
+
+def year_rows(spark, sf):
+    rows = corpus(spark, sf).withColumn("year", year_of_date(document_date())).withColumn("x", F.length("text") % 100 / 100)
+    sides = [rows.where(f"id % 3 {op} 0").groupBy("year").agg(F.count("*").alias("documents"), F.round(F.avg(F.when(F.col("id") % 2 == 0, F.col("x"))), 6).alias("mean")) for op in ("=", "<>")]
+    return _four(reports.merge_years(*sides))
+
+
+def created_collapsed(spark, sf):
+    return reports.collapsed_dates(corpus(spark, sf))
+
+
+def document_cards(spark, sf):
+    return _four(reports.cards(_view(spark, sf)))
+
+
+def article_extracts(spark, sf):
+    d = corpus(spark, sf)
+    page = F.struct("title", F.col("text").alias("extract"), (F.col("id") % 5 == 0).alias("missing"))
+    alias = F.when(F.col("id") % 2 == 0, F.array(F.struct(F.lower("title").alias("from"), F.col("title").alias("to"))))
+    payload = d.select(F.to_json(F.struct(F.struct(alias.alias("normalized"), F.array(page).alias("pages")).alias("query"))).alias("value"))
+    return ingest.article_extracts(payload).select("title", F.length("value").alias("n"))
+
+
+def revision_dates(spark, sf):
+    page = F.struct("title", F.array(F.struct(F.concat("created_at", F.lit("T00:00:00Z")).alias("timestamp"))).alias("revisions"))
+    alias = F.array(F.struct(F.upper("title").alias("from"), F.col("title").alias("to")))
+    payload = corpus(spark, sf).select(F.to_json(F.struct(F.struct(alias.alias("redirects"), F.array(page).alias("pages")).alias("query"))).alias("value"))
+    return ingest.revision_dates(payload).select("title", F.col("value").alias("date"))
+
+
+def url_skippable(spark, sf):
+    ends = F.array(*(F.concat("url", F.lit(e)) for e in ("", "/a.PDF", "/a.pdfx", "/a.json?x=1", "/b.tar.gz", "/c.js/d")))
+    rows = _t(spark, sf, "pages").select("page_id", F.posexplode(ends).alias("k", "url"))
+    return rows.select("page_id", "k", urls.skippable(F.col("url")).alias("skip"))
+
+
+def title_filters(spark, sf):
+    spaces = F.element_at(F.array(*map(F.lit, ("", "Talk:", "User talk:", "Category:", "Draft:", ":", "Other:"))), (F.col("id") % 7 + 1).cast("int"))
+    d = corpus(spark, sf).withColumn("title", F.concat(spaces, "title", F.when(F.col("id") % 11 == 0, " (disambiguation)").otherwise("")))
+    text = F.concat(F.when(F.col("id") % 3 == 0, "It May refer to ").otherwise(""), "text")
+    return d.select("id", is_article_title(F.col("title")).alias("article"), is_disambiguation(F.col("title"), text).alias("pointer"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -256,5 +326,7 @@ QUERIES = {
         vec_anomaly, knn_edges_vec, graph_visible_edges, graph_undirected, graph_mean_aggregate, era_scores, breakdown_source, breakdown_topic, breakdown_time, topics_list,
         examples_by_band, group_fold, ai_common_words, strongest_signal, evidence_ranked, era_sample, year_rise, era_compare_sept, subject_mix, year_span_mode, breakdown_merge, era_cohort_pools, era_cohort_traits, url_normalize, url_dedup, crawl_frontier,
         jsonl_ingest, news_ingest, catalog_delete_cascade, short_doc_delete, revision_backfill, run_progress,
+        graph_two_hop, graph_pruned, graph_orphans, graph_nodes, strongest_detector, field_share_max, year_rows, created_collapsed, document_cards, article_extracts,
+        revision_dates, url_skippable, title_filters,
     )
 }

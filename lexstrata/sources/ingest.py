@@ -67,3 +67,34 @@ def articles(payload: DataFrame) -> DataFrame:
     """url, title, seendate, domain from JSON {articles: [...]} in column ``value``."""
     kind = "articles array<struct<url: string, title: string, seendate: string, domain: string, sourcecountry: string, language: string>>"
     return payload.select(F.inline(F.from_json("value", kind)["articles"]))
+
+
+ALIASES = "array<struct<`from`: string, `to`: string>>"
+QUERY = f"query struct<normalized: {ALIASES}, redirects: {ALIASES}, pages: array<struct<title: string, extract: string, missing: boolean, revisions: array<struct<timestamp: string>>>>>"
+
+
+def _by_title(payload: DataFrame, value: str) -> DataFrame:
+    """(title, value) of JSON payloads in column ``value``; a title that stands for another page has that page's value.
+
+    ``value`` is an expression over a page ``p``; pages that are missing, untitled or without a value go. Of
+    equal titles the last page counts, of equal aliases the last one, redirects after normalized titles.
+    """
+    rows = payload.select(F.from_json("value", QUERY).alias("r")).where("r.query IS NOT NULL").select("r.query.*")
+    rows = rows.selectExpr(
+        f"filter(transform(coalesce(pages, array()), p -> struct(p.title as title, {value} as value, coalesce(p.missing, false) as gone)), p -> NOT p.gone AND coalesce(p.title, '') <> '' AND p.value IS NOT NULL) AS p",
+        "filter(concat(coalesce(normalized, array()), coalesce(redirects, array())), a -> coalesce(a.`from`, '') <> '' AND coalesce(a.`to`, '') <> '') AS a",
+    )
+    rows = rows.selectExpr("filter(p, (x, i) -> NOT exists(slice(p, i + 2, size(p)), y -> y.title = x.title)) AS p", "filter(a, (x, i) -> NOT exists(slice(a, i + 2, size(a)), y -> y.`from` = x.`from`)) AS a")
+    rows = rows.selectExpr("p", "filter(transform(a, x -> struct(x.`from` as title, filter(p, y -> y.title = x.`to`) as hit)), x -> size(x.hit) > 0) AS a")
+    named = rows.selectExpr("concat(transform(a, x -> struct(x.title as title, x.hit[0].value as value)), transform(filter(p, x -> NOT exists(a, y -> y.title = x.title)), x -> struct(x.title as title, x.value as value))) AS out")
+    return named.select(F.inline("out"))
+
+
+def article_extracts(payload: DataFrame) -> DataFrame:
+    """(title, value) of article texts; blank ones go."""
+    return _by_title(payload, r"if(regexp_replace(coalesce(p.extract, ''), '[ \\t\\n\\x0B\\f\\r]', '') <> '', p.extract, NULL)")
+
+
+def revision_dates(payload: DataFrame) -> DataFrame:
+    """(title, value) of the first revision's date, YYYY-MM-DD."""
+    return _by_title(payload, r"nullif(regexp_extract(coalesce(get(p.revisions, 0).timestamp, ''), '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '')")

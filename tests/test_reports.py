@@ -1,4 +1,7 @@
-from lexstrata.operators import reports
+import random
+
+from lexstrata.operators import graph, reports
+from lexstrata.sources import ingest
 
 
 def test_subject_of(spark):
@@ -26,3 +29,25 @@ def test_cohorts(spark):
 def test_merge_breakdown(spark):
     rows = spark.createDataFrame([("a", 1, 0.2, 0.1, 0.3), ("a", 3, 0.6, 0.5, 0.9), ("a", 5, None, None, None), ("b", 2, None, None, None), ("", 1, 0.5, 0.5, 0.5), (None, 1, 0.5, 0.5, 0.5)], "key string, documents long, mean double, low double, high double")
     assert sorted(map(tuple, reports.merge_breakdown(rows).collect())) == [("a", 9, 0.5, 0.1, 0.9), ("b", 2, None, None, None)]
+
+
+def test_prune_edges_is_one_sorted_run(spark):
+    rng = random.Random(5)
+    for n in (8, 60):
+        pairs = [(a, b, round(rng.uniform(0.3, 0.9), 1)) for a in range(n) for b in range(n) if a != b and rng.random() < 0.15]
+        edges = spark.createDataFrame(pairs, "src long, dst long, cosine double")
+        best, degree, want = {}, {}, []
+        for a, b, c in pairs:
+            key = (min(a, b), max(a, b))
+            best[key] = max(c, best.get(key, 0))
+        for (a, b), c in sorted(best.items(), key=lambda x: (-x[1], x[0])):
+            if max(degree.get(a, 0), degree.get(b, 0)) < (2 if n > 20 else 3) and (n <= 12 or c >= 0.45):
+                degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+                want.append((a, b, c))
+        assert sorted(map(tuple, graph.prune_edges(edges, n).collect())) == sorted(want)
+
+
+def test_payload_aliases(spark):
+    payload = '{"query": {"normalized": [{"from": "x", "to": "A"}, {"from": "x", "to": "B"}], "redirects": [{"from": "y", "to": "C"}], "pages": [{"title": "A", "extract": "a"}, {"title": "B", "extract": "b"}, {"title": "C", "extract": " "}, {"extract": "z"}]}}'
+    rows = spark.createDataFrame([(payload,), ("{",), (None,), ('{"query": {}}',)], "value string")
+    assert sorted(map(tuple, ingest.article_extracts(rows).collect())) == [("A", "a"), ("B", "b"), ("x", "b")]
