@@ -1,10 +1,14 @@
 """Mixing to target weights: posteriors from labels, then nonnegative document rates.
 
-Native: DataFrame functions only; the driver sees one number per domain and step.
+Native: DataFrame functions only; the driver sees 15 numbers per step.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +19,9 @@ from .storage import materialize, shared_dir
 DOMAINS = ("plain", "toxic", "low", "low_toxic")
 TARGETS = {"plain": 0.85, "toxic": 0.03, "low": 0.10, "low_toxic": 0.02}
 BUCKETS = 1 << 15
-STEPS = 40
-#: Steps after which rates are written, which bounds what an expression folds.
-REWRITE = 8
+#: Greatest gap of a domain's share to its target at which the fit ends; the gain a step must promise,
+#: by the dual's value; the weight of the pulls' squares in the dual.
+TOLERANCE, STALLED, RIDGE = 1e-4, 1e-13, 1e-8
 SCALE = 1_000_000
 
 
@@ -26,16 +30,25 @@ def _domain() -> F.Column:
     return F.when(q == 1, F.when(t == 1, 1).otherwise(0)).when(q == 0, F.when(t == 1, 3).otherwise(2))
 
 
+def _named(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): of several labels of one document the least domain counts; null labels don't."""
+    named = labels.select("doc_id", _domain().alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL")
+    return keys_for_join(named.groupBy("doc_id").agg(F.min("domain").alias("domain")))
+
+
+def log_priors(docs: DataFrame, labels: DataFrame) -> list[float]:
+    """Log of the share of each domain among labelled documents, over that of domain 0; one is added to each count."""
+    n = docs.select("doc_id").join(_named(labels), "doc_id").agg(*(F.count_if(F.col("domain") == k) for k in range(4))).first()
+    return [math.log((x + 1) / (n[0] + 1)) for x in n]
+
+
 def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, w1, w2, w3): log likelihood ratios to domain 0, in whole millionths; ``buckets`` rows at most.
 
-    Multinomial naive Bayes over hashed words of all labelled documents; of several
-    labels of one document the least domain counts; null labels don't.
+    Multinomial naive Bayes over hashed words of all labelled documents.
     """
-    named = labels.select("doc_id", _domain().alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL")
-    named = keys_for_join(named.groupBy("doc_id").agg(F.min("domain").alias("domain")))
     counts = (
-        docs.select("doc_id", "text").join(named, "doc_id").select("domain", F.explode(word_array(F.col("text"))).alias("_w"))
+        docs.select("doc_id", "text").join(_named(labels), "doc_id").select("domain", F.explode(word_array(F.col("text"))).alias("_w"))
         .select("domain", F.xxhash64("_w").bitwiseAND(F.lit(buckets - 1)).alias("bucket"))
         .groupBy("bucket")
         .agg(*(F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(4)))
@@ -46,10 +59,13 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFra
     return counts.join(F.broadcast(sums), F.lit(True)).select("bucket", *ratios)
 
 
-def posteriors(docs: DataFrame, weights: DataFrame, buckets: int = BUCKETS, sharpness: float = 24.0, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, n_words and p0..p3 of every row; a text without words gets equal posteriors.
+def posteriors(
+    docs: DataFrame, weights: DataFrame, priors: list[float], buckets: int = BUCKETS, sharpness: float = 24.0, carried: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The carried columns, n_words and p0..p3 of every row; a text without words gets the priors.
 
-    Soft membership: the mean log ratio per word, times ``sharpness``, so that long texts don't all become certain.
+    Soft membership: the mean log ratio per word, times ``sharpness``, so that long texts don't all become certain,
+    plus the log prior ratio.
     """
     token = F.when(F.col("_w").isNotNull(), F.xxhash64("_w").bitwiseAND(F.lit(buckets - 1)))
     sums = (
@@ -60,71 +76,88 @@ def posteriors(docs: DataFrame, weights: DataFrame, buckets: int = BUCKETS, shar
         .agg(F.count("bucket").alias("n_words"), *(F.coalesce(F.sum(f"w{k}"), F.lit(0)).alias(f"w{k}") for k in (1, 2, 3)))
     )
     n = F.greatest("n_words", F.lit(1))
-    parts = [F.lit(1.0), *(F.exp(F.least(F.lit(60.0), F.col(f"w{k}") / SCALE / n * sharpness)) for k in (1, 2, 3))]
+    parts = [F.lit(1.0), *(F.exp(F.least(F.lit(60.0), F.col(f"w{k}") / SCALE / n * sharpness + priors[k])) for k in (1, 2, 3))]
     total = parts[0] + parts[1] + parts[2] + parts[3]
     return sums.select(*carried, "n_words", *((p / total).alias(f"p{k}") for k, p in enumerate(parts)))
 
 
-def _rate(moves: list[list[float]]) -> F.Column:
-    """The rate so far, after each further projected move: max(0, r - p . g)."""
-    rate = F.col("rate")
-    if not moves:
-        return rate
-    p = [F.col(f"p{k}") for k in range(4)]
-    dot = lambda g: p[0] * g[0] + p[1] * g[1] + p[2] * g[2] + p[3] * g[3]
-    return F.aggregate(F.array(*(F.array(*map(F.lit, g)) for g in moves)), rate, lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+def _rate(pull: list[float]) -> F.Column:
+    """max(0, 1 - p . pull)."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p{k}") * x for k, x in enumerate(pull)), F.lit(0.0)))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], folder: str, steps: int = STEPS, tolerance: float = 1e-4) -> DataFrame:
-    """``members`` with column rate, by projected gradient from rate 1.
+def fit_rates(members: DataFrame, targets: dict[str, float], steps: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """``members`` with column rate: the rates >= 0 nearest to 1 whose expected domain shares are ``targets``.
 
-    Minimises half the squared gap of expected domain shares to ``targets`` over rates >= 0.
-    Documents enter in the metric of their own words, so a step moves each by p . g. A step
-    is one aggregate over all members that sends four sums to the driver; every ``REWRITE``
-    steps the rates are written out.
+    By words, these are the projection max(0, 1 - p . pull) for one pull per domain, which is found by
+    damped Newton steps on the convex dual; its ``RIDGE`` gives the least gap where nonnegative rates don't
+    reach the targets. A step is one aggregate over all members that sends 15 sums to the driver. Steps go
+    on until every share is within ``tolerance`` of its target; a fit that ends otherwise (at the dual's
+    least value, or after ``steps`` if given) warns with its gaps.
     """
-    want = [targets[d] for d in DOMAINS]
-    if min(want) < 0 or sum(want) <= 0:
+    want = np.array([targets[d] for d in DOMAINS], dtype=float)
+    if want.min() < 0 or want.sum() <= 0:
         raise ValueError("targets must be nonnegative and not all 0")
-    want = [w / sum(want) for w in want]
-    members = members.withColumn("rate", F.lit(1.0))
-    shares = lambda rate: [F.sum(F.col(f"p{k}") * F.col("n_words") * rate) for k in range(4)]
-    total, *mass = members.agg(F.coalesce(F.sum("n_words"), F.lit(0)), *shares(F.lit(1.0))).first()
+    want = want / want.sum()
+    total = members.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     if not total:
-        return members
-    # A domain's share answers a move by its own mass at most.
-    scale = [0.9 / max(m / total, 1e-3) for m in mass]
-    moves: list[list[float]] = []
-    for step in range(steps):
-        if len(moves) == REWRITE:
-            members, moves = materialize(members.withColumn("rate", _rate(moves)), f"rates_{step}", folder), []
-        gap = [s / total - w for s, w in zip(members.agg(*shares(_rate(moves))).first(), want)]
-        if max(map(abs, gap)) < tolerance:
+        return members.withColumn("rate", F.lit(1.0))
+    pairs = [(j, k) for j in range(4) for k in range(j, 4)]
+
+    def dual(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Value, gradient and curvature of the dual, and the gaps of the shares."""
+        part = members.withColumn("_r", _rate(pull.tolist())).where("_r > 0").withColumn("_n", F.col("n_words") / total)
+        sums = part.agg(
+            F.sum(F.col("_n") * F.col("_r") * F.col("_r")), *(F.sum(F.col("_n") * F.col("_r") * F.col(f"p{k}")) for k in range(4)),
+            *(F.sum(F.col("_n") * F.col(f"p{j}") * F.col(f"p{k}")) for j, k in pairs),
+        ).first()
+        sums = np.array([x or 0.0 for x in sums])
+        curve = np.zeros((4, 4))
+        for (j, k), x in zip(pairs, sums[5:]):
+            curve[j, k] = curve[k, j] = x
+        gap = sums[1:5] - want
+        return RIDGE / 2 * pull @ pull + want @ pull + sums[0] / 2, RIDGE * pull - gap, curve + RIDGE * np.eye(4), gap
+
+    pull = np.zeros(4)
+    value, slope, curve, gap = dual(pull)
+    taken = 0
+    while np.abs(gap).max() >= tolerance and taken != steps:
+        move = -np.linalg.solve(curve, slope)
+        gain, size = -(slope @ move), 1.0
+        if gain <= STALLED * (1 + abs(value)):
+            break
+        after = dual(pull + move)
+        while after[0] > value - 1e-4 * size * gain and size > 1e-6:
+            size /= 2
+            after = dual(pull + size * move)
+        if after[0] >= value:
             break
-        moves.append([g * s for g, s in zip(gap, scale)])
-    return members.withColumn("rate", _rate(moves))
+        pull, (value, slope, curve, gap), taken = pull + size * move, after, taken + 1
+    if np.abs(gap).max() >= tolerance:
+        warnings.warn(f"mixing ends after {taken} steps with gaps to its targets: {dict(zip(DOMAINS, gap.tolist()))}", stacklevel=2)
+    return members.withColumn("rate", _rate(pull.tolist()))
 
 
-def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] = TARGETS, steps: int | None = None) -> DataFrame:
     """doc_id, n_words, posteriors p_<domain>, rate: the expected uses of the document in the mixture.
 
     The sum of n_words * rate * p_<domain> over all rows is the domain's target share of all
-    words, as far as nonnegative rates reach it. Null texts have no words, equal posteriors and
+    words, as far as nonnegative rates reach it. Null texts have no words, the priors as posteriors and
     so a rate; without labels all posteriors are equal; repeated rows each get a rate;
     an empty table gives no rows.
     """
     return _rated(docs.select("doc_id", "text"), labels, ("doc_id",), targets, steps)
 
 
-def _rated(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...], targets: dict[str, float], steps: int) -> DataFrame:
+def _rated(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...], targets: dict[str, float], steps: int | None) -> DataFrame:
     folder = shared_dir(docs.sparkSession)
-    members = materialize(posteriors(docs, train(docs, labels), carried=carried), "members", folder)
-    return fit_rates(members, targets, folder, steps).select(
+    members = materialize(posteriors(docs, train(docs, labels), log_priors(docs, labels), carried=carried), "members", folder)
+    return fit_rates(members, targets, steps).select(
         *carried, "n_words", *(F.round(f"p{k}", 9).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.round("rate", 6).alias("rate")
     )
 
 
-def with_rates(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> DataFrame:
+def with_rates(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] = TARGETS, steps: int | None = None) -> DataFrame:
     """``docs`` with mix_rate, the expected uses of a row; rows of rate 0 go. A rate is one of the text, met by its digest."""
     keyed = docs.withColumn("_digest", digest_of(F.col("text")))
     rates = _rated(keyed.select("doc_id", "text", "_digest"), labels, ("_digest",), targets, steps)
