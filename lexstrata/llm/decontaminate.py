@@ -21,10 +21,12 @@ from .storage import materialize
 
 #: Characters of an item for each edit of its budget.
 CHARS_PER_EDIT = 16
-#: Items shorter than this (normalised) are too common to be evidence.
+#: Items shorter than this (normalised) are matched together with their word bounds.
 MIN_CHARS = 40
 #: Bytes of items in one automaton; a larger benchmark is matched in several passes.
 PASS_BYTES = 4 << 20
+#: Letters of scripts written without spaces: Thai to Myanmar, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _GAP = re.compile(r"[^\w]+", re.UNICODE)
 DDL = "doc_id long, key binary, item_ids array<long>, distances array<int>, n_hits int"
 
@@ -38,6 +40,13 @@ def budget_of(item: str, chars_per_edit: int = CHARS_PER_EDIT) -> int:
     return len(item) // chars_per_edit
 
 
+def bounded(item: str) -> str:
+    """A short item with a space at each end, where a word must end there; scripts written without spaces have no such bounds."""
+    if len(item) >= MIN_CHARS:
+        return item
+    return ("" if _UNSPACED.match(item[0]) else " ") + item + ("" if _UNSPACED.match(item[-1]) else " ")
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """errors + 1 pieces of about equal length, each with its offset."""
     cuts = [len(item) * k // (errors + 1) for k in range(errors + 2)]
@@ -76,11 +85,11 @@ def myers(pattern: str, text: str, errors: int) -> int | None:
 class Matcher:
     """The pieces of a set of normalised items, and verification of their hits."""
 
-    def __init__(self, items: dict[int, str], chars_per_edit: int = CHARS_PER_EDIT):
-        self.items = items
+    def __init__(self, items: dict[tuple[int, int], str], chars_per_edit: int = CHARS_PER_EDIT):
+        self.items = {i: bounded(t) for i, t in items.items()}
         self.errors = {i: budget_of(t, chars_per_edit) for i, t in items.items()}
-        places: dict[str, list[tuple[int, int]]] = {}
-        for i, t in items.items():
+        places: dict[str, list[tuple[tuple[int, int], int]]] = {}
+        for i, t in self.items.items():
             for offset, piece in pieces(t, self.errors[i]):
                 places.setdefault(piece, []).append((i, offset))
         self.automaton = ahocorasick.Automaton()
@@ -89,8 +98,9 @@ class Matcher:
         self.automaton.make_automaton()
 
     def find(self, text: str) -> dict[int, int]:
-        """Items within their budget of a substring of ``text``: their least distances."""
-        spans: dict[int, list[tuple[int, int]]] = {}
+        """Ids of items with a text within its budget of a substring of ``text``: their least distances."""
+        text = f" {text} "
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         if not len(self.automaton):
             return {}
         for end, (n, where) in self.automaton.iter(text):
@@ -98,11 +108,11 @@ class Matcher:
                 k = self.errors[item]
                 start = end - n + 1 - offset - k
                 spans.setdefault(item, []).append((start, start + len(self.items[item]) + 2 * k))
-        found = {}
+        found: dict[int, int] = {}
         for item, hits in spans.items():
             pattern, k = self.items[item], self.errors[item]
             if pattern in text:
-                found[item] = 0
+                found[item[0]] = 0
                 continue
             hits.sort()
             best, at, to = None, *hits[0]
@@ -115,25 +125,25 @@ class Matcher:
                     best = d
                 at, to = start, stop
             if best is not None:
-                found[item] = best
+                found[item[0]] = min(best, found.get(item[0], best))
         return found
 
 
-def _passes(benchmark: DataFrame) -> Iterator[dict[int, str]]:
-    """Normalised items in runs of at most ``PASS_BYTES``; streamed, so the driver holds one run."""
-    run: dict[int, str] = {}
+def _passes(benchmark: DataFrame) -> Iterator[dict[tuple[int, int], str]]:
+    """Normalised items by (item_id, number) in runs of about ``PASS_BYTES``, all texts of an id in one; streamed, so the driver holds one run."""
+    run: dict[tuple[int, int], str] = {}
     size = 0
     rows = benchmark.where("item_id IS NOT NULL").groupBy("item_id", "text").count().orderBy("item_id", "text").select("item_id", "text")
     last = None
     for item_id, text in rows.toLocalIterator():
         item = normalise(text)
-        if len(item) < MIN_CHARS or item_id == last:
+        if not item:
             continue
-        last = item_id
-        if size + len(item) > PASS_BYTES and run:
+        if size + len(item) > PASS_BYTES and run and item_id != last:
             yield run
             run, size = {}, 0
-        run[item_id] = item
+        last = item_id
+        run[item_id, len(run)] = item
         size += len(item)
     yield run
 
@@ -142,9 +152,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, chars_per_edit: int
     """doc_id, item_ids (sorted), distances, n_hits, contaminated, for every row of ``docs``.
 
     An item is found if its normalised text is within len // chars_per_edit edits of a
-    substring of the normalised document. Null and empty texts hold nothing; null, empty and
-    short items (under MIN_CHARS) and null item ids are not looked for; of rows with one
-    item_id the first text counts; repeated documents are each matched; an empty benchmark
+    substring of the normalised document. Null and empty texts hold nothing; null and
+    empty items and null item ids are not looked for; items under MIN_CHARS are matched with
+    their word bounds, an edit of a bound counting as one; an item_id with several texts is found by
+    any of them, at the least distance; repeated documents are each matched; an empty benchmark
     matches nothing.
     """
     spark = docs.sparkSession
