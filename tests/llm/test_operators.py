@@ -265,31 +265,6 @@ def test_url_filter(spark):
     assert got == {1: (False, None, 0), 2: (True, "a.com", 1), 3: (False, "b.a.com", 2), 4: (True, "a.com", 1), 5: (False, None, 0), 6: (False, None, 0), 7: (False, None, 0), 8: (False, None, 0)}
 
 
-def test_language_model_is_a_distribution(spark, docs):
-    table = language_model.train(docs, shared_dir(spark))
-    assert np.allclose((2.0 ** table.astype(float)).reshape(-1, language_model.SYMBOLS).sum(axis=1), 1, atol=1e-3)
-
-
-def test_language_model_scores_match_plain_sums(spark, docs):
-    table = language_model.train(docs, shared_dir(spark))
-    rows = docs.select("doc_id", "lang", "text").unionByName(docs.select("doc_id", "lang", "text"))
-    got = language_model.score(rows.repartition(3), table).collect()
-    want = []
-    for doc_id, lang, text in rows.collect():
-        symbols = [0] * 3 + [int(language_model.TABLE[b]) for b in (text or "").encode()] + [0]
-        codes = [((symbols[i - 3] * 40 + symbols[i - 2]) * 40 + symbols[i - 1]) * 40 + symbols[i] for i in range(3, len(symbols))]
-        want.append((doc_id, lang or "", len(codes) - 1, round(-sum(float(table[c]) for c in codes) / len(codes), 6)))
-    assert sorted((r.doc_id, r.lang or "", r.n_symbols, round(r.log2_perplexity, 6)) for r in got) == sorted(want)
-
-
-def test_language_model_held_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = language_model.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").select("kept", "quality", "n_symbols").collect()
-    good = [r.kept for r in got if r.quality == 1]
-    assert sum(good) / len(good) > 0.95
-    assert sum(not r.kept for r in got if r.quality == 0) / sum(r.quality == 0 for r in got) > 0.6
-
-
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], LABELS)
     bench = spark.createDataFrame([], "item_id long, text string")
