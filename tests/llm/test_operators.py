@@ -1,7 +1,5 @@
-import html
 import math
 import random
-import re
 
 import numpy as np
 import pytest
@@ -202,36 +200,6 @@ def test_decontamination_passes(spark, monkeypatch):
     assert max(r[2] for r in one) == 5
 
 
-def test_html_on_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    raw = {r.page_id: r.html for r in pages.collect()}
-    got = html_text.extract(pages).collect()
-    assert len(got) == len(raw)
-    for r in got:
-        body = re.search(r"<article>(.*)</article>", raw[r.page_id], re.S)[1]
-        plain = html.unescape(re.sub(r"</?(p|h1|br)>", " ", re.sub(r"</?b>", "", body)))
-        assert r.text == " ".join(plain.split()) and r.n_chars == len(r.text)
-
-
-def test_html_templates(spark):
-    page = """<html><head><title>T</title></head><body><div class="site-header">Top &amp; more</div><div class="wrap">
-    <div class="menu"><ul><li><a href=/>Home</a></ul></div><p>Para <b>%d</b>&nbsp;one&#x21;<p>Second<br>line</div>
-    <aside>Side</aside><div id="cookie-notice">We use cookies</div><form>Mail <input></form><p>Share this page</p>
-    <section class="comments"><p>Nice %d</p></section><script>if (a < b) "</p>"</script><footer>(c)</footer></body></html>"""
-    rows = [(i, "http://a.example/", page % (i, i)) for i in range(5)] + [(9, None, None), (10, "http://a.example", ""), (11, "x", "plain <i>te</i>xt")]
-    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Para 3 one! " + "Second line" or got[3] == "Para 3 one!"
-    assert got[9] == "" and got[10] == "" and got[11] == "plain text"
-
-
-def test_html_wrapper_shapes():
-    a = html_text.stream(html_text.parse("<body><ul><li>a<li>b</ul><p>x</p><div><p>fixed</p></div></body>"))
-    b = html_text.stream(html_text.parse("<body><ul><li>a</ul><h2>only</h2><p>y</p><div><p>fixed</p></div></body>"))
-    merged = {tuple(x) for x in html_text.align(a, b)}
-    assert ("body/ul/li", None, False, True) in merged and ("body/h2", "only", True, False) in merged
-    assert ("body/p", None, False, False) in merged and ("body/div/p", "fixed", False, False) in merged
-
-
 def test_warc_round_trip(spark):
     big, other = "é<p>" * 400, "b" * 1000
     rows = [(1, "http://x/1", big), (5, None, big), (3, "http://x/ü x", big), (2, "u", None), (4, "u", "small"), (6, "u", "small"), (7, "u", other), (8, "u", "")]
