@@ -23,8 +23,10 @@ from .storage import materialize, shared_dir
 
 #: A pair of similarity 0.85 shares no band with probability (1 - 0.85**6)**36 = 4e-8.
 BANDS, ROWS = 36, 6
-#: Members of one verification task; larger candidate groups are verified in pairs of such parts.
+#: Members of one verification task of a whole bucket; larger buckets are verified in pairs of such parts.
 PART = 1024
+#: Members that one task compares with their bucket's least.
+STAR = 128
 _u32 = np.uint32
 
 
@@ -163,21 +165,19 @@ def _verify(size: int, percent: int):
     return run
 
 
-def similar_links(docs: DataFrame, sketch: DataFrame, folder: str, *, size: int, percent: int, part: int) -> DataFrame:
-    """Confirmed links (a, b) between class representatives; they connect all that similar pairs connect.
+def _star_tasks(shared: DataFrame) -> DataFrame:
+    """(node, root, i, j, side): each bucket's least member against its others, a hub's others dealt over tasks of ``STAR`` or so."""
+    others = shared.where("doc_id <> hub").select(F.col("hub").alias("root"), F.col("doc_id").alias("node")).distinct()
+    fan = others.groupBy("root").agg(F.ceil(F.count("*") / STAR).alias("fan"))
+    each = others.join(fan, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("fan")).alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(1).alias("side"))
+    hubs = fan.select(F.col("root").alias("node"), "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).alias("side"))
+    return each.unionByName(hubs)
 
-    Representatives that share a band form candidate groups. A group is verified in one task per
-    pair of its parts of ``part`` members, ordered by set size; pairs of parts whose sizes rule
-    out the similarity are left out.
-    """
-    reps = materialize(sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("r.*"), "reps", folder)
-    keys = reps.select("doc_id", F.explode("bands").alias("band"))
-    busy = keys.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_max")).where("b < _max").select("band", "b")
-    star = keys.join(busy, "band").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    group = connected_components(star, folder, "candidates")
-    member = group.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
+
+def _part_tasks(member: DataFrame, percent: int, part: int) -> DataFrame:
+    """(node, root, i, j, side): all pairs of parts of each bucket ``root`` (node, root, n_shingles), by set size; ruled out sizes left out."""
     counts = member.groupBy("root").agg(F.count("*").alias("_n"))
-    # Members of a group in order of size, without sorting a group in one task: rank by exact size histogram.
+    # Members of a bucket in order of size, without sorting a bucket in one task: rank by exact size histogram.
     sizes = member.groupBy("root", "n_shingles").agg(F.count("*").alias("_k"))
     ahead = sizes.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("n_shingles", "_k"))).alias("h"))
     cut = F.expr(
@@ -186,7 +186,7 @@ def similar_links(docs: DataFrame, sketch: DataFrame, folder: str, *, size: int,
     )
     small = counts.where(F.col("_n") <= part).select("root")
     large = counts.where(F.col("_n") > part).select("root")
-    base = member.join(small, "root", "left_semi").select("node", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    base = member.join(small, "root", "left_semi").select("node", "root", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
     placed = (
         member.join(ahead.join(large, "root", "left_semi").select("root", F.inline(cut)), "root")
         .where("n_shingles = n")
@@ -197,9 +197,35 @@ def similar_links(docs: DataFrame, sketch: DataFrame, folder: str, *, size: int,
     blocks_ = spans.join(other, "root").where((F.col("i") <= F.col("j")) & (100 * F.col("hi") >= percent * F.col("lo2"))).select("root", "i", "j")
     one = placed.join(blocks_, ["root", "i"]).select("node", "root", "i", "j", F.lit(0).alias("side"))
     two = placed.select("node", "root", F.col("i").alias("j")).join(blocks_.where("i < j"), ["root", "j"]).select("node", "root", "i", "j", F.lit(1).alias("side"))
-    tasks = base.unionByName(one).unionByName(two)
-    texts = docs.select("doc_id", "text").join(materialize(tasks, "tasks", folder).withColumnRenamed("node", "doc_id"), "doc_id")
-    return texts.groupBy("root", "i", "j").applyInArrow(_verify(size, percent), "a long, b long")
+    return base.unionByName(one).unionByName(two)
+
+
+def similar_links(docs: DataFrame, sketch: DataFrame, folder: str, *, size: int, percent: int, part: int) -> DataFrame:
+    """Confirmed links (a, b) between class representatives; they connect all that similar pairs connect.
+
+    Candidates are the pairs of one bucket (a band's value), never more. First each bucket's least member
+    meets its others, which is linear. Then only buckets whose other members still lie in different
+    components of confirmed links are verified whole, in pairs of parts of ``part`` members; of
+    buckets with the same members one is.
+    """
+    reps = materialize(sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("r.*"), "reps", folder)
+    keys = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    busy = keys.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_max")).where("hub < _max").select("band", "hub")
+    shared = materialize(keys.join(busy, "band"), "shared", folder)
+    texts = docs.select("doc_id", "text")
+
+    def verified(tasks: DataFrame, name: str) -> DataFrame:
+        dealt = materialize(tasks, f"{name}_tasks", folder).withColumnRenamed("node", "doc_id")
+        found = texts.join(dealt, "doc_id").groupBy("root", "i", "j").applyInArrow(_verify(size, percent), "a long, b long")
+        return materialize(found, f"{name}_links", folder)
+
+    stars = connected_components(verified(_star_tasks(shared), "star"), folder, "star_cc").select(F.col("node").alias("doc_id"), "root")
+    others = shared.where("doc_id <> hub").join(stars, "doc_id", "left").select("band", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
+    mark = F.xxhash64("doc_id")
+    still = others.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n"), F.bit_xor(mark).alias("_x"), F.sum(F.pmod(mark, F.lit(1 << 31))).alias("_s")).where("_lo < _hi")
+    one = still.groupBy("_n", "_x", "_s").agg(F.min("band").alias("band")).select("band")
+    rest = verified(_part_tasks(others.join(one, "band", "left_semi").select(F.col("doc_id").alias("node"), F.col("band").alias("root"), "n_shingles"), percent, part), "rest")
+    return rest.unionByName(stars.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, part: int = PART) -> DataFrame:

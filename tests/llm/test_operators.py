@@ -90,9 +90,11 @@ def test_suffix_order():
             assert suffix_dedup.suffix_order(text).tolist() == sorted(range(n), key=lambda i: tuple(text[i:]))
 
 
-@pytest.mark.parametrize("part", [2, 1024])
-def test_near_duplicates_match_brute_force(docs, corpus, part):
-    got = rows_of(near_dedup.near_duplicates(docs, part=part), "doc_id", "n_shingles", "component_id", "kept")
+@pytest.mark.parametrize(("part", "bands", "rows"), [(2, 36, 6), (1024, 36, 6), (3, 24, 1)])
+def test_near_duplicates_match_brute_force(docs, corpus, monkeypatch, part, bands, rows):
+    """Bands of one coordinate put unlike texts into one bucket, so that whole buckets are verified too."""
+    monkeypatch.setattr(near_dedup, "STAR", 3)
+    got = rows_of(near_dedup.near_duplicates(docs, part=part, bands=bands, rows=rows), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted(brute.components(corpus))
     assert sum(not r[3] for r in got) >= 6
 
