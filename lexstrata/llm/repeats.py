@@ -65,7 +65,10 @@ def distinct_texts(docs: DataFrame, folder: str) -> DataFrame:
         merged.withColumn("p", F.spark_partition_id()).withColumn("tid", F.monotonically_increasing_id())
         .write.bucketBy(n, "p").option("path", f"{folder}/texts").option("compression", "zstd").format("parquet").saveAsTable(name)
     )
-    return spark.table(name)
+    table = spark.table(name)
+    # The plan holds the files and their buckets; the catalog needn't keep a name for them.
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def shards_of(df: DataFrame) -> int:
@@ -211,7 +214,8 @@ class Runs:
     codes: np.ndarray
 
 
-def candidate_runs(plan: Plan, block: Block, tids: np.ndarray, found: list[np.ndarray]) -> Runs | None:
+def candidate_runs(plan: Plan, block: Block, tids: np.ndarray, found: list[np.ndarray], survivors: bool = False) -> Runs | None:
+    """Windows that may repeat: around a repeated anchor or, where ``found`` holds all repeated k-grams, with one at each end."""
     codes, first = plan.units(block)
     if len(codes) < plan.window or not found:
         return None
@@ -224,10 +228,15 @@ def candidate_runs(plan: Plan, block: Block, tids: np.ndarray, found: list[np.nd
     if not len(row):
         return None
     anchor = first[row] + pos[ours]
-    change = np.zeros(len(codes) + 1, dtype=np.int32)
-    np.add.at(change, np.maximum(anchor - (plan.spread - 1), first[row]), 1)
-    np.add.at(change, anchor + 1, -1)
-    wanted = np.cumsum(change[:-1]) > 0
+    if survivors:
+        again = np.zeros(len(codes), dtype=bool)
+        again[anchor] = True
+        wanted = again[: len(codes) - plan.spread + 1] & again[plan.spread - 1 :]
+    else:
+        change = np.zeros(len(codes) + 1, dtype=np.int32)
+        np.add.at(change, np.maximum(anchor - (plan.spread - 1), first[row]), 1)
+        np.add.at(change, anchor + 1, -1)
+        wanted = np.cumsum(change[:-1]) > 0
     starts = np.flatnonzero(wanted[: len(codes) - plan.window + 1])
     row = np.searchsorted(first, starts, side="right") - 1
     inside = starts + plan.window <= first[row + 1]

@@ -1,7 +1,8 @@
 """Substring dedup by level-wise doubling over word windows.
 
-The first level's windows are about half the target length; those repeated nowhere end there.
-Windows of twice the length (the target at most) are built from survivors alone, and so on.
+Short windows repeated nowhere end at the first level. A window of twice the length (the target's
+at most) is built only where both its halves survived, and so on until the target's length or until
+no window survives. At the first two lengths winnowing picks which short windows are counted.
 """
 
 from __future__ import annotations
@@ -20,23 +21,26 @@ from .rolling import U, blocks, mix, window_hash
 from .storage import materialize
 
 WINDOW = 35
+#: Greatest length of the first level's windows.
+BASE = 5
 
 
-def levels(window: int, base: int = 18) -> list[int]:
+def levels(window: int, base: int | None = None) -> list[int]:
     """Window lengths, each at most twice the one before, up to ``window``."""
+    base = base or BASE
     out = [window]
     while out[0] > base:
         out.insert(0, (out[0] + 1) // 2)
     return out
 
 
-def _send_windows(plan: R.Plan, shards: int):
+def _send_windows(plan: R.Plan, shards: int, survivors: bool):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         places, out = R.gathered(found), []
         if texts.num_rows and places:
             tids = texts.column("tid").to_numpy()
             for block in blocks(texts.column("text")):
-                runs = R.candidate_runs(plan, block, tids[block.rows], places)
+                runs = R.candidate_runs(plan, block, tids[block.rows], places, survivors)
                 if runs is None:
                     continue
                 tid = tids[block.rows][runs.row]
@@ -124,13 +128,16 @@ def judged(docs: DataFrame, *, window: int = WINDOW, with_text: bool = False) ->
     steps = levels(window)
     texts, folder = R.prepare(docs)
     found = None
-    for k, (gram, size) in enumerate(zip(steps, steps[1:] or [window])):
+    for gram, size in zip(steps, steps[1:] or [window]):
         plan = R.Plan("word", size, min(gram, size))
-        if found is None:
+        survivors = found is not None
+        if not survivors:
             found = materialize(R.repeated_anchors(texts, plan), "anchors", folder)
-        sent = R.with_texts(texts.select("p", "tid", "text"), found, _send_windows(plan, R.shards_of(texts)), R.ROUTED)
+        sent = R.with_texts(texts.select("p", "tid", "text"), found, _send_windows(plan, R.shards_of(texts), survivors), R.ROUTED)
         found = R.dealt(sent).mapInArrow(lambda it: R.by_shard(it, _settle_windows), R.ROUTED)
         found = materialize(found, f"windows_{size}", folder)
+        if found.isEmpty():
+            break
         if size < window:
             found = found.mapInArrow(_starts, R.ROUTED)
     return R.with_texts(texts.select("p", "digest", "copies", "tid", "text"), found, _finish(window, with_text), DDL)

@@ -63,7 +63,7 @@ def test_substring_matches_brute_force(docs, corpus):
 def test_substring_levels(docs, corpus, window):
     got = rows_of(substring_dedup.substring_dedup(docs, window=window), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == sorted(brute.substring(corpus, window))
-    assert substring_dedup.levels(80) == [10, 20, 40, 80]
+    assert substring_dedup.levels(80) == [5, 10, 20, 40, 80] and substring_dedup.levels(35) == [5, 9, 18, 35]
 
 
 def test_cut_repeats_keeps_columns(docs, corpus):
