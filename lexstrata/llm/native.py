@@ -10,6 +10,14 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def digest_of(text: Column) -> Column:
     """128 bits of SHA-256 of the whole text; null counts as empty."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
