@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .native import keys_for_join
+from .storage import materialize
+
 #: Days of one time slice; captures of a busy host spread over slices.
 SLICE_DAYS = 16
+#: Hash values of listed domains that captures are sifted by (so many rows are broadcast at most).
+SIEVE = 1 << 20
+#: Captures of one (domain, slice) beyond which they are dealt over parts.
+BUSY = 1_000_000
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -40,34 +47,49 @@ def intervals(entries: DataFrame) -> DataFrame:
     )
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, *, slice_days: int = SLICE_DAYS) -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, *, slice_days: int = SLICE_DAYS, busy: int = BUSY) -> DataFrame:
     """Each capture (page_id, url, fetched_at) with host, n_active, rule, blocked.
 
     Entries of the host and of its parent domains apply if valid_from <= fetched_at < valid_to;
     the longest domain decides (rule), n_active counts them. Captures without host, time
-    or match are not blocked and have rule null. Repeated captures are each judged.
-    Intervals are cut into time slices, so the join key is (domain, slice): a busy
-    host's captures spread over slices, and each meets the intervals of its slice alone.
+    or match are not blocked and have rule null. Repeated captures are each judged; no captures give no
+    rows, and an empty list blocks nothing. Intervals are cut into time slices, so the join key is (domain, slice).
+    Before the join a capture keeps only parent domains that may be listed (by their hash, so none is lost),
+    and one row of its own key that meets nothing; busy (domain, slice) are dealt over parts, each with all
+    intervals of its slice.
     """
     day = lambda c: F.floor(F.unix_seconds(c) / (86400 * slice_days))
+    spans = intervals(entries)
     last = captures.agg(F.max("fetched_at").alias("last"))
     active = (
-        intervals(entries).join(F.broadcast(last), F.lit(True))
+        spans.join(F.broadcast(last), F.lit(True))
         .withColumn("_to", F.least(F.coalesce("valid_to", "last"), "last"))
         .where("valid_from <= _to")
         .withColumn("slice", F.explode(F.sequence(day(F.col("valid_from")), day(F.col("_to")))))
         .select("domain", "slice", "verdict", "valid_from", "valid_to")
     )
+    sieve = lambda c: F.xxhash64(c).bitwiseAND(F.lit(SIEVE - 1))
+    listed = spans.select(sieve("domain").alias("_hash")).distinct().withColumn("_listed", F.lit(True))
     parts = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    rows = captures.select("page_id", "url", "fetched_at").withColumn("host", host_of(F.col("url")))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id()).select(
-        "*", day(F.col("fetched_at")).alias("slice"), F.explode_outer(parents).alias("domain")
+    alone = F.array(F.concat(F.lit("\0"), F.col("_row").cast("string")))
+    rows = captures.select("page_id", "url", "fetched_at").withColumn("host", host_of(F.col("url"))).withColumn("_row", F.monotonically_increasing_id())
+    keyed = (
+        rows.select("*", day(F.col("fetched_at")).alias("slice"), F.explode(F.when(F.col("host").isNull(), alone).otherwise(F.concat(alone, parents))).alias("domain"))
+        .withColumn("_hash", sieve("domain"))
+        .join(F.broadcast(listed), "_hash", "left")
+        .where(F.col("_listed") | F.col("domain").startswith("\0"))
     )
+    crowd = keyed.where("_listed AND slice IS NOT NULL").groupBy("domain", "slice").agg(F.count("*").alias("_n")).where(F.col("_n") > busy)
+    crowd = keys_for_join(materialize(crowd.select("domain", "slice", F.ceil(F.col("_n") / busy).cast("int").alias("_fan")), "busy"))
+    fan = F.coalesce("_fan", F.lit(1))
+    keyed = keyed.join(crowd, ["domain", "slice"], "left").withColumn("_part", F.pmod(F.xxhash64("_row"), fan).cast("int"))
+    active = active.join(crowd, ["domain", "slice"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), fan - 1)))
     hit = keyed.alias("c").join(
         active.alias("a"),
         (F.col("c.domain") == F.col("a.domain"))
         & (F.col("c.slice") == F.col("a.slice"))
+        & (F.col("c._part") == F.col("a._part"))
         & (F.col("a.valid_from") <= F.col("c.fetched_at"))
         & (F.col("a.valid_to").isNull() | (F.col("c.fetched_at") < F.col("a.valid_to"))),
         "left",
