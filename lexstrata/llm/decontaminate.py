@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native import digest_of, keys_for_join
+from .native import digest_of, fresh, keys_for_join
 from .storage import materialize
 
 #: Characters of an item for each edit of its budget.
@@ -158,9 +158,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, chars_per_edit: int
     any of them, at the least distance; repeated documents are each matched; an empty benchmark
     matches nothing.
     """
+    return _matched(docs, benchmark, chars_per_edit).drop("key")
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int) -> DataFrame:
+    """The verdicts with the digest of each text as key."""
     spark = docs.sparkSession
-    keyed = "_key" in docs.columns
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("_key") if keyed else digest_of(F.col("text")).alias("_key"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), digest_of(F.col("text")).alias("key"), "text")
     parts = []
     for items in _passes(benchmark.select(F.col("item_id").cast("long"), "text")):
         shared = spark.sparkContext.broadcast((items, chars_per_edit))
@@ -187,15 +191,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, chars_per_edit: int
             F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_ids", "distances"))))).alias("hits"), F.count_if(F.col("_pass") == 0).alias("_copies")
         ).select("*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
         whole = whole.withColumns({"item_ids": F.col("hits.item_ids"), "distances": F.col("hits.distances"), "n_hits": F.size("hits")})
-    out = whole.select("doc_id", "item_ids", "distances", "n_hits", (F.col("n_hits") > 0).alias("contaminated"), "key")
-    return out if keyed else out.drop("key")
+    return whole.select("doc_id", "item_ids", "distances", "n_hits", (F.col("n_hits") > 0).alias("contaminated"), "key")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, unchanged; the verdict is met by the text's digest."""
-    keyed = docs.withColumn("_key", digest_of(F.col("text")))
-    bad = materialize(decontaminate(keyed, benchmark).where("contaminated").select(F.col("key").alias("_key")).distinct(), "contaminated")
-    return keyed.join(keys_for_join(bad), "_key", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_key")
+    bad = _matched(docs, benchmark, CHARS_PER_EDIT).where("contaminated").select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, digest_of(F.col("text"))).join(keys_for_join(materialize(bad, "contaminated")), key, "left_anti").drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

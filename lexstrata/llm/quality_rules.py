@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .native import digest_of, feature_rows, keys_for_join, word_array
+from .native import digest_of, feature_rows, fresh, keys_for_join, word_array
 from .storage import materialize
 
 BUCKETS = 1 << 16
@@ -98,7 +98,8 @@ def _scored(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...], thresh
 def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, the base counts, base_failed, llr (mean log ratio per n-gram; null without any) and kept.
 
-    Trusted text: documents whose label has quality 1. A document is kept if the base
+    Trusted text: documents whose label has quality 1. ``THRESHOLD`` and ``PRIOR`` are fixed numbers, chosen on held-out
+    labels of a corpus like this one; another corpus wants its own ``threshold``. A document is kept if the base
     rules pass and llr is at least ``threshold``. Null texts fail; null ids are judged like
     others; repeated rows are each judged; empty tables give no rows.
     """
@@ -107,10 +108,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, unchanged. The verdict is one of the text, so it is met by the text's digest."""
-    keyed = docs.withColumn("_digest", digest_of(F.col("text")))
-    bad = _scored(keyed.select("doc_id", "text", "_digest"), labels, ("_digest",), threshold, buckets).where("NOT kept").select("_digest").distinct()
-    bad = materialize(bad, "rejected")
-    return keyed.join(keys_for_join(bad), "_digest", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_digest")
+    keyed = docs.withColumn(key, digest_of(F.col("text")))
+    bad = _scored(keyed.select("doc_id", "text", F.col(key).alias("digest")), labels, ("digest",), threshold, buckets).where("NOT kept")
+    bad = materialize(bad.select(F.col("digest").alias(key)).distinct(), "rejected")
+    return keyed.join(keys_for_join(bad), key, "left_anti").drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test session) gets a
-    temporary folder, which is then set for the rest of the session.
+    Only a local session without that setting (as in tests) gets a temporary folder, which is
+    then set for the rest of the session; on a cluster no folder of one machine would do.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lexstrata-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lexstrata-{uuid.uuid4().hex}"
