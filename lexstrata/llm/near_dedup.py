@@ -27,6 +27,8 @@ BANDS, ROWS = 36, 6
 PART = 1024
 #: Members that one task compares with their bucket's least.
 STAR = 128
+#: Rows of five numbers that may be broadcast (about 25 MB as a hash table).
+SMALL = 250_000
 _u32 = np.uint32
 
 
@@ -165,11 +167,11 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _star_tasks(shared: DataFrame) -> DataFrame:
+def _star_tasks(shared: DataFrame, folder: str) -> DataFrame:
     """(node, root, i, j, side): each bucket's least member against its others, a hub's others dealt over tasks of ``STAR`` or so."""
     others = shared.where("doc_id <> hub").select(F.col("hub").alias("root"), F.col("doc_id").alias("node")).distinct()
-    fan = others.groupBy("root").agg(F.ceil(F.count("*") / STAR).alias("fan"))
-    each = others.join(fan, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("fan")).alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(1).alias("side"))
+    fan = materialize(others.groupBy("root").agg(F.ceil(F.count("*") / STAR).alias("fan")), "fans", folder)
+    each = others.join(keys_for_join(fan, SMALL), "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("fan")).alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(1).alias("side"))
     hubs = fan.select(F.col("root").alias("node"), "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).alias("side"))
     return each.unionByName(hubs)
 
@@ -211,19 +213,19 @@ def similar_links(docs: DataFrame, sketch: DataFrame, folder: str, *, size: int,
     reps = materialize(sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("r.*"), "reps", folder)
     keys = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     busy = keys.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_max")).where("hub < _max").select("band", "hub")
-    shared = materialize(keys.join(busy, "band"), "shared", folder)
+    shared = materialize(keys.join(keys_for_join(materialize(busy, "busy", folder), SMALL), "band"), "shared", folder)
     texts = docs.select("doc_id", "text")
 
     def verified(tasks: DataFrame, name: str) -> DataFrame:
         dealt = materialize(tasks, f"{name}_tasks", folder).withColumnRenamed("node", "doc_id")
-        found = texts.join(dealt, "doc_id").groupBy("root", "i", "j").applyInArrow(_verify(size, percent), "a long, b long")
+        found = texts.join(keys_for_join(dealt, SMALL), "doc_id").groupBy("root", "i", "j").applyInArrow(_verify(size, percent), "a long, b long")
         return materialize(found, f"{name}_links", folder)
 
-    stars = connected_components(verified(_star_tasks(shared), "star"), folder, "star_cc").select(F.col("node").alias("doc_id"), "root")
+    stars = connected_components(verified(_star_tasks(shared, folder), "star"), folder, "star_cc").select(F.col("node").alias("doc_id"), "root")
     others = shared.where("doc_id <> hub").join(stars, "doc_id", "left").select("band", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
     mark = F.xxhash64("doc_id")
     still = others.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n"), F.bit_xor(mark).alias("_x"), F.sum(F.pmod(mark, F.lit(1 << 31))).alias("_s")).where("_lo < _hi")
-    one = still.groupBy("_n", "_x", "_s").agg(F.min("band").alias("band")).select("band")
+    one = keys_for_join(materialize(still.groupBy("_n", "_x", "_s").agg(F.min("band").alias("band")).select("band"), "unsettled", folder), SMALL)
     rest = verified(_part_tasks(others.join(one, "band", "left_semi").select(F.col("doc_id").alias("node"), F.col("band").alias("root"), "n_shingles"), percent, part), "rest")
     return rest.unionByName(stars.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
 
