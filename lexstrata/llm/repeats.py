@@ -72,7 +72,8 @@ def distinct_texts(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def shards_of(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """One for each shuffle partition: a task sends each shard one blob, as a shuffle's map task does."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -122,24 +123,39 @@ def anchors_of(plan: Plan, block: Block) -> tuple[np.ndarray, np.ndarray, np.nda
     return hashes[at], row, at - first[row]
 
 
+#: Anchors or windows that a task holds before it sends them.
+HELD = 1 << 22
+
+
+def _anchor_blobs(held: list[tuple[np.ndarray, ...]], shards: int) -> list[tuple[int, int, bytes]]:
+    """Anchors (hash, tid, position) of a run of blocks: what repeats among them is settled, of equal ones one is sent."""
+    h, tid, pos = (np.concatenate([x[i] for x in held]) for i in range(3))
+    _, place, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    local = count[inverse] > 1
+    out = list(to_texts(tid[local], pos[local]))
+    place.sort()
+    h, tid, pos = h[place], tid[place], pos[place]
+    for s, part in groups((h % U(shards)).astype(np.int64)):
+        runs = np.flatnonzero(np.diff(tid[part], prepend=tid[part][0] - 1))
+        out.append((0, s, pack((h[part] >> U(32)).astype(np.uint32), pos[part], tid[part][runs], np.diff(runs, append=len(part)).astype(np.int32))))
+    return out
+
+
 def _send_anchors(plan: Plan, shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             tids = batch.column("tid").to_numpy()
             for block in blocks(batch.column("text")):
                 h, row, pos = anchors_of(plan, block)
-                if not len(h):
-                    continue
-                tid, pos = tids[block.rows][row], pos.astype(np.int32)
-                _, place, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                local = count[inverse] > 1
-                out = list(to_texts(tid[local], pos[local]))
-                place.sort()
-                h, tid, pos = h[place], tid[place], pos[place]
-                for s, part in groups((h % U(shards)).astype(np.int64)):
-                    runs = np.flatnonzero(np.diff(tid[part], prepend=tid[part][0] - 1))
-                    out.append((0, s, pack((h[part] >> U(32)).astype(np.uint32), pos[part], tid[part][runs], np.diff(runs, append=len(part)).astype(np.int32))))
-                yield _batch(out)
+                if len(h):
+                    held.append((h, tids[block.rows][row], pos.astype(np.int32)))
+                    size += len(h)
+                if size >= HELD:
+                    yield _batch(_anchor_blobs(held, shards))
+                    held, size = [], 0
+        if held:
+            yield _batch(_anchor_blobs(held, shards))
 
     return run
 
@@ -250,17 +266,10 @@ def candidate_runs(plan: Plan, block: Block, tids: np.ndarray, found: list[np.nd
     return Runs(row[begin], starts[begin] - first[row[begin]], np.diff(begin, append=len(starts)), starts[begin], least[begin], codes)
 
 
-def distinct_runs(plan: Plan, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """For each run a 128-bit name of its units, as an index; and each name's number of runs."""
+def run_names(plan: Plan, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run's units."""
     end = runs.at + runs.n + plan.window - 1
-    a = span_hash(prefix_sums(runs.codes), runs.at, end)
-    b = span_hash(prefix_sums(mix(runs.codes + U(1)), 1), runs.at, end, 1)
-    order = np.lexsort((b, a))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    name = np.empty(len(order), dtype=np.int64)
-    name[order] = np.cumsum(new) - 1
-    return name, np.bincount(name)
+    return span_hash(prefix_sums(runs.codes), runs.at, end), span_hash(prefix_sums(mix(runs.codes + U(1)), 1), runs.at, end, 1)
 
 
 def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:

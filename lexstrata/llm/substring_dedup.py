@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .native import digest_of
-from .rolling import U, blocks, mix, window_hash
+from .native import digest_of, fresh
+from .rolling import U, blocks, mix, prefix_sums, span_hash, window_hash
 from .storage import materialize
 
 WINDOW = 35
@@ -35,25 +35,43 @@ def levels(window: int, base: int | None = None) -> list[int]:
 
 
 def _send_windows(plan: R.Plan, shards: int, survivors: bool):
+    def blobs(held: list[tuple[np.ndarray, ...]]) -> list[tuple[int, int, bytes]]:
+        """Runs (tid, start, n, least k-gram, both hashes of all their windows): runs that repeat here are settled, of equal ones one is sent."""
+        tid, start, n, least, a, b = (np.concatenate([x[i] for x in held]) for i in range(6))
+        at = np.cumsum(n) - n
+        # A run is named by its windows: two hashes over theirs, in order.
+        one, two = (span_hash(prefix_sums(x, k), at, at + n, k) for k, x in enumerate((a, b)))
+        order = np.lexsort((two, one))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        name = np.empty(len(order), dtype=np.int64)
+        name[order] = np.cumsum(new) - 1
+        again = np.bincount(name)[name] > 1
+        out = list(R.to_texts(tid[again], start[again], n[again]))
+        first = np.unique(name, return_index=True)[1]
+        for s, part in R.groups((least[first] % U(shards)).astype(np.int64)):
+            k = first[part]
+            w = R.ranges(at[k], n[k])
+            out.append((0, s, R.pack(tid[k], start[k], n[k], a[w], (b[w] >> U(32)).astype(np.uint32))))
+        return out
+
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        places, out = R.gathered(found), []
+        places, out, held, size = R.gathered(found), [], [], 0
         if texts.num_rows and places:
             tids = texts.column("tid").to_numpy()
             for block in blocks(texts.column("text")):
                 runs = R.candidate_runs(plan, block, tids[block.rows], places, survivors)
                 if runs is None:
                     continue
-                tid = tids[block.rows][runs.row]
-                name, count = R.distinct_runs(plan, runs)
-                again = count[name] > 1
-                out += R.to_texts(tid[again], runs.start[again].astype(np.int32), runs.n[again].astype(np.int32))
-                one = np.unique(name, return_index=True)[1]
-                a = window_hash(runs.codes, plan.window)
-                b = window_hash(mix(runs.codes + U(1)), plan.window, 1)
-                for s, part in R.groups((runs.least[one] % U(shards)).astype(np.int64)):
-                    k = one[part]
-                    at = R.ranges(runs.at[k], runs.n[k])
-                    out.append((0, s, R.pack(tid[k], runs.start[k].astype(np.int32), runs.n[k].astype(np.int32), a[at], (b[at] >> U(32)).astype(np.uint32))))
+                w = R.ranges(runs.at, runs.n)
+                a, b = window_hash(runs.codes, plan.window)[w], window_hash(mix(runs.codes + U(1)), plan.window, 1)[w]
+                held.append((tids[block.rows][runs.row], runs.start.astype(np.int32), runs.n.astype(np.int32), runs.least, a, b))
+                size += len(w)
+                if size >= R.HELD:
+                    out += blobs(held)
+                    held, size = [], 0
+        if held:
+            out += blobs(held)
         return pa.Table.from_batches([R._batch(out)])
 
     return run
@@ -167,12 +185,13 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated words cut out of text (and n_chars counted again, if there); texts left without words go."""
-    changed = judged(docs, window=window, with_text=True).where("n_removed > 0").select(F.col("digest").alias("_digest"), F.col("kept").alias("_kept"))
-    joined = docs.withColumn("_digest", digest_of(F.col("text"))).join(changed, "_digest", "left")
-    text = F.coalesce("_kept", "text")
-    rows = joined.where(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]")).withColumn("text", text)
+    key, kept = fresh(docs, "_digest"), fresh(docs, "_kept")
+    changed = judged(docs, window=window, with_text=True).where("n_removed > 0").select(F.col("digest").alias(key), F.col("kept").alias(kept))
+    joined = docs.withColumn(key, digest_of(F.col("text"))).join(changed, key, "left")
+    text = F.coalesce(kept, "text")
+    rows = joined.where(F.col(kept).isNull() | F.col(kept).rlike(r"[^\x20\x09-\x0D]")).withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)
 
 

@@ -94,24 +94,39 @@ def equal_neighbours(data: np.ndarray, starts: np.ndarray, window: int) -> np.nd
 
 
 def _send_runs(plan: R.Plan, shards: int):
+    def blobs(held: list[tuple]) -> list[tuple[int, int, bytes]]:
+        """Runs (tid, order, start, n, least k-gram, two hashes, bytes): of equal ones the first is sent, the others are settled."""
+        tid, order, start, n, least, one, two = (np.concatenate([x[i] for x in held]) for i in range(7))
+        data = np.concatenate([x[7] for x in held])
+        size = n.astype(np.int64) + plan.window - 1
+        at = np.cumsum(size) - size
+        by = np.lexsort((start, tid, order, two, one))
+        first = np.ones(len(by), dtype=bool)
+        first[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])
+        late, kept = by[~first], np.sort(by[first])
+        out = list(R.to_texts(tid[late], start[late], n[late]))
+        for s, part in R.groups((least[kept] % U(shards)).astype(np.int64)):
+            k = kept[part]
+            out.append((0, s, R.pack(tid[k], order[k], start[k], n[k], data[R.ranges(at[k], size[k])])))
+        return out
+
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        places, out = R.gathered(found), []
+        places, out, held, total = R.gathered(found), [], [], 0
         if texts.num_rows and places:
             tids, ids = texts.column("tid").to_numpy(), texts.column("first_id").to_numpy()
             for block in blocks(texts.column("text")):
                 runs = R.candidate_runs(plan, block, tids[block.rows], places)
                 if runs is None:
                     continue
-                tid, order = tids[block.rows][runs.row], ids[block.rows][runs.row]
-                name, _ = R.distinct_runs(plan, runs)
-                by = np.lexsort((runs.start, tid, order, name))
-                first = np.ones(len(by), dtype=bool)
-                first[1:] = name[by][1:] != name[by][:-1]
-                late, one = by[~first], np.sort(by[first])
-                out += R.to_texts(tid[late], runs.start[late].astype(np.int32), runs.n[late].astype(np.int32))
-                for s, part in R.groups((runs.least[one] % U(shards)).astype(np.int64)):
-                    k = one[part]
-                    out.append((0, s, R.pack(tid[k], order[k], runs.start[k].astype(np.int32), runs.n[k].astype(np.int32), block.data[R.ranges(runs.at[k], runs.n[k] + plan.window - 1)])))
+                one, two = R.run_names(plan, runs)
+                data = block.data[R.ranges(runs.at, runs.n + plan.window - 1)]
+                held.append((tids[block.rows][runs.row], ids[block.rows][runs.row], runs.start.astype(np.int32), runs.n.astype(np.int32), runs.least, one, two, data))
+                total += len(data)
+                if total >= R.HELD << 3:
+                    out += blobs(held)
+                    held, total = [], 0
+        if held:
+            out += blobs(held)
         return pa.Table.from_batches([R._batch(out)])
 
     return run
