@@ -22,7 +22,8 @@ REVISIT_BYTES = 1000
 #: Records of one payload beyond which they are dealt over parts in joins.
 BUSY = 1_000_000
 EPOCH = "2024-01-01T00:00:00Z"
-_STORED = pa.schema([("sha256", pa.string()), ("sha1", pa.string()), ("n_bytes", pa.int64()), ("response_id", pa.int64()), ("copies", pa.int64()), ("block", pa.binary())])
+_ENTRY = pa.schema([("page_id", pa.int64()), ("sha256", pa.string()), ("sha1", pa.string()), ("n_bytes", pa.int64()), ("block", pa.binary())])
+ENTRY_DDL = "page_id long, sha256 string, sha1 string, n_bytes long, block binary"
 STORED_DDL = "sha256 string, sha1 string, n_bytes long, response_id long, copies long, block binary"
 
 
@@ -34,16 +35,15 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deflate each payload once, after its digest is verified."""
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests and the deflated payload of each page: what is shuffled to find equal payloads is small."""
     for batch in batches:
-        rows = []
-        for sha256, sha1, n_bytes, response_id, copies, html in zip(*(c.to_pylist() for c in batch.columns)):
-            payload = html.encode("utf-8")
-            if hashlib.sha256(payload).hexdigest() != sha256:
-                raise BadRecord(f"payload {sha256} doesn't have its digest")
-            rows.append((sha256, sha1, n_bytes, response_id, copies, zlib.compress(payload, 1)))
-        yield _batch(rows, _STORED)
+        for at in range(0, batch.num_rows, 256):
+            rows = []
+            for page_id, html in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                payload = (html or "").encode("utf-8")
+                rows.append((page_id, hashlib.sha256(payload).hexdigest(), hashlib.sha1(payload).hexdigest(), len(payload), zlib.compress(payload, 1)))
+            yield _batch(rows, _ENTRY)
 
 
 def header(record_type: str, page_id: int | None, url: str | None, sha1: str, n_bytes: int, refers_to: int | None) -> bytes:
@@ -90,17 +90,15 @@ def write_archive(pages: DataFrame, path: str) -> None:
     of one page_id are each a record (all of them the response, where theirs is the greatest id); an empty
     table gives two empty tables; other columns aren't read.
     """
-    html = F.coalesce("html", F.lit(""))
-    light = pages.select(
-        F.col("page_id").cast("long"), "url", F.sha2(html.cast("binary"), 256).alias("sha256"), F.sha1(html.cast("binary")).alias("sha1"),
-        F.octet_length(html).cast("long").alias("n_bytes"), html.alias("html"),
-    )
-    distinct = light.groupBy("sha256").agg(
-        F.first("sha1").alias("sha1"), F.first("n_bytes").alias("n_bytes"), F.max("page_id").alias("response_id"), F.count("*").alias("copies"), F.first("html").alias("html")
+    entries = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_digest, ENTRY_DDL)
+    distinct = entries.groupBy("sha256").agg(
+        F.first("sha1").alias("sha1"), F.first("n_bytes").alias("n_bytes"), F.max("page_id").alias("response_id"), F.count("*").alias("copies"), F.first("block").alias("block")
     )
-    distinct.mapInArrow(_store, STORED_DDL).write.mode("overwrite").option("compression", "none").parquet(f"{path}/payloads")
+    distinct.write.mode("overwrite").option("compression", "none").parquet(f"{path}/payloads")
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    light = pages.select(F.col("page_id").cast("long"), "url", F.sha2(html, 256).alias("sha256"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("n_bytes"))
     stored = pages.sparkSession.read.parquet(f"{path}/payloads")
-    records = _met(light.select("page_id", "url", "sha256", "sha1", "n_bytes"), stored, stored.select("sha256", "response_id"))
+    records = _met(light, stored, stored.select("sha256", "response_id"))
     records.select("page_id", "url", "sha256", "sha1", "n_bytes", "response_id").mapInArrow(_headers, "page_id long, sha256 string, whole boolean, header binary").write.mode(
         "overwrite"
     ).option("compression", "zstd").parquet(f"{path}/headers")
