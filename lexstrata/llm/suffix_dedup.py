@@ -24,6 +24,8 @@ from .substring_dedup import runs_of
 
 WINDOW = 100
 GRAM = 32
+#: Shards for each shuffle partition: a shard's suffix array is built in one Python worker.
+SHARDS = 4
 
 
 def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -122,7 +124,7 @@ def _send_runs(plan: R.Plan, shards: int):
                 data = block.data[R.ranges(runs.at, runs.n + plan.window - 1)]
                 held.append((tids[block.rows][runs.row], ids[block.rows][runs.row], runs.start.astype(np.int32), runs.n.astype(np.int32), runs.least, one, two, data))
                 total += len(data)
-                if total >= R.HELD << 3:
+                if total >= R.HELD << 1:
                     out += blobs(held)
                     held, total = [], 0
         if held:
@@ -206,7 +208,7 @@ def suffix_dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) ->
     plan = R.Plan("byte", window, min(gram, window))
     texts, folder = R.prepare(docs)
     found = materialize(R.repeated_anchors(texts, plan), "anchors", folder)
-    sent = R.with_texts(texts.select("p", "tid", "first_id", "text"), found, _send_runs(plan, R.shards_of(texts)), R.ROUTED)
+    sent = R.with_texts(texts.select("p", "tid", "first_id", "text"), found, _send_runs(plan, SHARDS * R.shards_of(texts)), R.ROUTED)
     found = materialize(R.dealt(sent).mapInArrow(lambda it: R.by_shard(it, _settle_suffixes(window)), R.ROUTED), "suffixes", folder)
     each = R.with_texts(texts.select("p", "tid", "first_id", "digest", "text"), found, _finish(window), DDL)
     keyed = docs.select("doc_id", digest_of(F.col("text")).alias("digest"))
