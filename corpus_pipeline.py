@@ -12,6 +12,10 @@ from lexstrata.llm.storage import materialize, shared_dir
 from lexstrata.llm.substring_dedup import cut_repeats
 
 
+#: Target share of words; the other domains keep their proportions, as the first stage has already taken low-quality texts out.
+MIXTURE = {"toxic": 0.03}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with mix_rate, the expected uses of each in the target mixture; rows of rate 0 go."""
-    return with_rates(docs, _table(spark, sf_dir, "labels"))
+    return with_rates(docs, _table(spark, sf_dir, "labels"), targets=MIXTURE)
 
 
 STAGES = [
@@ -49,7 +53,7 @@ STAGES = [
     ("source mixing", mixing),
 ]
 
-#: The hashed classifiers and the signatures have no SQL form; tests hold run() against a brute-force version.
+#: The hashed classifiers and the signatures have no SQL form; tests hold every stage to a brute-force version on its own input.
 ORACLE_SQL = None
 
 
