@@ -2,60 +2,29 @@
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import kernels
+
 DIM = 128
-_TOKEN = re.compile(rb"[a-z0-9]{2,}")
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def _bucket(token: bytes, dim: int) -> int:
-    h = 0
-    for c in token:
-        h = (31 * h + c) & 0xFFFFFFFF
-    h = h - (1 << 32) if h >= 1 << 31 else h
-    return abs(h) % dim
-
-
-def embed_text(text: str | None, dim: int = DIM, known: dict | None = None) -> np.ndarray:
-    """Unit vector of hashed tokens and of every 7th byte; zeros for blank text."""
-    raw = (text or "").encode("utf-8")
-    out = np.zeros(dim)
-    if not raw.strip(b" \t\n\x0b\x0c\r"):
-        return out
-    known = {} if known is None else known
-    for token in _TOKEN.findall(raw.translate(_FOLD)):
-        at = known.get(token)
-        if at is None:
-            if len(known) > 200_000:
-                known.clear()
-            at = known[token] = (_bucket(token, dim), _bucket(token + b"#2", dim))
-        out[at[0]] += 1.0
-        out[at[1]] += 0.5
-    out += 0.05 * np.bincount(np.frombuffer(raw[::7], dtype=np.int8).astype(np.int64) % dim, minlength=dim)
-    return out / np.sqrt((out * out).sum())
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hashed_embedding(text: pd.Series) -> pd.Series:
-    known: dict = {}
-    return text.map(lambda t: embed_text(t, known=known))
-
-
-@F.pandas_udf(T.DoubleType())
-def byte_entropy(text: pd.Series) -> pd.Series:
-    def one(t):
-        n = np.bincount(np.frombuffer((t or "").encode("utf-8"), dtype=np.uint8))
-        n = n[n > 0] / max(n.sum(), 1)
-        return float(-(n * np.log2(n)).sum()) + 0.0
-
-    return text.map(one)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def hashed_embedding(text: pa.Array) -> pa.Array:
+    return kernels.embed(text, DIM)
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType() if k else T.IntegerType()) for k, c in enumerate(kernels.STYLE)]))
+def style_measures(text: pa.Array) -> pa.Array:
+    """All measures of a text's style and its byte entropy, in one pass."""
+    return kernels.style(text)
+
+
+def byte_entropy(text: str) -> Column:
+    return style_measures(text)["char_entropy"]
 
 
 def dot(a: Column, b: Column) -> Column:

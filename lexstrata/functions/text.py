@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .embed import style_measures
+from .kernels import STYLE
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -95,29 +98,9 @@ def recency_signal(date: Column) -> Column:
 
 
 def style_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds word_count, type_token_ratio, sentence and punctuation features, repetition_score."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    step = df.withColumn("_w", word_tokens(t)).withColumn("_n", F.size("_w"))
-    parts = F.split(trimmed(t), rf"(?<=[.!?]){SPACE}+")
-    lengths = F.filter(F.transform(parts, lambda s: F.size(word_tokens(s)).cast("double")), lambda n: n > 0)
-    step = step.withColumn("_s", lengths)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    step = step.withColumn("_avg", F.when(F.size("_s") > 0, total(F.col("_s")) / F.greatest(F.size("_s"), F.lit(1))).otherwise(0.0))
-    spread = F.expr("aggregate(_s, cast(0 as double), (a, x) -> a + (x - _avg) * (x - _avg))")
-    step = step.withColumn("_sd", F.when(F.size("_s") > 1, F.sqrt(spread / F.greatest(F.size("_s") - 1, F.lit(1)))).otherwise(0.0))
-    grams = F.expr("transform(sequence(0, greatest(_n - 3, 0)), i -> concat_ws(' ', get(_w, i), get(_w, i + 1), get(_w, i + 2)))")
-    step = step.withColumn("_g", grams)
-    marks = F.length(F.regexp_replace(t, r"""[^.,;:!?"'()\-]""", ""))
-    return (
-        step.withColumn("word_count", F.col("_n"))
-        .withColumn("type_token_ratio", F.when(F.col("_n") > 0, F.size(F.array_distinct("_w")) / F.greatest(F.col("_n"), F.lit(1))).otherwise(0.0))
-        .withColumn("avg_sentence_length", F.col("_avg"))
-        .withColumn("sentence_length_std", F.col("_sd"))
-        .withColumn("burstiness", F.when(F.col("_avg") > 0, F.try_divide("_sd", "_avg")).otherwise(0.0))
-        .withColumn("punctuation_ratio", F.coalesce(F.try_divide(marks.cast("double"), F.octet_length(t)), F.lit(0.0)))
-        .withColumn("repetition_score", F.when(F.col("_n") < 6, 0.0).otherwise((F.size("_g") - F.size(F.array_distinct("_g"))) / F.size("_g")))
-        .drop("_w", "_n", "_s", "_avg", "_sd", "_g")
-    )
+    """Adds word_count, type_token_ratio, sentence and punctuation features, repetition_score and char_entropy."""
+    kept = [c for c in df.columns if c not in STYLE]
+    return df.select(*kept, style_measures(text).alias("_m")).select(*kept, "_m.*")
 
 
 def detectors(df: DataFrame, text: str = "text") -> DataFrame:
@@ -156,3 +139,57 @@ def is_disambiguation(title: Column, text: Column) -> Column:
     """By the title's mark, or an opening of 180 characters that says so in a text of under 120 words."""
     head = ascii_lower(F.substring(F.coalesce(text, F.lit("")), 1, 180))
     return ascii_lower(F.coalesce(title, F.lit(""))).contains("(disambiguation)") | (head.contains("may refer to") & (F.size(word_tokens(F.coalesce(text, F.lit("")))) < 120))
+
+
+def same_text(a: Column, b: Column) -> Column:
+    return ascii_lower(a) == ascii_lower(b)
+
+
+def starts_with(text: Column, prefix: str) -> Column:
+    return ascii_lower(F.substring(text, 1, len(prefix))) == prefix.translate(str.maketrans(UPPER, LOWER))
+
+
+def clip_bytes(text: Column, n: int) -> Column:
+    """The longest prefix of whole characters of at most ``n`` bytes."""
+    head = F.substring(text, 1, n)
+    # A prefix of k characters has at most 4 k bytes; of the lengths that are left the greatest that fits counts.
+    sizes = F.sequence(F.greatest(F.least(F.length(head), F.lit(n // 4)), F.lit(0)), F.length(head))
+    fits = F.array_max(F.filter(sizes, lambda k: F.octet_length(F.substring(head, F.lit(1), k)) <= n))
+    return F.when(F.octet_length(head) <= n, head).otherwise(F.substring(head, F.lit(1), fits))
+
+
+def split_csv(text: Column) -> Column:
+    """Parts between commas, trimmed, empty ones left out; null text has none."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), trimmed), lambda p: p != "")
+
+
+def signals_json(names: dict[str, str]) -> Column:
+    """A JSON object of signal columns in thousandths, by key in order; nulls are left out."""
+    return F.to_json(F.struct(*(F.round(F.round(F.col(c), 9), 3).alias(k) for k, c in sorted(names.items()))))
+
+
+def parsed_signal(json: Column, key: str) -> Column:
+    """The number of a key of a signals text, 0 if it isn't there."""
+    return F.coalesce(F.get_json_object(json, f"$.{key}").try_cast("double"), F.lit(0.0))
+
+
+def number_text(v: Column, digits: int = 2) -> Column:
+    """A number with 0, 1 or 2 places; halves go to the even digit."""
+    digits = min(max(digits, 0), 2)
+    return F.format_string(f"%.{digits}f", F.bround(v.cast("double"), digits))
+
+
+def times_text(after: Column, before: Column) -> Column:
+    """How many times as high ``after`` is, in words; within 8 % it is about the same."""
+    r = after / F.greatest(before, F.lit(1e-300))
+    out = F.when((before < 1e-4) & (after < 1e-4), "about the same as").when(before < 1e-4, "much higher than")
+    out = out.when(r >= 1.08, F.concat(number_text(r, 1), F.lit("x as high as"))).when(r <= 0.92, F.concat(number_text(r * 100, 0), F.lit("% as high as")))
+    return out.otherwise("about the same as")
+
+
+def change_text(after: Column, before: Column) -> Column:
+    """The relative change in words; within 3 % it is little. From near zero only a difference of 0.02 counts."""
+    rel = (after - before) / F.greatest(F.abs(before), F.lit(1e-300))
+    near = F.when(after > before + 0.02, "rose from near zero").when(after + 0.02 < before, "fell toward zero").otherwise("barely moved")
+    moved = F.when(rel >= 0.03, F.concat(F.lit("rose "), number_text(rel * 100, 0), F.lit("%"))).when(rel <= -0.03, F.concat(F.lit("fell "), number_text(-rel * 100, 0), F.lit("%")))
+    return F.when(F.abs(before) < 1e-4, near).otherwise(F.coalesce(moved, F.lit("changed little")))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexstrata.functions.embed import centroids, cosine
-from lexstrata.functions.text import trimmed
-from lexstrata.operators.views import SIGNAL_COLUMNS, sample_evenly
+from lexstrata.functions.text import ascii_lower, trimmed, year_of_date
+from lexstrata.functions.topics import is_country, shown, with_view_topics
+from lexstrata.operators.views import percent, sample_evenly, third
+from lexstrata.storage import materialize
 
 # Subjects and the patterns that decide them in lower-case text, first match wins.
 SUBJECTS = (
@@ -87,7 +90,8 @@ def cohort_traits(docs: DataFrame, least: int = 100, size: int = 50) -> DataFram
     sample = sample_evenly(rows.withColumn("_pool", F.struct("topic", "_late")), "_pool", size).drop("_pool")
     middle = centroids(sample.where("NOT _late"), ["topic"], "embedding")
     far = sample.join(middle, "topic").withColumn("_far", 1 - cosine(F.col("embedding"), F.col("centroid")))
-    side = lambda c, late: F.round(F.coalesce(F.avg(F.when(F.col("_late") == late, F.col(c))), F.lit(0.0)), 6)
+    value = lambda c: third(F.col(c)) if c == "stock" else F.col(c)
+    side = lambda c, late: F.round(F.coalesce(F.avg(F.when(F.col("_late") == late, value(c))), F.lit(0.0)), 6)
     means = far.groupBy("topic").agg(*(side(c, late).alias(f"{k}_{late}") for k, c, _ in TRAITS for late in (False, True)))
     pairs = [F.struct(F.lit(k).alias("trait"), F.col(f"{k}_False").alias("before"), F.col(f"{k}_True").alias("after"), F.lit(up).alias("up")) for k, _, up in TRAITS]
     more, fewer = F.col("after") - F.col("before") > TRAIT_MARGIN, F.col("before") - F.col("after") > TRAIT_MARGIN
@@ -109,8 +113,8 @@ def merge_breakdown(rows: DataFrame) -> DataFrame:
 
 def strongest_detector(scored: DataFrame) -> DataFrame:
     """The detector of greatest mean, the first of equals; uniformity and recency don't take part."""
-    names = ("stylometry", "stock", "ngram", "anomaly", "deviation")
-    means = scored.agg(*(F.round(F.avg(c), 3).alias(c) for c in names))
+    names = {"stylometry": "detector_stylometry", "stock": "stock", "ngram": "detector_repetition", "anomaly": "anomaly", "deviation": "deviation"}
+    means = scored.agg(*(third(F.avg(third(F.col(c)) if k == "stock" else c)).alias(k) for k, c in names.items()))
     rows = means.select(F.inline(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).alias("score"), F.lit(i).alias("i")) for i, c in enumerate(names)))))
     return rows.where("score IS NOT NULL").orderBy(F.desc("score"), "i").limit(1).select("key", "score")
 
@@ -151,11 +155,104 @@ def collapsed_dates(docs: DataFrame, filler: int = 2016) -> DataFrame:
     return rows.withColumn("collapsed", (2 * F.col("bad") >= F.col("documents")) | (F.col("years") <= 1))
 
 
-def cards(scored: DataFrame, size: int = 320) -> DataFrame:
-    """Document cards: dates '' as null, scores in thousandths, missing signals as 0, the first ``size`` characters."""
-    third = lambda c: F.round(c, 3)
-    return scored.select(
-        "id", "title", "source", "topic", F.nullif("published_at", F.lit("")).alias("published_at"), F.nullif("created_at", F.lit("")).alias("created_at"), "word_count",
-        *(third(c).alias(c) for c in ("p_ai", "ci_low", "ci_high")), "band", *(third(F.coalesce(c, F.lit(0.0))).alias(c) for c in SIGNAL_COLUMNS),
+def cards(stored: DataFrame, size: int = 320) -> DataFrame:
+    """Document cards from stored scores: '' as null, scores in thousandths, missing signals as 0, view topics, the first ``size`` characters.
+
+    Columns: those of a stored, scored document and text.
+    """
+    blank = lambda c: F.nullif(F.col(c), F.lit("")) if c in stored.columns else F.lit(None).cast("string")
+    signals = {"stylometry": "detector_stylometry", "stock_phrase": "stock", "sentence_uniformity": "detector_uniformity", "ngram_repetition": "detector_repetition", "embedding_anomaly": "anomaly", "stylometry_deviation": "deviation", "post_chatgpt": "recency"}
+    return with_view_topics(stored).select(
+        "id", "title", blank("url").alias("url"), "source", "topic", F.nullif("subtopic", F.lit("")).alias("subtopic"), blank("published_at").alias("published_at"),
+        blank("created_at").alias("created_at"), "word_count", *(third(F.col(c)).alias(c) for c in ("p_ai", "ci_low", "ci_high")), F.coalesce("band", F.lit("PENDING")).alias("band"),
+        *((third(F.coalesce(c, F.lit(0.0))) if k in ("stock_phrase", "post_chatgpt") else F.coalesce(c, F.lit(0.0))).alias(k) for k, c in signals.items()),
         F.substring("text", 1, size).alias("excerpt"),
     )
+
+
+def year_ranges(docs: DataFrame) -> DataFrame:
+    """year, documents, mean, low, high of scored documents with a year: low and high are the least and greatest score."""
+    rows = docs.where("year > 0 AND p_ai IS NOT NULL").groupBy("year")
+    return rows.agg(F.count("*").alias("documents"), percent(F.avg("p_ai")).alias("mean"), percent(F.min("p_ai")).alias("low"), percent(F.max("p_ai")).alias("high"))
+
+
+# Subjects that are told of even where they are thin.
+THIN_SUBJECTS = ("schools and universities", "sports", "food and cooking")
+
+
+def corpus_lines(nodes: DataFrame) -> DataFrame:
+    """(line, key, documents, place): what a view's pages are, as ranked counts.
+
+    line: collection, subject (the three largest), thin (those of THIN_SUBJECTS beyond them), country, and
+    news_only (countries without a page of the encyclopedia). Columns: collection, topic, subject.
+    """
+    wiki = ascii_lower(F.col("collection")).contains("wiki")
+    kinds = F.array(
+        F.struct(F.lit("collection").alias("line"), F.col("collection").alias("key")), F.struct(F.lit("subject").alias("line"), F.col("subject").alias("key")),
+        F.struct(F.lit("country").alias("line"), F.when(is_country(F.col("topic")), shown(F.col("topic"))).alias("key")),
+    )
+    rows = nodes.select(wiki.alias("_wiki"), F.inline(kinds)).where("coalesce(key, '') <> ''").groupBy("line", "key").agg(F.count("*").alias("documents"), F.count_if("_wiki").alias("_wiki"))
+    rows = materialize(rows, "lines")
+    place = F.row_number().over(Window.partitionBy("line").orderBy(F.desc("documents"), "key"))
+    ranked = rows.withColumn("place", place)
+    thin = ranked.where((F.col("line") == "subject") & (F.col("place") > 3) & F.col("key").isin(*THIN_SUBJECTS)).withColumn("line", F.lit("thin"))
+    news = ranked.where("line = 'country' AND _wiki = 0").withColumn("line", F.lit("news_only"))
+    return ranked.where("line <> 'subject' OR place <= 3").unionByName(thin).unionByName(news).drop("_wiki")
+
+
+def calculations(summary: DataFrame, years: DataFrame, size: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row that traces a view's percent: pending documents, shares and ranges, cutoffs, first, last and peak year, graph size.
+
+    ``summary``: views.summary; ``years``: views.by_year; ``size``: graph.graph_size; ``corpus``: one row (corpus).
+    The peak is the first year of the greatest percent.
+    """
+    shares = years.where("mean IS NOT NULL").select("year", "documents", percent(F.col("mean")).alias("percent"))
+    bins = shares.agg(
+        F.count("*").alias("bins_with_mean"), F.min(F.struct("year", "percent", "documents")).alias("first"), F.max(F.struct("year", "percent", "documents")).alias("last"),
+        F.max(F.struct("percent", (-F.col("year")).alias("y"), "documents")).alias("peak"),
+    )
+    one = summary.join(F.broadcast(bins), F.lit(True)).join(F.broadcast(years.agg(F.count("*").alias("bins"))), F.lit(True)).join(F.broadcast(size), F.lit(True)).join(F.broadcast(corpus), F.lit(True))
+    done = F.col("likely_ai") + F.col("likely_human") + F.col("uncertain")
+    return one.select(
+        "corpus", "documents", done.alias("scored"), F.greatest(F.col("documents") - done, F.lit(0)).alias("pending"), "likely_ai", "likely_human", "uncertain", "words", "estimate", "estimate_low",
+        "estimate_high", F.when(F.col("scored") > 0, percent(F.col("word_share"))).alias("word_percent"), third(F.col("mean")).alias("mean_p"), F.lit(0.58).alias("ai_from"), F.lit(0.42).alias("human_to"),
+        F.lit(0.50).alias("widest"), "bins", "bins_with_mean", F.col("first.year").alias("first_year"), F.col("last.year").alias("last_year"), F.col("last.percent").alias("last_percent"),
+        F.col("last.documents").alias("last_documents"), (-F.col("peak.y")).alias("peak_year"), F.col("peak.percent").alias("peak_percent"), "nodes", "edges",
+    )
+
+
+def era_articles(docs: DataFrame) -> DataFrame:
+    """Cohort rows: id, title, year and date (null without), the column that the date is from, p_ai in thousandths, band."""
+    dated = lambda c: year_of_date(F.coalesce(c, F.lit(""))) > 0
+    origin = F.when(dated("created_at"), "createdAt").when(dated("published_at"), "publishedAt").otherwise("")
+    return docs.select("id", "title", F.when(F.col("year") > 0, F.col("year")).alias("year"), F.nullif("date", F.lit("")).alias("date"), origin.alias("date_source"), third(F.col("p_ai")).alias("p_ai"), "band")
+
+
+def different_topics(docs: DataFrame) -> DataFrame:
+    """Country topics, each once whatever its case, as the document of least id has it."""
+    rows = docs.where(is_country(F.col("topic"))).withColumn("topic", shown(trimmed(F.col("topic"))))
+    return rows.groupBy(ascii_lower(F.col("topic")).alias("_k")).agg(F.min_by("topic", "id").alias("topic")).select("topic")
+
+
+def different_titles(docs: DataFrame) -> DataFrame:
+    """(id, title): of titles that agree but for case, the document of least id."""
+    return docs.groupBy(ascii_lower(F.col("title")).alias("_k")).agg(F.min_by(F.struct("id", "title"), "id").alias("r")).select("r.*")
+
+
+def longest_extract(docs: DataFrame, by: str) -> DataFrame:
+    """The row of the longest text of each ``by``, the least id of equals."""
+    order = F.struct(F.octet_length("text").alias("n"), (-F.col("id")).alias("i"))
+    return docs.groupBy(by).agg(F.max_by("id", order).alias("id"))
+
+
+def capped(docs: DataFrame, cap: int, germany: int = 1000) -> DataFrame:
+    """The first ``cap`` documents by id of each topic (``germany`` at most of Germany's)."""
+    most = F.when(ascii_lower(F.col("topic")) == "germany", F.lit(min(cap, germany))).otherwise(F.lit(cap))
+    place = F.row_number().over(Window.partitionBy("topic").orderBy("id"))
+    return docs.withColumn("_r", place).where(F.col("_r") <= cap).where(F.col("_r") <= most).drop("_r")
+
+
+def topic_years(docs: DataFrame) -> DataFrame:
+    """topic, documents, dated, first and last year of creation, from created_at or else published_at: the operations report."""
+    year = F.substring(F.coalesce(F.nullif("created_at", F.lit("")), "published_at"), 1, 4).try_cast("int")
+    return docs.groupBy("dataset_id", "topic").agg(F.count("*").alias("documents"), F.count(year).alias("dated"), F.min(year).alias("first"), F.max(year).alias("last"))

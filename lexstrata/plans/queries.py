@@ -6,19 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.fixtures import corpus, datasets
-from lexstrata.functions import urls
+from lexstrata.functions import html, topics, urls
+from lexstrata.functions import text as words
 from lexstrata.functions.embed import byte_entropy, centroids, cosine, hashed_embedding
 from lexstrata.functions.text import STOCK_PHRASES, ascii_lower, detectors, document_date, guess_topic, is_article_title, is_disambiguation, recency_signal, style_features, year_of_date
 from lexstrata.operators import catalog, graph, reports, score, views
 from lexstrata.sources import ingest
+from lexstrata.storage import kept
 
-# Words that don't count as shared wording.
-FILLERS = tuple(
-    "the a an and or of to in on for with by from at as is are was were be been being this that these those it its their they them we you your our not but if "
-    "than then also into over after before about more most can will has have had his her she he which who whom what when where how all any each other such only "
-    "own same so too very just because while through during without within between under again further once here there both few some no nor do does did doing "
-    "would should could may might page pages see http https www com org html pdf new one two first last used using use including include based".split()
-)
 STYLE = ("word_count", "type_token_ratio", "avg_sentence_length", "sentence_length_std", "burstiness", "punctuation_ratio", "repetition_score")
 
 
@@ -39,8 +34,7 @@ def doc_entropy(spark, sf):
 
 
 def doc_detectors(spark, sf):
-    rows = style_features(corpus(spark, sf).select("id", "text")).withColumn("char_entropy", byte_entropy("text"))
-    return detectors(rows).select("id", *_r("detector_stylometry", "stock_phrases", "detector_uniformity", "detector_repetition"))
+    return detectors(style_features(corpus(spark, sf).select("id", "text"))).select("id", *_r("detector_stylometry", "stock_phrases", "detector_uniformity", "detector_repetition"))
 
 
 def doc_topic_guess(spark, sf):
@@ -69,8 +63,8 @@ def vec_centroid_by_label(spark, sf):
 
 def vec_anomaly(spark, sf):
     v = _t(spark, sf, "embeddings")
-    rows = v.join(centroids(v, ["label"], "embedding"), "label").select("vec_id", "label", F.round(1 - cosine(F.col("embedding"), F.col("centroid")), 6).alias("distance"))
-    return score.fractional_rank(rows, ["label"], "distance", "rank").select("vec_id", "label", F.round("distance", 5).alias("distance"))
+    rows = v.join(centroids(v, ["label"], "embedding"), "label").select("vec_id", "label", (1 - cosine(F.col("embedding"), F.col("centroid"))).alias("distance"))
+    return score.fractional_rank(rows, ["label"], "distance", "rank").select("vec_id", "label", F.round(F.round("distance", 9), 4).alias("distance"), F.round("rank", 6).alias("rank"))
 
 
 def _edges(spark, sf):
@@ -95,17 +89,37 @@ def graph_mean_aggregate(spark, sf):
     return graph.mean_aggregate(_edges(spark, sf), v).select("id", "i", F.round("mean", 5).alias("mean"))
 
 
-def _scored(spark, sf):
-    return score.era_scores(score.featured(corpus(spark, sf)))
+def _features(spark, sf):
+    """The corpus's feature table, stored once a session and table: what the store of an engine that runs on holds."""
+    return kept(spark, "features", f"{sf}/documents.parquet", lambda: score.featured(corpus(spark, sf)).drop("text"))
+
+
+def _analysed(spark, sf):
+    """Features with the stored scores of each collection, stored once a session and table."""
+
+    def make():
+        features = _features(spark, sf)
+        return features.join(score.era_scores(features).select("id", *score.STORED), "id")
+
+    return kept(spark, "analysed", f"{sf}/documents.parquet", make)
 
 
 def era_scores(spark, sf):
-    return _scored(spark, sf).select("id", "dataset_id", *(F.round(c, 4).alias(c) for c in (*score.SIGNALS, "p_ai", "ci_low", "ci_high")), "band")
+    return _analysed(spark, sf).select("id", "dataset_id", *(F.round(c, 4).alias(c) for c in (*score.SIGNALS, "p_ai", "ci_low", "ci_high")), "band")
+
+
+def era_scores_no_baseline(spark, sf):
+    rows = score.era_scores(_features(spark, sf).where("year >= 2019 OR year = 0"))
+    return rows.select("id", "dataset_id", *(F.round(c, 4).alias(c) for c in (*score.SIGNALS, "p_ai", "ci_low", "ci_high")), "band")
+
+
+def _view(spark, sf, keep=True, **scope):
+    shown = views.view(_analysed(spark, sf), datasets(spark), **scope).withColumn("scope", F.lit(0))
+    return score.era_scores(shown, "scope", keep_stored=keep)
 
 
-def _view(spark, sf, **scope):
-    shown = views.view(corpus(spark, sf), datasets(spark), **scope).withColumn("scope", F.lit(0))
-    return score.era_scores(score.featured(shown), "scope")
+def _texts(spark, sf):
+    return corpus(spark, sf).select("id", "text")
 
 
 def _four(df):
@@ -113,11 +127,31 @@ def _four(df):
 
 
 def summary_documents(spark, sf):
-    return _four(views.summary(_view(spark, sf)).drop(*(f"mean_{c}" for c in views.SIGNAL_COLUMNS)))
+    return _four(views.summary(_view(spark, sf)))
+
+
+def summary_words(spark, sf):
+    return _four(views.summary(_view(spark, sf), "words"))
 
 
 def summary_topic_view(spark, sf):
-    return _four(views.summary(_view(spark, sf, dataset_id=1, topic="India")).drop(*(f"mean_{c}" for c in views.SIGNAL_COLUMNS)))
+    return _four(views.summary(_view(spark, sf, dataset_id=1, topic=" india ")))
+
+
+def summary_id_view(spark, sf):
+    ids = corpus(spark, sf).where("id % 3 = 0").select("id")
+    return _four(views.summary(_view(spark, sf, ids=ids)))
+
+
+def summary_keeps_stored(spark, sf):
+    """A view without earlier-dated documents keeps its collections' scores."""
+    ids = _analysed(spark, sf).where("year >= 2019").select("id")
+    return _four(views.summary(_view(spark, sf, ids=ids)))
+
+
+def summary_comparison(spark, sf):
+    rows = _analysed(spark, sf)
+    return views.comparison(_view(spark, sf, dataset_id=3), rows.where("dataset_id = 1"), "USER_URLS")
 
 
 def breakdown_source(spark, sf):
@@ -125,7 +159,7 @@ def breakdown_source(spark, sf):
 
 
 def breakdown_topic(spark, sf):
-    return _four(views.breakdown(_view(spark, sf), "topic", 100))
+    return _four(views.breakdown(_view(spark, sf), "topic", 20))
 
 
 def breakdown_time(spark, sf):
@@ -137,27 +171,41 @@ def topics_list(spark, sf):
 
 
 def examples_by_band(spark, sf):
-    return _four(views.examples(_view(spark, sf), least=100))
+    rows = _view(spark, sf)
+    parts = [_four(views.examples(rows, band, limit, 20)).withColumn("asked", F.lit(band)) for band, limit in (("", 6), ("LIKELY_AI", 2), ("LIKELY_HUMAN", 2), ("UNCERTAIN", 0))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def group_fold(spark, sf):
     return views.group_fold(_t(spark, sf, "documents"), "source")
 
 
-def ai_common_words(spark, sf):
-    return views.common_words(_view(spark, sf), FILLERS)
+def graph_groups(spark, sf):
+    rows = views.view(_analysed(spark, sf), datasets(spark))
+    by_topic = views.groups(rows, views.group_by(rows, "", 20), 20)
+    by_set = views.groups(graph.labelled_nodes(rows, datasets(spark)), views.group_by(rows, "India"))
+    return by_topic.withColumn("how", F.lit("topic")).unionByName(by_set.withColumn("how", F.lit("dataset")))
+
+
+def ai_common(spark, sf):
+    return views.common_wording(_view(spark, sf), corpus(spark, sf).select("id", "title", "text"))
 
 
 def strongest_signal(spark, sf):
-    return views.strongest_signal(_view(spark, sf)).select("key")
+    return views.strongest_signal(_view(spark, sf))
 
 
 def evidence_ranked(spark, sf):
-    return _four(views.evidence(_view(spark, sf), "Which src7 pages about India?"))
+    shown = views.view(_analysed(spark, sf), datasets(spark)).withColumn("url", F.concat(F.lit("http://site"), F.col("id") % 7, F.lit(".example/")))
+    return _four(views.evidence(shown, "Which src7 pages about India on site3?"))
+
+
+def excerpts(spark, sf):
+    return corpus(spark, sf).select("id", views.excerpt(F.col("text"), "Does it note the patient or the quantum?", 100).alias("excerpt"))
 
 
 def era_sample(spark, sf):
-    rows = corpus(spark, sf).withColumn("topic", views.country_topic(F.col("topic"))).where("topic <> ''").withColumn("date", document_date())
+    rows = views.view(corpus(spark, sf), datasets(spark)).where("topic <> ''").withColumn("date", document_date())
     return views.sample_evenly(rows, "topic").select("topic", "id")
 
 
@@ -169,10 +217,13 @@ def era_compare_sept(spark, sf):
     return _four(catalog.era_compare(_view(spark, sf)))
 
 
-def subject_mix(spark, sf):
-    rows = _view(spark, sf)
+def _subjects(spark, sf):
     ends = F.expr("substring(text, greatest(length(text) - 39, 1), 40)")
-    return _four(reports.subject_mix(rows.withColumn("subject", reports.subject_of(F.concat_ws(" ", "title", ends)))))
+    return _view(spark, sf).join(_texts(spark, sf), "id").withColumn("subject", reports.subject_of(F.concat_ws(" ", "title", ends)))
+
+
+def subject_mix(spark, sf):
+    return _four(reports.subject_mix(_subjects(spark, sf)))
 
 
 def year_span_mode(spark, sf):
@@ -187,8 +238,8 @@ def breakdown_merge(spark, sf):
 
 
 def _cohort_rows(spark, sf):
-    wiki = corpus(spark, sf).where("dataset_id = 1").withColumn("topic", views.country_topic(F.col("topic")))
-    return wiki.withColumn("date", document_date()).withColumn("year", year_of_date(F.col("date")))
+    rows = topics.with_canonical(_analysed(spark, sf).where("dataset_id = 1"), "topic", "title", "topic")
+    return rows.withColumn("topic", topics.shown(F.col("topic")))
 
 
 def era_cohort_pools(spark, sf):
@@ -196,7 +247,145 @@ def era_cohort_pools(spark, sf):
 
 
 def era_cohort_traits(spark, sf):
-    return _four(reports.cohort_traits(score.era_scores(score.featured(_cohort_rows(spark, sf)))))
+    return _four(reports.cohort_traits(_cohort_rows(spark, sf)))
+
+
+def era_articles(spark, sf):
+    return _four(reports.era_articles(_cohort_rows(spark, sf)))
+
+
+def corpus_lines(spark, sf):
+    rows = graph.labelled_nodes(_subjects(spark, sf), datasets(spark))
+    return reports.corpus_lines(rows)
+
+
+def calculations(spark, sf):
+    rows = _view(spark, sf)
+    size = graph.graph_size(rows.select("id"), _doc_edges(spark, sf))
+    corpus_size = _analysed(spark, sf).agg(F.count("*").alias("corpus"))
+    return _four(reports.calculations(views.summary(rows), views.by_year(rows), size, corpus_size))
+
+
+def year_ranges(spark, sf):
+    return reports.year_ranges(_view(spark, sf))
+
+
+def _doc_edges(spark, sf, k=8):
+    return kept(spark, f"edges_{k}", f"{sf}/documents.parquet", lambda: graph.view_edges(views.view(_analysed(spark, sf), datasets(spark)), k))
+
+
+def knn_edges_docs(spark, sf):
+    return _doc_edges(spark, sf).select("src", "dst", F.round("cosine", 5).alias("cosine"), "reason")
+
+
+def graph_sample(spark, sf):
+    nodes = views.view(_analysed(spark, sf), datasets(spark)).select("id")
+    return graph.node_sample(nodes, _doc_edges(spark, sf))
+
+
+def doc_neighbours(spark, sf):
+    rows = views.view(_analysed(spark, sf), datasets(spark))
+    return graph.neighbours(rows, rows.where("id % 100 = 7").select("id")).select("src", "id", "title", "cosine", "reason")
+
+
+def graph_node_means(spark, sf):
+    """Neighbourhood means of the stored features over each encyclopedia topic's graph."""
+    rows = _analysed(spark, sf).where("dataset_id = 2")
+    edges = graph.collection_edges(rows.select("id", "dataset_id", "embedding", "topic", "source"), 3)
+    return graph.mean_aggregate(edges, graph.node_vectors(rows)).select("id", "i", F.round("mean", 4).alias("mean"))
+
+
+def _odd_urls(spark, sf):
+    """Addresses of every kind that the functions tell apart, and those of pages."""
+    rows = [(i, u) for i, u in enumerate(ODD_URLS)]
+    return spark.createDataFrame(rows, "k int, url string")
+
+
+def url_odd_cases(spark, sf):
+    u = F.col("url")
+    return _odd_urls(spark, sf).select(
+        "k", urls.normalize_url(u).alias("normal"), urls.host_of(u).alias("host"), urls.is_public(u).alias("public"), urls.url_path(u).alias("path"),
+        urls.comparable_host(u).alias("comparable"), urls.article_title(u).alias("article"),
+    )
+
+
+def url_resolve(spark, sf):
+    hrefs = F.explode(F.array(*map(F.lit, HREFS))).alias("href")
+    rows = _t(spark, sf, "pages").select("page_id", "url", hrefs)
+    return rows.select("page_id", "href", urls.resolve_url(F.col("url"), F.col("href")).alias("resolved"))
+
+
+def url_coding(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"))
+    return rows.select("doc_id", urls.url_encode(F.col("t")).alias("encoded"), urls.url_decode(urls.url_encode(F.col("t"))).alias("decoded"))
+
+
+def html_extract(spark, sf):
+    page = html.parse_html(F.col("html"))
+    return _t(spark, sf, "pages").select("page_id", page.alias("p")).select("page_id", "p.title", F.length("p.body").alias("n_body"), F.sha2("p.body", 256).alias("body"), F.size("p.hrefs").alias("n_links"))
+
+
+def html_links(spark, sf):
+    p = _t(spark, sf, "pages").select("page_id", "url", html.parse_html(F.col("html"))["hrefs"].alias("hrefs"))
+    return p.select("page_id", F.posexplode(html.same_host_links(F.col("url"), F.col("hrefs"))).alias("place", "link"))
+
+
+def topic_rules(spark, sf):
+    c = _topic_cases(spark, sf)
+    c = topics.with_country(topics.with_canonical(c, "topic", "title", "canonical"), "title", "topic", "country")
+    c = c.withColumn("label", topics.first_label(F.col("title"), topics.INDIA_RULES)).withColumn("general", topics.first_label(F.col("title"), topics.GENERAL_RULES))
+    return topics.with_view_topics(c).drop("title")
+
+
+def _topic_cases(spark, sf):
+    """Titles that hold one needle each, in turn, and topics of all kinds."""
+    needles = [n for _, ns in (*topics.INDIA_RULES, *topics.GENERAL_RULES) for n in ns] + list(MENTION_CASES)
+    title = F.concat(F.lit("On "), F.element_at(F.array(*map(F.lit, needles)), (F.col("id") % len(needles) + 1).cast("int")), F.lit(" 2"))
+    topic = F.element_at(F.array(*map(F.lit, TOPIC_CASES)), (F.col("id") % len(TOPIC_CASES) + 1).cast("int"))
+    return corpus(spark, sf).select("id", F.when(F.col("id") % 4 == 0, F.lit("Plain")).otherwise(title).alias("title"), topic.alias("topic"))
+
+
+def topic_normalize(spark, sf):
+    return catalog.normalize_topics(_topic_cases(spark, sf)).groupBy("topic").agg(F.count("*").alias("documents"))
+
+
+def text_helpers(spark, sf):
+    c = corpus(spark, sf).select("id", "title", "source", "topic", F.substring("text", 1, 90).alias("t"))
+    x, y = F.col("id") % 50 / 37, F.col("id") % 11 / 9
+    return c.select(
+        "id", words.clip_bytes(F.col("t"), 50).alias("clipped"), F.array_join(words.split_csv(F.col("t")), "|").alias("parts"), words.same_text(F.col("title"), F.lower("title")).alias("same"),
+        words.starts_with(F.col("title"), "doc 1").alias("starts"), words.number_text(x, 1).alias("number"), words.times_text(x, y).alias("times"), words.change_text(x, y).alias("change"),
+        words.times_text(F.lit(0.0), y).alias("times0"), words.change_text(x, F.lit(0.0)).alias("change0"),
+    )
+
+
+def signals_text(spark, sf):
+    rows = _analysed(spark, sf).select("id", words.signals_json({"stylometry": "stylometry", "post_chatgpt": "recency"}).alias("json"))
+    return rows.select("id", "json", words.parsed_signal(F.col("json"), "post_chatgpt").alias("recency"), words.parsed_signal(F.col("json"), "none").alias("none"))
+
+
+def date_forms(spark, sf):
+    day = F.date_add(F.lit("2019-12-25").cast("date"), (F.col("id") % 400).cast("int"))
+    stamp = F.date_format(day, "yyyyMMdd'001000'")
+    text = F.when(F.col("id") % 2 == 0, F.date_format(day, "'Last edited on' d MMMM yyyy.")).otherwise(F.date_format(day, "'This page was last modified on' MMMM d, yyyy"))
+    rows = corpus(spark, sf).select("id", stamp.alias("stamp"), F.when(F.col("id") % 5 > 0, text).otherwise("no date").alias("text"), F.concat(day.cast("string"), F.lit("T01:02:03Z")).alias("iso"))
+    return rows.select("id", html.stamp_date(F.col("stamp")).alias("date"), html.stamp_before(F.col("stamp")).alias("before"), html.last_change(F.col("text")).alias("change"), html.iso_date(F.col("iso")).alias("iso"))
+
+
+def _news_lines(spark, sf):
+    places = F.element_at(F.array(*map(F.lit, ("Delhi, India", "Berlin, Germany;Texas, United States", "Paris, France", "Sydney, Australia", "x;India", "Germany"))), (F.col("page_id") % 6 + 1).cast("int"))
+    codes = F.when(F.col("page_id") % 10 == 3, "1#United States#US#USTX#1").otherwise("")
+    f = (F.lit("k"), F.lit("20240315120000"), F.lit("1"), F.concat(F.lit("src"), F.col("page_id") % 3), F.col("url"), F.lit(""), F.lit(""), F.lit(""), F.lit(""), places, codes)
+    return _t(spark, sf, "pages").select(F.concat_ws("\t", *f).alias("value"))
+
+
+def news_countries(spark, sf):
+    rows = ingest.news_rows(_news_lines(spark, sf))
+    return rows.groupBy(F.array_join(topics.news_topics(F.col("locations"), F.col("codes")), "|").alias("countries")).agg(F.count("*").alias("n"))
+
+
+def news_documents(spark, sf):
+    return ingest.news_documents(_news_lines(spark, sf), 30).select("url", "title", "topic", "seen", F.length("text").alias("n"))
 
 
 def url_normalize(spark, sf):
@@ -219,33 +408,138 @@ def crawl_frontier(spark, sf):
 def jsonl_ingest(spark, sf):
     d = corpus(spark, sf)
     lines = d.select(F.to_json(F.struct("title", "text", F.lit(None).cast("string").alias("url"), F.when(F.col("id") % 2 == 0, F.col("topic")).alias("topic"), "source")).alias("value"))
-    return ingest.json_lines(lines, "upload.jsonl").select("title", "topic", "source", "word_count")
+    return ingest.json_lines(lines, "upload.jsonl").select("title", "topic", "source", "word_count", "url", F.sha2("text", 256).alias("text"))
 
 
 def news_ingest(spark, sf):
     p = _t(spark, sf, "pages")
     line = F.concat_ws("\t", F.lit("k"), F.lit("20240315120000"), F.lit("1"), F.lit("src"), "url", F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit("1#India"), F.when(F.col("page_id") % 3 == 0, F.lit("x")))
-    return ingest.news_rows(p.select(line.alias("value")))
+    return ingest.news_rows(p.select(line.alias("value"))).select("seen", "source", "url", "locations", "codes")
+
+
+def _store(spark, sf):
+    """The corpus as a catalog with a child collection, edges, and rows that nothing owns."""
+    docs = corpus(spark, sf).select("id", F.when(F.col("id") % 97 == 5, 77).otherwise(F.col("dataset_id")).alias("dataset_id"), "title", F.length("text").alias("word_count"))
+    edges = docs.select("dataset_id", F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.5).alias("cosine"), F.lit("embedding").alias("reason"))
+    sets = datasets(spark).withColumn("parent_dataset_id", F.when(F.col("dataset_id") == 3, 2))
+    return catalog.Store(sets, docs, edges)
 
 
 def catalog_delete_cascade(spark, sf):
-    left, docs = catalog.delete_dataset(corpus(spark, sf), datasets(spark), 2)
-    return catalog.list_datasets(left, docs).select("name", "kind", "documents", "deletable")
+    left = catalog.delete_dataset(_store(spark, sf), 2)
+    return catalog.list_datasets(left.datasets, left.documents).drop("created_at")
+
+
+def catalog_edge_cascade(spark, sf):
+    return catalog.delete_dataset(_store(spark, sf), 2).edges.select("dataset_id", "src", "dst")
+
+
+def catalog_clear(spark, sf):
+    left = catalog.clear_dataset(_store(spark, sf), 1)
+    return left.documents.groupBy("dataset_id").agg(F.count("*").alias("n")).withColumn("what", F.lit("documents")).unionByName(left.edges.groupBy("dataset_id").agg(F.count("*").alias("n")).withColumn("what", F.lit("edges")))
+
+
+def catalog_lookups(spark, sf):
+    s = _store(spark, sf)
+    found = catalog.find_datasets(s.datasets, "wikipedia").withColumn("asked", F.lit("name")).unionByName(catalog.find_datasets(s.datasets, kind="GDELT").withColumn("asked", F.lit("kind")))
+    found = found.unionByName(catalog.get(s.datasets, "dataset_id", 3).withColumn("asked", F.lit("id")))
+    rows = found.select("asked", F.col("dataset_id").cast("long").alias("id"), "name")
+    doc = catalog.get(s.documents, "id", 12).select(F.lit("document").alias("asked"), F.col("id").cast("long"), F.col("title").alias("name"))
+    some = catalog.by_ids(s.documents, spark.range(5, 9)).select(F.lit("ids").alias("asked"), F.col("id").cast("long"), F.col("title").alias("name"))
+    edge = catalog.edges_of(s.edges, 1, 20).select(F.lit("edge").alias("asked"), F.col("dst").cast("long").alias("id"), F.col("reason").alias("name"))
+    return rows.unionByName(doc).unionByName(some).unionByName(edge)
+
+
+def catalog_counts(spark, sf):
+    return catalog.counts(datasets(spark), _analysed(spark, sf).withColumn("p_ai", F.when(F.col("id") % 9 > 0, F.col("p_ai"))))
+
+
+def stored_topics(spark, sf):
+    return catalog.stored_topic_counts(corpus(spark, sf))
 
 
 def short_doc_delete(spark, sf):
-    rows = style_features(corpus(spark, sf).select("id", "dataset_id", "text"))
-    return rows.where("word_count >= 60").groupBy("dataset_id").agg(F.count("*").alias("documents"))
+    s = _store(spark, sf)
+    left, n = catalog.delete_short(s, 1, 900)
+    return left.documents.agg(F.count("*").alias("documents")).join(left.edges.agg(F.count("*").alias("edges")), F.lit(True)).join(n, F.lit(True))
+
+
+def topic_updates(spark, sf):
+    d = corpus(spark, sf).select("id", "topic", "published_at")
+    values = d.where("id % 4 = 1").select("id", F.lit("2000-02-03").alias("value"))
+    d = catalog.set_column(d, values, "published_at")
+    return catalog.set_column(d, d.where("id % 5 = 0").select("id", F.lit("new").alias("value")), "topic", only_empty=False)
+
+
+def created_backfill(spark, sf):
+    d = corpus(spark, sf).select("id", "dataset_id", "title", "created_at", F.when(F.col("id") % 6 > 0, F.concat(F.lit("https://en.wikipedia.org/wiki/Doc_"), F.col("id"))).alias("url"))
+    d = d.withColumn("created_at", F.when(F.col("dataset_id") == 2, "2016-05-05").otherwise(F.col("created_at")))
+    dates = d.select("title", F.lit("2009-09-09").alias("date"))
+    return catalog.backfill_created(d, dates).select("id", "created_at")
+
+
+def catalog_merge(spark, sf):
+    more = spark.sql("SELECT * FROM VALUES (5, 'Wikipedia India', 'USER_URLS', '2024-02-01'), (6, 'site', 'USER_URLS', '2024-02-02'), (7, 'Site', 'USER_URLS', '2024-02-03') AS t(dataset_id, name, kind, created_at)")
+    s = catalog.Store(catalog.merge_encyclopedias(datasets(spark).unionByName(more)), corpus(spark, sf).select("id", (F.col("id") % 7 + 1).cast("int").alias("dataset_id")), corpus(spark, sf).select((F.col("id") % 7 + 1).cast("int").alias("dataset_id"), F.col("id").alias("src"), F.col("id").alias("dst")))
+    left = catalog.reuse_urls(s, "SITE")
+    n = left.documents.groupBy("dataset_id").agg(F.count("*").alias("documents"))
+    e = left.edges.groupBy("dataset_id").agg(F.count("*").alias("edges"))
+    return left.datasets.join(n, "dataset_id", "left").join(e, "dataset_id", "left").select("dataset_id", "name", "kind", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+def _tasks(spark, sf):
+    state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 9 == 0, "running").when(F.col("event_id") % 9 == 1, "ready").when(F.col("event_id") % 9 == 2, "cached").otherwise("complete")
+    return _t(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 6).alias("run_id"), F.col("event_type").alias("task_type"), state.alias("status"), F.col("value").alias("ms"), (F.col("event_id") * 3).alias("bytes"), F.lit("").alias("error"))
+
+
+def run_snapshot(spark, sf):
+    return catalog.snapshot(_tasks(spark, sf))
+
+
+def runs_interrupted(spark, sf):
+    return catalog.interrupted(_tasks(spark, sf), ("running", "ready")).groupBy("status", "error").agg(F.count("*").alias("n"))
+
+
+def runs_latest(spark, sf):
+    runs = _t(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 4).alias("dataset_id"), F.col("event_type").alias("status"))
+    return catalog.latest_run(runs)
+
+
+def task_dependencies(spark, sf):
+    tasks = _tasks(spark, sf).where("id < 40").select("id", "status")
+    waits = tasks.where("id > 0").select(F.col("id").alias("task_id"), F.explode(F.array(F.col("id") - 1, F.floor(F.col("id") / 2))).alias("depends_on"))
+    return catalog.with_dependencies(tasks, waits).select("id", F.col("dependencies").cast("string").alias("dependencies"))
+
+
+def topics_distinct(spark, sf):
+    odd = corpus(spark, sf).withColumn("topic", F.when(F.col("id") % 2 == 0, F.upper("topic")).otherwise(F.concat(F.lit(" "), F.col("topic"))))
+    return reports.different_topics(odd)
+
+
+def titles_distinct(spark, sf):
+    return reports.different_titles(corpus(spark, sf).select("id", F.concat(F.when(F.col("id") % 2 == 0, "doc ").otherwise("DOC "), F.floor(F.col("id") / 3)).alias("title")))
+
+
+def extract_longest(spark, sf):
+    return reports.longest_extract(corpus(spark, sf), "topic")
+
+
+def topic_caps(spark, sf):
+    return reports.capped(corpus(spark, sf), 100, 60).select("id", "topic")
+
+
+def topic_years(spark, sf):
+    return reports.topic_years(corpus(spark, sf))
 
 
 def revision_backfill(spark, sf):
     d = corpus(spark, sf).select("id", "title", "created_at")
-    dates = d.select(F.when(F.col("id") % 2 == 0, F.col("title")).otherwise(F.upper("title")).alias("title"), F.lit("2011-01-01").alias("date"))
+    dates = d.select(F.when(F.col("id") % 2 == 0, F.col("title")).otherwise(F.upper(F.translate("title", " ", "_"))).alias("title"), F.when(F.col("id") % 3 > 0, "2011-01-01").otherwise("20").alias("date"))
     return catalog.set_dates(d, dates).select("id", "created_at")
 
 
 def run_progress(spark, sf):
-    e = _t(spark, sf, "events").select(F.col("event_type").alias("task_type"), F.when(F.col("event_type") == "error", "FAILED").otherwise("DONE").alias("status"), F.col("value").alias("ms"))
+    e = _t(spark, sf, "events").select(F.col("event_type").alias("task_type"), F.when(F.col("event_type") == "error", "failed").otherwise("complete").alias("status"), F.col("value").alias("ms"))
     return catalog.run_progress(e)
 
 
@@ -266,11 +560,11 @@ def graph_orphans(spark, sf):
 
 def graph_nodes(spark, sf):
     ds = datasets(spark).where("dataset_id <> 3")
-    return graph.labelled_nodes(corpus(spark, sf), ds).select("id", "title", views.country_topic(F.col("topic")).alias("topic"), "collection")
+    return graph.graph_nodes(_view(spark, sf), ds, "topic").withColumn("p_ai", F.round("p_ai", 4)).drop("word_count")
 
 
 def strongest_detector(spark, sf):
-    return reports.strongest_detector(_view(spark, sf)).select("key")
+    return reports.strongest_detector(_view(spark, sf))
 
 
 def field_share_max(spark, sf):
@@ -288,7 +582,7 @@ def created_collapsed(spark, sf):
 
 
 def document_cards(spark, sf):
-    return _four(reports.cards(_view(spark, sf)))
+    return _four(reports.cards(_analysed(spark, sf).join(_texts(spark, sf), "id")))
 
 
 def article_extracts(spark, sf):
@@ -296,7 +590,7 @@ def article_extracts(spark, sf):
     page = F.struct("title", F.col("text").alias("extract"), (F.col("id") % 5 == 0).alias("missing"))
     alias = F.when(F.col("id") % 2 == 0, F.array(F.struct(F.lower("title").alias("from"), F.col("title").alias("to"))))
     payload = d.select(F.to_json(F.struct(F.struct(alias.alias("normalized"), F.array(page).alias("pages")).alias("query"))).alias("value"))
-    return ingest.article_extracts(payload).select("title", F.length("value").alias("n"))
+    return ingest.article_extracts(payload).select("title", F.sha2("value", 256).alias("value"))
 
 
 def revision_dates(spark, sf):
@@ -319,14 +613,39 @@ def title_filters(spark, sf):
     return d.select("id", is_article_title(F.col("title")).alias("article"), is_disambiguation(F.col("title"), text).alias("pointer"))
 
 
+def encyclopedia_urls(spark, sf):
+    cases = F.explode(F.array(*(F.concat(F.lit(p), F.translate("title", " ", "_"), F.lit(e)) for p, e in WIKI_FORMS))).alias("url")
+    rows = corpus(spark, sf).where("id < 60").select("id", "title", cases)
+    u = F.col("url")
+    return rows.select("id", "url", urls.article_url(u).alias("canonical"), urls.article_title(u).alias("article"), urls.followed(u).alias("follow"), urls.title_url(F.col("title")).alias("own"), urls.page_title(F.concat("title", F.lit(" - Wikipedia"))).alias("name"))
+
+
+def news_titles(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", urls.news_title(F.col("url"), F.when(F.col("page_id") % 2 == 0, "src")).alias("title"))
+
+
+# Cases of the functions that the tables lack.
+ODD_URLS = (
+    "HTTP://Www.A.com.:80//x//y/", "a.com", "//b.org?q=1", "ftp://x", "", "https://10.1.2.3/", "http://h:99/", "http://localhost/a", "https://x.local", "http://172.16.0.1/", "http://172.32.0.1/",
+    "http://192.168.1.1", "http://169.254.3.4/x", "https://127.0.0.1:8080/", "http://0.0.0.0/", "http://www.b.org:443/", "https://b.org:443", "mailto:x", "http://", "http://a.com/wiki/A_b%20c+d?x=1",
+)
+HREFS = ("", "#top", "mailto:a@b.c", "JavaScript:void(0)", "tel:1", "data:x", "//other.org/a", "http://x.org//b/", "/root", "leaf.html", "a/../b?q=1", "?only=query", " /spaced ", "ftp://x")
+MENTION_CASES = ("usa", "the u.s. senate", "a german town", "germans", "australian law", "usage", "germanium", "germany and australia", "bharat")
+TOPIC_CASES = ("", "India", " usa ", "computer_science", "general", "geography of india", "politics of germany", "3d_model making", "Australia")
+WIKI_FORMS = (("https://en.wikipedia.org/wiki/", ""), ("http://en.m.wikipedia.org/wiki/", "?x=1"), ("https://en.wikipedia.org/wiki/Talk:", ""), ("https://de.wikipedia.org/wiki/", ""), ("https://en.wikipedia.org/wiki/Category:", ""), ("https://en.wikipedia.org/w/", ""))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        summary_documents, summary_topic_view, doc_style, doc_entropy, doc_detectors, doc_topic_guess, doc_dates, doc_hashed_embedding, stock_phrase_df, vec_centroid_by_label,
-        vec_anomaly, knn_edges_vec, graph_visible_edges, graph_undirected, graph_mean_aggregate, era_scores, breakdown_source, breakdown_topic, breakdown_time, topics_list,
-        examples_by_band, group_fold, ai_common_words, strongest_signal, evidence_ranked, era_sample, year_rise, era_compare_sept, subject_mix, year_span_mode, breakdown_merge, era_cohort_pools, era_cohort_traits, url_normalize, url_dedup, crawl_frontier,
-        jsonl_ingest, news_ingest, catalog_delete_cascade, short_doc_delete, revision_backfill, run_progress,
-        graph_two_hop, graph_pruned, graph_orphans, graph_nodes, strongest_detector, field_share_max, year_rows, created_collapsed, document_cards, article_extracts,
-        revision_dates, url_skippable, title_filters,
+        summary_documents, summary_words, summary_topic_view, summary_id_view, summary_keeps_stored, summary_comparison, doc_style, doc_entropy, doc_detectors, doc_topic_guess, doc_dates,
+        doc_hashed_embedding, stock_phrase_df, vec_centroid_by_label, vec_anomaly, knn_edges_vec, knn_edges_docs, doc_neighbours, graph_visible_edges, graph_undirected, graph_mean_aggregate,
+        graph_node_means, graph_sample, graph_groups, era_scores, era_scores_no_baseline, breakdown_source, breakdown_topic, breakdown_time, topics_list, examples_by_band, group_fold, ai_common,
+        strongest_signal, evidence_ranked, excerpts, era_sample, year_rise, era_compare_sept, subject_mix, corpus_lines, calculations, year_span_mode, year_ranges, breakdown_merge, era_cohort_pools,
+        era_cohort_traits, era_articles, url_normalize, url_dedup, url_odd_cases, url_resolve, url_coding, encyclopedia_urls, news_titles, html_extract, html_links, crawl_frontier, topic_rules,
+        topic_normalize, text_helpers, signals_text, date_forms, jsonl_ingest, news_ingest, news_countries, news_documents, catalog_delete_cascade, catalog_edge_cascade, catalog_clear, catalog_lookups,
+        catalog_counts, stored_topics, short_doc_delete, topic_updates, created_backfill, catalog_merge, revision_backfill, run_progress, run_snapshot, runs_interrupted, runs_latest, task_dependencies,
+        topics_distinct, titles_distinct, extract_longest, topic_caps, topic_years, graph_two_hop, graph_pruned, graph_orphans, graph_nodes, strongest_detector, field_share_max, year_rows,
+        created_collapsed, document_cards, article_extracts, revision_dates, url_skippable, title_filters,
     )
 }

@@ -10,57 +10,150 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexstrata.functions.text import guess_topic, trimmed, word_tokens
+from lexstrata.functions import naming
+from lexstrata.functions.html import news_text, parse_html, parse_page, stamp_date
+from lexstrata.functions.text import ascii_lower, clip_bytes, guess_topic, trimmed, word_tokens
+from lexstrata.functions.topics import kept_topic, news_topics, with_accepted, with_canonical
+from lexstrata.functions.urls import dedup_key, host_of, news_title, normalize_url
+from lexstrata.operators import reports
+from lexstrata.sources.pdf import pdf_text
+from lexstrata.storage import materialize
 
 JSON_FIELDS = "title string, text string, url string, topic string, source string"
 DOCUMENT = ("title", "text", "url", "topic", "source", "word_count")
 
 
-def as_documents(rows: DataFrame) -> DataFrame:
-    """Rows (title, text, url, topic, source) as documents: blank texts go, titles default, topics are guessed, urls clipped."""
+def as_documents(rows: DataFrame, kind: str = "USER_UPLOAD") -> DataFrame:
+    """Rows (title, text, url, topic, source) as documents: blank texts go, titles default, topics are guessed, urls clipped.
+
+    Documents of an encyclopedia (by ``kind`` of the collection, or by source) get canonical topics; of others a topic that
+    names a shared country gets its shared name.
+    """
     text = trimmed(F.coalesce("text", F.lit("")))
     blank = lambda c: F.nullif(trimmed(F.coalesce(c, F.lit(""))), F.lit(""))
-    return rows.select(
-        F.coalesce(blank("title"), F.lit("Untitled")).alias("title"), text.alias("text"), F.substring(F.coalesce("url", F.lit("")), 1, 2000).alias("url"),
-        F.coalesce(blank("topic"), guess_topic(text)).alias("topic"), F.coalesce(blank("source"), F.lit("")).alias("source"), F.size(word_tokens(text)).alias("word_count"),
+    guessed = guess_topic(F.concat_ws(" ", F.coalesce("title", F.lit("")), text))
+    step = rows.select(
+        F.when(blank("title").isNull(), "Untitled").otherwise(F.col("title")).alias("title"), text.alias("text"), clip_bytes(F.coalesce("url", F.lit("")), 2000).alias("url"),
+        F.coalesce(blank("topic"), guessed).alias("topic"), F.coalesce(blank("source"), F.lit("")).alias("source"),
     ).where("text <> ''")
+    wiki = F.lit(kind == "WIKIPEDIA_SAMPLE") | (ascii_lower(F.col("source")) == "wikipedia.org")
+    step = with_canonical(step.withColumn("_name", F.when(wiki, F.col("title")).otherwise(F.col("topic"))), "topic", "_name", "_shared")
+    topic = F.when(wiki | (kept_topic(F.col("_shared")) != ""), F.col("_shared")).otherwise(F.col("topic"))
+    return step.withColumn("topic", topic).drop("_name", "_shared").withColumn("word_count", F.size(word_tokens(F.col("text"))))
 
 
 def json_lines(lines: DataFrame, source: str) -> DataFrame:
-    """Documents from a column ``value`` of JSON objects; lines that aren't objects give nothing."""
+    """Documents from a column ``value`` of JSON objects; lines that aren't objects give nothing. Escapes are decoded."""
     rows = lines.select(F.from_json("value", JSON_FIELDS).alias("r")).where("r IS NOT NULL").select("r.*")
-    return as_documents(rows.withColumn("source", F.coalesce("source", F.lit(source))))
+    blank = F.trim(F.coalesce("source", F.lit(""))) == ""
+    return as_documents(rows.withColumn("source", F.when(blank, source).otherwise(F.col("source"))))
+
+
+#: Greatest size of one member of an archive; greater ones are left out.
+MEMBER_BYTES = 1 << 28
+
+
+def _members(name: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
+    """A file, or the members of an archive one after another; unreadable ones are left out."""
+    if not name.lower().endswith(".zip"):
+        yield name, raw
+        return
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for info in z.infolist():
+                if info.is_dir() or info.file_size > MEMBER_BYTES:
+                    continue
+                try:
+                    yield info.filename, z.read(info)
+                except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+                    continue
+    except zipfile.BadZipFile:
+        return
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """name, kind and, as the kind is, JSON lines or a title and text of each file and archive member."""
+    for batch in batches:
+        for path, raw in zip(batch.path, batch.content):
+            for name, data in _members(path, raw):
+                own = name.replace("\\", "/").rpartition("/")[2]
+                low, title = own.lower(), own
+                if low.endswith(".jsonl"):
+                    yield pd.DataFrame({"name": [own], "lines": [True], "title": [""], "text": [data.decode("utf-8", "replace")]})
+                    continue
+                if low.endswith(".pdf"):
+                    text = pdf_text(data)
+                else:
+                    text = data.decode("utf-8", "replace")
+                    if low.endswith((".html", ".htm")):
+                        page = parse_page(text)
+                        title, text = page.title.strip() or title, page.body
+                dot = title.rfind(".")
+                yield pd.DataFrame({"name": [own], "lines": [False], "title": [title[:dot] if dot > 0 else title], "text": [text]})
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Text, JSON-lines and zip files below ``path`` as documents; unreadable members are left out."""
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, raw in zip(batch.path, batch.content):
-                parts = [(name, raw)]
-                if name.lower().endswith(".zip"):
-                    try:
-                        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                            parts = [(n, z.read(n)) for n in z.namelist() if not n.endswith("/")]
-                    except (zipfile.BadZipFile, RuntimeError):
-                        parts = []
-                out += [(n.rpartition("/")[2], b.decode("utf-8", "replace")) for n, b in parts]
-            yield pd.DataFrame(out, columns=["name", "body"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "name string, body string")
-    lines = files.where("lower(name) LIKE '%.jsonl'").select("name", F.explode(F.split("body", "\n")).alias("value"))
+    """Text, HTML, PDF, JSON-lines and zip files below ``path`` as documents; unreadable members and empty texts are left out."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_read, "name string, lines boolean, title string, text string")
+    lines = files.where("lines").select("name", F.explode(F.split("text", "\n")).alias("value"))
     one = lines.select(F.from_json("value", JSON_FIELDS).alias("r"), "name").where("r IS NOT NULL").select("r.*", "name")
-    other = files.where("NOT lower(name) LIKE '%.jsonl'").selectExpr("regexp_replace(name, '\\\\.[^.]*$', '') AS title", "body AS text", "'' AS url", "'' AS topic", "'upload' AS source")
-    return as_documents(one.withColumn("source", F.coalesce("source", "name")).drop("name").unionByName(other))
+    blank = F.trim(F.coalesce("source", F.lit(""))) == ""
+    rows = one.withColumn("source", F.when(blank, F.col("name")).otherwise(F.col("source"))).drop("name")
+    other = files.where("NOT lines").select("title", "text", F.lit("").alias("url"), F.lit("").alias("topic"), F.col("name").alias("source"))
+    return as_documents(rows.unionByName(other))
+
+
+def ingest_uploads(spark: SparkSession, path: str, datasets: DataFrame, name: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """(the new collection's row, its documents) of the files below ``path``; an error where they hold no text, or the cap is reached.
+
+    The collection has the name asked for, or that of its files, with a number if it is taken.
+    """
+    shown = datasets.where("kind <> 'WIKIPEDIA_SUBSET'").select("dataset_id", "name").limit(1000).collect()  # a catalog has at most CAP shown rows
+    if len(shown) >= 7:
+        raise ValueError("no more collections can be added")
+    documents = materialize(read_uploads(spark, path), "uploads")
+    if documents.isEmpty():
+        raise ValueError("no extractable documents in the upload")
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(2).collect()]
+    taken = {r.name.lower() for r in shown}
+    chosen = naming.free_name(naming.upload_name(name, files), "USER_UPLOAD", lambda n: n.lower() in taken, now)
+    number = 1 + (datasets.agg(F.max("dataset_id")).first()[0] or 0)
+    row = spark.createDataFrame([(number, chosen, "USER_UPLOAD", now)], "dataset_id long, name string, kind string, created_at string")
+    return row, documents.withColumn("dataset_id", F.lit(number))
+
+
+def crawled_documents(pages: DataFrame) -> DataFrame:
+    """Fetched pages (url, html, seed_url) as documents: title and text of the page, source the seed."""
+    page = parse_html(F.col("html"))
+    rows = pages.select("url", "seed_url", page.alias("_p")).select(F.col("_p.title").alias("title"), F.col("_p.body").alias("text"), "url", F.lit("").alias("topic"), "seed_url")
+    return as_documents(rows.withColumn("source", F.coalesce(F.nullif("seed_url", F.lit("")), host_of(F.col("url")), F.lit("url"))))
 
 
 def news_rows(lines: DataFrame) -> DataFrame:
-    """(seen, source, url, locations) of tab-separated rows of 11 fields or more with an http address."""
-    f = F.split("value", "\t")
-    rows = lines.where(F.size(f) >= 11).select(f[1].alias("stamp"), f[3].alias("source"), f[4].alias("url"), F.concat_ws(";", f[9], f[10]).alias("locations"))
-    date = F.when(F.col("stamp").rlike(r"^\d{8}"), F.regexp_replace(F.substring("stamp", 1, 8), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise("")
-    return rows.where(F.col("url").startswith("http")).select(date.alias("seen"), "source", "url", "locations")
+    """(seen, stamp, source, url, locations, codes) of tab-separated rows of 11 fields or more with an http address."""
+    f = F.split(F.regexp_replace("value", "\r", ""), "\t")
+    rows = lines.select(f.alias("f")).where(F.size("f") >= 11)
+    g = lambda i: F.col("f")[i]
+    rows = rows.select(stamp_date(g(1)).alias("seen"), g(1).alias("stamp"), trimmed(g(3)).alias("source"), trimmed(g(4)).alias("url"), g(9).alias("locations"), g(10).alias("codes"))
+    return rows.where(F.col("url").startswith("http"))
+
+
+def news_documents(lines: DataFrame, cap: int = 1000) -> DataFrame:
+    """Documents of news rows: one country each, one address once, at most ``cap`` of a country (the first by address).
+
+    A row of several countries goes to the one with the fewest rows of its own, the first in order of equals.
+    """
+    rows = news_rows(lines).withColumn("url", F.coalesce(normalize_url(F.col("url")), F.col("url")))
+    rows = rows.withColumn("topics", news_topics(F.col("locations"), F.col("codes"))).where(F.size("topics") > 0)
+    sole = materialize(rows.where("size(topics) = 1").groupBy(F.col("topics")[0].alias("t")).agg(F.count("*").alias("n")), "sole")
+    load = F.broadcast(sole.agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("_load")))  # four rows at most
+    least = F.array_min(F.transform("topics", lambda x, i: F.struct(F.coalesce(F.element_at("_load", x), F.lit(0)).alias("n"), i.alias("i"), x.alias("t"))))["t"]
+    topic = F.when(F.size("topics") == 1, F.col("topics")[0]).otherwise(least)
+    rows = rows.join(load, F.lit(True)).withColumn("topic", topic).withColumn("title", news_title(F.col("url"), F.col("source")))
+    text = news_text(F.col("title"), F.col("url"), F.col("stamp"), F.col("source"), F.col("topic"), F.lit("English"), F.col("topic"))
+    rows = with_accepted(rows.withColumn("text", text), "title", "text", "topic", "topic")
+    first = rows.where(F.size(word_tokens(F.col("text"))) >= 40).groupBy(dedup_key(F.col("url")).alias("_key")).agg(F.min_by(F.struct("url", "title", "text", "topic", "source", "seen"), "url").alias("r")).select("r.*")
+    return reports.capped(first.withColumn("id", F.col("url")), cap).drop("id")
 
 
 def articles(payload: DataFrame) -> DataFrame:
