@@ -1,9 +1,12 @@
 """Plain, slow versions of the contracts."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -88,3 +91,48 @@ def edit_distance(pattern, text):
             now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (c != d)))
         row = now
     return min(row)
+
+
+def least_distance(pattern, text):
+    """As edit_distance, a row at a time."""
+    at = np.arange(len(text) + 1)
+    codes = np.array([ord(c) for c in text], dtype=np.int64)
+    row = np.zeros(len(text) + 1, dtype=np.int64)
+    for i, c in enumerate(pattern, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - at) + at
+    return int(row.min())
+
+
+def posteriors(texts, domains, bucket, buckets, prior, sharpness):
+    """Domain posteriors of each text: shrunk naive Bayes over buckets of words, labels' priors, roots of lengths."""
+    count = np.zeros((4, buckets))
+    for t, d in zip(texts, domains):
+        for w in WORD.findall(t or ""):
+            if d is not None:
+                count[d, bucket[w]] += 1
+    total, seen = count.sum(), np.bincount([d for d in domains if d is not None], minlength=4)
+    log_p = np.log((count + prior * (count.sum(axis=0) + 1) / (total + buckets)) / (count.sum(axis=1, keepdims=True) + prior))
+    ratio = np.round((log_p - log_p[0]) * 1e6) * (count.sum(axis=0) > 0)
+    out = []
+    for t in texts:
+        words = WORD.findall(t or "")
+        z = sum((ratio[:, bucket[w]] for w in words), np.zeros(4)) / 1e6 / math.sqrt(max(len(words), 1)) * sharpness
+        e = np.exp(np.minimum(60, z + np.log((seen + 1) / (seen[0] + 1))))
+        out.append(e / e.sum())
+    return np.array(out)
+
+
+def rates(p, n, want, steps=50, tolerance=1e-4):
+    """Projected gradient on the squared gaps, scaled by their curvature."""
+    n, r = np.asarray(n) / sum(n), np.ones(len(n))
+    for _ in range(steps):
+        gap = (n * r) @ p - want
+        if np.abs(gap).max() < tolerance:
+            break
+        on = r > 0
+        move, size = np.linalg.solve((p[on] * n[on][:, None]).T @ p[on] + 1e-9 * np.eye(4), gap), 1.0
+        while np.linalg.norm((n * np.maximum(0, r - p @ (size * move))) @ p - want) > (1 - 1e-4 * size) * np.linalg.norm(gap):
+            size /= 2
+        r = np.maximum(0, r - p @ (size * move))
+    return r
