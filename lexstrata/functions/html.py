@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ascii_lower, trimmed
-from .urls import article_url, followed, host_of, let, normalize_url, resolve_url, same_host, skippable
+from .text import ascii_lower, let, trimmed
+from .urls import article_url, followed, host_of, normalize_url, resolve_url, same_host, skippable
 
 # The named references that are decoded.
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}

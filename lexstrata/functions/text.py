@@ -5,6 +5,8 @@ Letters fold A-Z only and classes are ASCII, so results don't depend on a locale
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ TOPIC_MARKS = (
 )
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is worked out once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -61,14 +68,18 @@ def query_tokens(text: str) -> list[str]:
 
 
 def guess_topic(c: Column) -> Column:
-    low = ascii_lower(c)
-    out = F.lit("general")
-    for topic, marks in reversed(TOPIC_MARKS):
-        hit = low.contains(marks[0])
-        for m in marks[1:]:
-            hit = hit | low.contains(m)
-        out = F.when(hit, topic).otherwise(out)
-    return out
+    """The first topic in order of which the folded text holds a mark, or general."""
+
+    def first(low: Column) -> Column:
+        out = F.lit("general")
+        for topic, marks in reversed(TOPIC_MARKS):
+            hit = low.contains(marks[0])
+            for m in marks[1:]:
+                hit = hit | low.contains(m)
+            out = F.when(hit, topic).otherwise(out)
+        return out
+
+    return let(ascii_lower(c), first)
 
 
 def year_of_date(c: Column) -> Column:

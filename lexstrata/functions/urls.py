@@ -3,17 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_lower, trimmed
-
-
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of ``value``, which is worked out once however often ``then`` names it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+from .text import ascii_lower, let, trimmed
 
 
 def _normal(p: Column) -> Column:
