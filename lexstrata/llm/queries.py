@@ -16,4 +16,11 @@ QUERIES = {
     "op9_quality_classifier": language_model.query,
     "op10_warc": warc.query,
 }
-ORACLES = {"op8_url_filters": url_filter.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+ORACLES = {
+    "op1_html_extraction": html_text.ORACLE_SQL,
+    "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op6_minhash_near_dedup": near_dedup.ORACLE_SQL,
+    "op7_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
+    "op8_url_filters": url_filter.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
+}

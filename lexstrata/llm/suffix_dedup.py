@@ -224,3 +224,15 @@ def suffix_dedup(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+win AS (SELECT doc_id, i, md5(t[i : i + 99]) AS k FROM (SELECT doc_id, t, unnest(range(1, octet_length(t) - 98)) AS i FROM d)),
+late AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM late)) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+left_over AS (SELECT doc_id, count(*) AS n_spans, sum(b - a + 1) AS n_removed, string_agg(hex(t[before + 1 : a - 1]), '' ORDER BY a) AS h, max(b) AS b FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN b IS NULL THEN t ELSE unhex(h || hex(t[b + 1 :])) END) AS kept_sha256 FROM d LEFT JOIN left_over USING (doc_id)
+"""
