@@ -204,3 +204,32 @@ def change_text(after: Column, before: Column) -> Column:
     near = F.when(after > before + 0.02, "rose from near zero").when(after + 0.02 < before, "fell toward zero").otherwise("barely moved")
     moved = F.when(rel >= 0.03, F.concat(F.lit("rose "), number_text(rel * 100, 0), F.lit("%"))).when(rel <= -0.03, F.concat(F.lit("fell "), number_text(-rel * 100, 0), F.lit("%")))
     return F.when(F.abs(before) < 1e-4, near).otherwise(F.coalesce(moved, F.lit("changed little")))
+
+
+def score_label(p: Column, band: Column) -> Column:
+    """A page's score in whole percent and its band in words; '' without a score."""
+    words = F.when(band == "LIKELY_AI", ", likely AI-generated").when(band == "LIKELY_HUMAN", ", likely human-written").when(band == "UNCERTAIN", ", uncertain").otherwise("")
+    return F.when(p.isNull(), "").otherwise(F.concat(F.floor(F.round(p * 100, 9) + 0.5).cast("string"), F.lit("%"), words))
+
+
+def _shortened(clean: Column, longest: int, cut: int) -> Column:
+    return F.when(F.length(clean) <= longest, clean).otherwise(F.concat(F.regexp_replace(F.substring(clean, 1, cut), r"\s+\S*$", ""), F.lit("…")))
+
+
+def clip_sentence(text: Column, longest: int) -> Column:
+    """The text on one line without leading dots, cut after a word of its first ``longest`` characters."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), "^…+", ""))
+    return let(clean, lambda c: _shortened(c, longest, longest))
+
+
+def gist(text: Column, title: Column) -> Column:
+    """One line of a page's text or else title: addresses and slugs as words, at most 180 characters; Untitled if there is nothing."""
+    raw = F.coalesce(F.nullif(text, F.lit("")), F.nullif(title, F.lit("")), F.lit("Untitled"))
+    line = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+
+    def spoken(r: Column) -> Column:
+        address = r.rlike("(?i)^https?://") | (r.rlike("(?i)^[a-z0-9.-]+/") & ~r.contains(" "))
+        words = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(r, "(?i)^https?://", ""), r"[?#].*$", ""), "[/_-]+", " "), ".", " ")
+        return F.when(address, words).when(r.contains("-") & ~r.contains(" "), F.regexp_replace(r, "[-_]+", " ")).otherwise(r)
+
+    return let(line(let(line(raw), spoken)), lambda s: F.coalesce(F.nullif(_shortened(s, 180, 176), F.lit("")), F.lit("Untitled")))

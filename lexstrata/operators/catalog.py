@@ -234,3 +234,23 @@ def era_compare(scored: DataFrame, cut: str = "2019-09-01") -> DataFrame:
     dated = scored.where((d != "") & (F.col("year") > 0) & (d != "2019") & F.col("p_ai").isNotNull()).withColumn("_after", F.when(d.rlike(r"^\d{4}-\d{2}-\d{2}"), d >= cut).otherwise(F.col("year") > 2019))
     side = lambda late: F.when(F.col("_after") if late else ~F.col("_after"), F.col("p_ai"))
     return dated.agg(F.count(side(False)).alias("n_before"), F.count(side(True)).alias("n_after"), F.round(F.avg(side(False)), 6).alias("mean_before"), F.round(F.avg(side(True)), 6).alias("mean_after"))
+
+
+def pending(docs: DataFrame, features: DataFrame) -> DataFrame:
+    """dataset_id, documents, pending, state: documents without features or score, and what that makes of each collection: ready or pending."""
+    have = features.where("p_ai IS NOT NULL AND size(embedding) > 0").select("id", F.lit(True).alias("_have"))
+    rows = docs.select("id", "dataset_id").join(have, "id", "left").groupBy("dataset_id")
+    out = rows.agg(F.count("*").alias("documents"), F.count_if(F.col("_have").isNull()).alias("pending"))
+    return out.withColumn("state", F.when(F.col("pending") == 0, "ready").otherwise("pending"))
+
+
+# States of a collection's neighbourhood means.
+NOT_TRAINED, EMBEDDED, VALIDATION_FAILED = "NOT_TRAINED", "EMBEDDED", "VALIDATION_FAILED"
+
+
+def means_status(datasets: DataFrame, docs: DataFrame, labels: bool | None = None) -> DataFrame:
+    """dataset_id, status: means need two documents; a request to train them fails without labels, and with them isn't validated."""
+    n = docs.groupBy("dataset_id").agg(F.count("*").alias("_n"))
+    made = F.when(F.coalesce("_n", F.lit(0)) >= 2, EMBEDDED).otherwise(NOT_TRAINED)
+    asked = made if labels is None else F.lit(VALIDATION_FAILED if labels else NOT_TRAINED)
+    return datasets.select("dataset_id").join(n, "dataset_id", "left").select("dataset_id", asked.alias("status"))

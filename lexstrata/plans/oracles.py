@@ -384,3 +384,13 @@ SELECT url, title, topic, '2024-03-15' AS seen, CAST(length('GDELT Project monit
     "topic_years": f"{DS}, z AS (SELECT dataset_id, topic, TRY_CAST(substr(coalesce(nullif(created_at, ''), published_at), 1, 4) AS INT) AS y FROM c) SELECT dataset_id, topic, count(*) AS documents, count(y) AS dated, min(y) AS first, max(y) AS last FROM z GROUP BY ALL",
     "article_extracts": f"{DS}, z AS (SELECT id, title, text FROM c WHERE id % 5 <> 0 AND regexp_replace(text, '{SPACE}', '', 'g') <> '') SELECT title, sha256(text) AS value FROM z UNION ALL SELECT lower(title), sha256(text) FROM z WHERE id % 2 = 0",
 }
+
+_ONE_LINE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_SHORT = r"CASE WHEN length({0}) <= {1} THEN {0} ELSE regexp_replace(substr({0}, 1, {2}), '\s+\S*$', '') || '…' END"
+ORACLES |= {
+    "page_lines": f"{scored('dataset_id')}, g AS (SELECT id, CASE id % 5 WHEN 0 THEN 'a example some page no ' || id || ' html' WHEN 1 THEN 'a slug of ' || id WHEN 2 THEN {_ONE_LINE.format('text')} ELSE title END AS g, {_ONE_LINE.format('text')} AS s, CASE WHEN id % 9 > 0 THEN CAST(CAST(floor(round(round(p_ai, 6) * 100, 9) + 0.5) AS BIGINT) AS VARCHAR) || '%' || CASE band WHEN 'LIKELY_AI' THEN ', likely AI-generated' WHEN 'LIKELY_HUMAN' THEN ', likely human-written' ELSE ', uncertain' END ELSE '' END AS label FROM scored) SELECT id, {_SHORT.format('g', 180, 176)} AS gist, {_SHORT.format('s', 110, 110)} AS sentence, label FROM g",
+    "summary_json": f"{VIEW}, s AS ({SUMMARY}) SELECT '{{\"documents\":' || documents || ',\"scored\":' || scored || ',\"words\":' || words || ',\"likely_ai\":' || likely_ai || ',\"uncertain\":' || uncertain || ',\"likely_human\":' || likely_human || ',\"estimate\":' || estimate || ',\"topic\":null}}' AS json FROM s",
+    "features_pending": f"{DS} SELECT dataset_id, count(*) AS documents, count(*) FILTER (id % 3 = 0 AND dataset_id <> 2) AS pending, CASE WHEN dataset_id = 2 THEN 'ready' ELSE 'pending' END AS state FROM c GROUP BY 1",
+    "means_status": "SELECT * FROM (VALUES (1, 'EMBEDDED', 'means'), (2, 'EMBEDDED', 'means'), (3, 'NOT_TRAINED', 'means'), (4, 'NOT_TRAINED', 'means'), (1, 'VALIDATION_FAILED', 'training'), (2, 'VALIDATION_FAILED', 'training'), (3, 'VALIDATION_FAILED', 'training'), (4, 'VALIDATION_FAILED', 'training')) t(dataset_id, status, asked)",
+    "edges_replace": f"{_STORE} SELECT dataset_id, 'embedding' AS reason, count(*) AS n, CAST(sum(dst) AS BIGINT) AS ends FROM e WHERE dataset_id <> 2 GROUP BY 1 UNION ALL SELECT 2, 'embedding+topic', count(*), CAST(sum(id + 10) AS BIGINT) FROM corpus0 WHERE dataset_id = 2",
+}

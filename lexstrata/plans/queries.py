@@ -624,6 +624,33 @@ def news_titles(spark, sf):
     return _t(spark, sf, "pages").select("page_id", urls.news_title(F.col("url"), F.when(F.col("page_id") % 2 == 0, "src")).alias("title"))
 
 
+def page_lines(spark, sf):
+    rows = _analysed(spark, sf).join(_texts(spark, sf), "id")
+    slug = F.when(F.col("id") % 5 == 0, F.concat(F.lit("https://a.example/some_page/no-"), F.col("id"), F.lit(".html?x=1#y"))).when(F.col("id") % 5 == 1, F.concat(F.lit("a-slug_of-"), F.col("id"))).when(F.col("id") % 5 == 2, F.col("text")).otherwise("")
+    return rows.select("id", words.gist(slug, F.col("title")).alias("gist"), words.clip_sentence(F.concat(F.lit("… "), F.col("text")), 110).alias("sentence"), words.score_label(F.when(F.col("id") % 9 > 0, F.round("p_ai", 6)), F.col("band")).alias("label"))
+
+
+def summary_json(spark, sf):
+    """A view's counts as the JSON text that a service answers with; nulls stay."""
+    counts = views.summary(_view(spark, sf)).select("documents", "scored", "words", "likely_ai", "uncertain", "likely_human", "estimate", F.lit(None).cast("string").alias("topic"))
+    return counts.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def features_pending(spark, sf):
+    return catalog.pending(corpus(spark, sf), _analysed(spark, sf).where("id % 3 > 0 OR dataset_id = 2"))
+
+
+def means_status(spark, sf):
+    rows = corpus(spark, sf).where("dataset_id < 3 OR id = 9")
+    return catalog.means_status(datasets(spark), rows).withColumn("asked", F.lit("means")).unionByName(catalog.means_status(datasets(spark), rows, True).withColumn("asked", F.lit("training")))
+
+
+def edges_replace(spark, sf):
+    s = _store(spark, sf)
+    new = corpus(spark, sf).where("dataset_id = 2").select(F.col("id").alias("src"), (F.col("id") + 10).alias("dst"), F.lit(0.9).alias("cosine"), F.lit("embedding+topic").alias("reason"))
+    return catalog.replace_edges(s, 2, new).edges.groupBy("dataset_id", "reason").agg(F.count("*").alias("n"), F.sum("dst").alias("ends"))
+
+
 # Cases of the functions that the tables lack.
 ODD_URLS = (
     "HTTP://Www.A.com.:80//x//y/", "a.com", "//b.org?q=1", "ftp://x", "", "https://10.1.2.3/", "http://h:99/", "http://localhost/a", "https://x.local", "http://172.16.0.1/", "http://172.32.0.1/",
@@ -646,6 +673,6 @@ QUERIES = {
         topic_normalize, text_helpers, signals_text, date_forms, jsonl_ingest, news_ingest, news_countries, news_documents, catalog_delete_cascade, catalog_edge_cascade, catalog_clear, catalog_lookups,
         catalog_counts, stored_topics, short_doc_delete, topic_updates, created_backfill, catalog_merge, revision_backfill, run_progress, run_snapshot, runs_interrupted, runs_latest, task_dependencies,
         topics_distinct, titles_distinct, extract_longest, topic_caps, topic_years, graph_two_hop, graph_pruned, graph_orphans, graph_nodes, strongest_detector, field_share_max, year_rows,
-        created_collapsed, document_cards, article_extracts, revision_dates, url_skippable, title_filters,
+        created_collapsed, document_cards, article_extracts, revision_dates, url_skippable, title_filters, page_lines, summary_json, features_pending, means_status, edges_replace,
     )
 }
