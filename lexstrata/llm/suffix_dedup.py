@@ -23,7 +23,7 @@ from .storage import materialize
 from .substring_dedup import runs_of
 
 WINDOW = 100
-GRAM = 32
+GRAM = 50
 #: Shards for each shuffle partition: a shard's suffix array is built in one Python worker.
 SHARDS = 4
 
