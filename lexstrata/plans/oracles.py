@@ -333,7 +333,7 @@ g AS (SELECT line, key, count(*) AS documents, count(*) FILTER (w) AS w FROM k W
 SELECT line, key, documents, place FROM r WHERE line <> 'subject' OR place <= 3 UNION ALL SELECT 'thin', key, documents, place FROM r WHERE line = 'subject' AND place > 3 AND key IN {THIN_SUBJECTS} UNION ALL SELECT 'news_only', key, documents, place FROM r WHERE line = 'country' AND w = 0""",
     "calculations": f"""{VIEW}, {YEARS}{edges('scored')}, s AS ({SUMMARY}), y AS (SELECT year, documents, {percent('mean')} AS p FROM yr WHERE year <= 2026)
 SELECT (SELECT count(*) FROM corpus0) AS corpus, documents, likely_ai + likely_human + uncertain AS scored, documents - (likely_ai + likely_human + uncertain) AS pending, likely_ai, likely_human, uncertain, words, estimate, estimate_low, estimate_high,
-(SELECT {percent('round(sum(p_ai * word_count) / sum(word_count), 6)')} FROM scored) AS word_percent, (SELECT {third('round(avg(p_ai), 6)')} FROM scored) AS mean_p, CAST(0.58 AS DOUBLE) AS ai_from, CAST(0.42 AS DOUBLE) AS human_to, CAST(0.5 AS DOUBLE) AS widest, (SELECT max(year) - 2014 FROM y) AS bins, (SELECT count(*) FROM y) AS bins_with_mean,
+(SELECT {percent('round(sum(p_ai * word_count) / sum(word_count), 6)')} FROM scored) AS word_percent, (SELECT {third('round(avg(p_ai), 6)')} FROM scored) AS mean_p, CAST(0.58 AS DOUBLE) AS ai_from, CAST(0.42 AS DOUBLE) AS human_to, CAST(0.5 AS DOUBLE) AS widest, (SELECT CAST(max(year) - 2014 AS BIGINT) FROM y) AS bins, (SELECT count(*) FROM y) AS bins_with_mean,
 (SELECT CAST(min(year) AS INT) FROM y) AS first_year, (SELECT CAST(max(year) AS INT) FROM y) AS last_year, (SELECT p FROM y ORDER BY year DESC LIMIT 1) AS last_percent, (SELECT documents FROM y ORDER BY year DESC LIMIT 1) AS last_documents,
 (SELECT CAST(year AS INT) FROM y ORDER BY p DESC, year LIMIT 1) AS peak_year, (SELECT max(p) FROM y) AS peak_percent, (SELECT count(*) FROM scored) AS nodes, (SELECT count(*) FROM de) AS edges FROM s""",
     "year_ranges": f"{VIEW} SELECT CAST(year AS INT) AS year, count(*) AS documents, {percent('avg(p_ai)')} AS mean, {percent('min(p_ai)')} AS low, {percent('max(p_ai)')} AS high FROM scored WHERE year > 0 GROUP BY 1",
