@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_model, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filter, warc
+from . import bpe, decontaminate, html_text, language_model, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": html_text.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filter.query,
     "op9_quality_classifier": language_model.query,
     "op10_warc": warc.query,
+    "op12_bpe_automaton": bpe.query,
 }
 ORACLES = {
     "op1_html_extraction": html_text.ORACLE_SQL,
