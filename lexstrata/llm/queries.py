@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, decontaminate, html_text, language_model, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filter, warc
+from . import bpe, collocations, decontaminate, html_text, language_model, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_html_extraction": html_text.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filter.query,
     "op9_quality_classifier": language_model.query,
     "op10_warc": warc.query,
+    "op11_vector_codes": vector_codes.query,
     "op12_bpe_automaton": bpe.query,
     "op13_collocations": collocations.query,
 }
@@ -25,5 +26,6 @@ ORACLES = {
     "op7_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
     "op8_url_filters": url_filter.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
     "op13_collocations": collocations.ORACLE_SQL,
 }

@@ -32,3 +32,9 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     path = f"{folder or shared_dir(spark)}/{name}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of this operator's own folder that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
