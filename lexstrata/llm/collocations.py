@@ -14,6 +14,7 @@ reach the second pass, and the result is the same.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,10 @@ TABLE = bytes.maketrans(bytes(range(65, 91)) + b"\t" + MARKS, bytes(range(97, 12
 #: Rows of the sketch; least and greatest number of cells of a row; cells of a block, as which tasks send them.
 ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 LEAST_CELLS, MOST_CELLS, BLOCK = 1 << 16, 1 << 28, 1 << 16
-#: Words of the runs of whole texts that are counted at once.
-RUN = 1 << 20
-#: Parts over which the counts of single words are dealt in joins, as one word may begin a third of all phrases.
-SALTS = 16
+#: Words of the runs of whole texts that are counted at once; cells of such runs that a task sums before it sends them.
+RUN, HELD = 1 << 20, 8 << 20
+#: Words that take part in more than BUSY cuts are dealt over SALTS parts in joins, as one word may begin a third of all phrases.
+BUSY, SALTS = 10_000, 16
 
 
 class _Vocabulary(dict):
@@ -54,7 +55,7 @@ class _Vocabulary(dict):
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[tuple[str, bytes]]]]:
     """(numbers of the words in order, 0 between pieces; language and bytes of each number) of runs of whole texts."""
-    words, ids, by_lang = [("", b"")], [0], {}
+    words, ids, by_lang = [("", b"")], array("i", [0]), {}
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1)):
             lang = lang.as_py()
@@ -64,9 +65,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
             ids.extend(map(by_lang[lang].__getitem__, tokens))
             ids.append(0)
             if len(ids) >= RUN:
-                yield np.array(ids), words
-                words, ids, by_lang = [("", b"")], [0], {}
-    yield np.array(ids), words
+                yield np.array(ids, dtype=np.int64), words
+                words, ids, by_lang = [("", b"")], array("i", [0]), {}
+    yield np.array(ids, dtype=np.int64), words
 
 
 def _grams(ids: np.ndarray, words: list[tuple[str, bytes]], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -87,26 +88,39 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _sketch(longest: int, least: int, bits: int):
-    """(row, block, gaps, counts): the cells of each run of texts, in blocks; gaps between cells in use, counts up to ``least``."""
+    """(row, block, gaps, width, n, counts): cells of the runs of a task, summed up to HELD cells, in blocks; gaps between cells in use, counts up to ``least``."""
+
+    def sent(held: list[list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for row, parts in enumerate(held):
+            cells, counts = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(cells, kind="stable")
+            cells, first = np.unique(cells[order], return_index=True)
+            counts = np.minimum(np.add.reduceat(counts[order], first, dtype=np.int64), least).astype(np.uint8) if len(cells) else counts
+            block = cells // BLOCK
+            cut = np.flatnonzero(np.diff(block)) + 1
+            for c, n in zip(np.split(cells, cut), np.split(counts, cut)):
+                if len(c):
+                    which = int(c[0]) // BLOCK
+                    gaps = np.diff(c.astype(np.int64) - which * BLOCK, prepend=0).astype(np.uint16)
+                    small = gaps.astype(np.uint8) if gaps.max() < 256 else gaps
+                    out.append((row, which, pa.compress(small.tobytes(), "zstd", asbytes=True), small.itemsize, len(c), pa.compress(n.tobytes(), "zstd", asbytes=True)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], ["row", "block", "gaps", "width", "n", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [[] for _ in ODD], 0
         for ids, words in _runs(batches):
             hashes = np.concatenate([h for _, h in _grams(ids, words, longest)])
-            out = []
             for row in range(len(ODD)):
-                cells, counts = np.unique(_cells(hashes, row, bits), return_counts=True)
-                counts = np.minimum(counts, least).astype(np.uint8)
-                block = cells // U(BLOCK)
-                cut = np.flatnonzero(np.diff(block)) + 1
-                for c, n in zip(np.split(cells, cut), np.split(counts, cut)):
-                    if len(c):
-                        first = int(c[0]) // BLOCK
-                        gaps = np.diff(c.astype(np.int64) - first * BLOCK, prepend=0).astype(np.uint16)
-                        small = gaps.astype(np.uint8) if gaps.max() < 256 else gaps
-                        out.append((row, first, pa.compress(small.tobytes(), "zstd", asbytes=True), small.itemsize, len(c), pa.compress(n.tobytes(), "zstd", asbytes=True)))
-            if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], ["row", "block", "gaps", "width", "n", "counts"])
+                cells, counts = np.unique(_cells(hashes, row, bits).astype(np.uint32), return_counts=True)
+                held[row].append((cells, np.minimum(counts, least).astype(np.uint8)))
+            size += len(held[0][-1][0])
+            if size >= HELD:
+                yield from sent(held)
+                held, size = [[] for _ in ODD], 0
+        if held[0]:
+            yield from sent(held)
 
     return run
 
@@ -204,12 +218,14 @@ def with_scores(candidates: DataFrame, phrases: DataFrame) -> DataFrame:
     words = F.split("phrase", " ")
     cuts = candidates.select("lang", "phrase", F.col("count").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", F.struct(F.col("k").alias("size"), _joined(words, 1, F.col("k")).alias("part")).alias("first"), F.struct((F.col("size") - F.col("k")).alias("size"), _joined(words, F.col("k") + 1, F.col("size")).alias("part")).alias("rest"))
-    salt = lambda size, chosen: F.when(size == 1, chosen).otherwise(F.lit(0))
-    dealt = F.explode(F.sequence(F.lit(0), salt(F.col("size"), F.lit(SALTS - 1))))
-    parts = phrases.where("size > 0").select("lang", F.col("phrase").alias("part"), F.col("count").alias("f"), dealt.alias("salt"))
+    used = cuts.select("lang", F.explode(F.array("first", "rest")).alias("p")).where("p.size = 1").groupBy("lang", F.col("p.part").alias("part")).agg(F.count("*").alias("_n"))
+    busy = keys_for_join(used.where(F.col("_n") > BUSY).select("lang", "part", F.lit(True).alias("busy")))
+    salts = lambda all_, one: F.when(F.coalesce("busy", F.lit(False)), all_).otherwise(one)
+    every = F.explode(F.sequence(F.lit(0), salts(F.lit(SALTS - 1), F.lit(0))))
+    parts = phrases.where("size > 0").select("lang", F.col("phrase").alias("part"), F.col("count").alias("f")).join(busy, ["lang", "part"], "left").select("lang", "part", "f", every.alias("salt"))
     for side, name in (("first", "l"), ("rest", "r")):
-        own = salt(F.col(f"{side}.size"), F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
-        cuts = cuts.withColumn("part", F.col(f"{side}.part")).withColumn("salt", own).join(parts, ["lang", "part", "salt"]).withColumnRenamed("f", name).drop("part", "salt")
+        cuts = cuts.withColumn("part", F.col(f"{side}.part")).join(busy, ["lang", "part"], "left").withColumn("salt", salts(F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"), F.lit(0))).drop("busy", side)
+        cuts = cuts.join(parts, ["lang", "part", "salt"]).withColumnRenamed("f", name).drop("part", "salt")
     exact = lambda c: F.col(c).cast("decimal(18,0)")
     cuts = cuts.withColumn("x", exact("a") * exact("a") * F.lit(1000000).cast("decimal(7,0)")).withColumn("y", exact("l") * exact("r")).withColumn("score", F.expr("x div y"))
     best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
@@ -240,7 +256,8 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, absorbed: i
     """
     folder = shared_dir(docs.sparkSession)
     phrases = frequent_phrases(docs, longest, least, folder)
-    best = leading(with_scores(not_absorbed(phrases, absorbed), phrases), top)
+    candidates = materialize(not_absorbed(phrases, absorbed), "candidates", folder)
+    best = leading(with_scores(candidates, phrases), top)
     totals = phrases.where("size = 0").select("lang", F.col("count").alias("n"))
     return best.join(keys_for_join(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

@@ -61,7 +61,7 @@ def test_brute_force(docs, rows, parts):
 
 def test_parameters(docs, rows, monkeypatch):
     """Longer phrases, other thresholds and shares, few of each language, small runs and a narrow sketch."""
-    monkeypatch.setattr(collocations, "SALTS", 3)
+    monkeypatch.setattr(collocations, "BUSY", 2)
     assert got(collocations.collocations(docs, 4, 5, 80, 7)) == brute(rows, 4, 5, 80, 7)
     assert got(collocations.collocations(docs, 2, 1, 50, 40)) == brute(rows, 2, 1, 50, 40)
 
@@ -71,6 +71,7 @@ def test_runs_of_texts(rows, monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(collocations, "RUN", 50)
+    monkeypatch.setattr(collocations, "HELD", 100)
     batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows]), pa.array(["und" if x is None else x for x, _ in rows])], ["text", "lang"])
     full = [bytearray(8192) for _ in collocations.ODD]
     for b in collocations._merge(10)(collocations._sketch(3, 10, 16)(iter([batch]))):
