@@ -98,31 +98,8 @@ def _centres(docs: DataFrame, scopes: DataFrame, by: str, folder: str) -> DataFr
     return materialize(found, "centres", folder)
 
 
-def era_scores(docs: DataFrame, by: str = "dataset_id", keep_stored: bool = False) -> DataFrame:
-    """``featured`` documents (texts aren't needed) with signals, p_ai, ci_low, ci_high and band, calibrated within each ``by``.
-
-    Baseline: documents dated before 2019. A scope without baseline is scored from raw signals around the
-    centroid of its least formulaic documents or, with ``keep_stored`` (as views do), keeps the STORED columns of
-    ``docs``, earlier-dated documents still forced low. Documents without a vector have distance 0.5. The
-    embedding isn't carried on. An empty scope gives no rows.
-    """
-    folder = shared_dir(docs.sparkSession)
-    docs = docs.withColumn("pre", F.coalesce((F.col("year") > 0) & (F.col("year") < 2019), F.lit(False)))
-    scopes = _scopes(docs, by, folder)
-    kept = None
-    if keep_stored:
-        bare = docs.join(scopes.where("NOT have_pre").select(by), by, "left_semi")
-        kept = forced_human(bare).withColumn("have_pre", F.lit(False)).drop("embedding")
-        docs = docs.join(scopes.where("have_pre").select(by), by, "left_semi")
-    docs = docs.drop(*STORED)
-    docs = docs.join(_centres(docs, scopes, by, folder), by, "left").join(scopes.select(by, "have_pre"), by)
-    known = (F.size("embedding") > 0) & F.col("centroid").isNotNull()
-    docs = docs.withColumn("distance", F.when(known, F.round(1 - cosine(F.col("embedding"), F.col("centroid")), 9)).otherwise(0.5)).withColumn("vector", F.coalesce(known, F.lit(False)))
-    docs = materialize(docs.drop("embedding", "centroid"), "distances", folder)
-    counted = F.col("pre") | ~F.col("have_pre")
-    base = lambda v: F.when(counted & (F.col("vector") if v == "distance" else F.lit(True)), F.coalesce(v, F.lit(0.0)))
-    stats = docs.groupBy(by).agg(*(x for v in MEASURED for x in (F.avg(base(v)).alias(f"{v}_mean"), F.stddev_samp(base(v)).alias(f"{v}_sd"), F.count(base(v)).alias(f"{v}_n"))))
-    docs = fractional_rank(docs.join(materialize(stats, "stats", folder), by), [by], "distance", "anomaly_rank", folder)
+def with_raw(docs: DataFrame) -> DataFrame:
+    """Adds the signals, raw_p (9 places) and the widths of its interval, from measures, their moments (_mean, _sd, _n) and anomaly_rank."""
     have = F.col("have_pre")
     far = F.when(have, _excess("distance")).otherwise(clip01(1.4 * F.col("distance")))
     pick = lambda v: F.when(have, _excess(v)).otherwise(clip01(F.col(v)))
@@ -144,10 +121,43 @@ def era_scores(docs: DataFrame, by: str = "dataset_id", keep_stored: bool = Fals
     half = F.least(F.lit(0.22), 0.06 + 0.45 * F.sqrt(((core[0] - mean) ** 2 + (core[1] - mean) ** 2 + (core[2] - mean) ** 2) / 3))
     docs = docs.withColumn("raw_p", F.round(1 / (1 + F.exp(-z)), 9)).withColumn("_half", half)
     docs = docs.withColumn("_raw_width", clip01(F.col("raw_p") + F.col("_half")) - clip01(F.col("raw_p") - F.col("_half")))
-    docs = fractional_rank(docs, [by, "pre"], "raw_p", "_rank", folder)
+    return docs
+
+
+def with_bands(docs: DataFrame) -> DataFrame:
+    """p_ai, ci_low, ci_high and band from raw_p and its rank, earlier-dated documents forced low; without what was needed for them."""
     mixed = clip01((1 - RANK_MIX) * F.col("raw_p") + RANK_MIX * F.col("_rank"))
     wide = F.greatest(F.lit(0.05), F.col("_raw_width") / 2)
     docs = docs.withColumn("p_ai", mixed).withColumn("ci_low", clip01(F.col("p_ai") - wide)).withColumn("ci_high", clip01(F.col("p_ai") + wide))
     docs = forced_human(docs.withColumn("band", band_of(F.col("p_ai"), F.col("ci_high") - F.col("ci_low"))))
-    docs = docs.drop("_half", "_raw_width", "_rank", *(f"{v}_{k}" for v in MEASURED for k in ("mean", "sd", "n")))
+    return docs.drop("_half", "_raw_width", "_rank", *(f"{v}_{k}" for v in MEASURED for k in ("mean", "sd", "n")))
+
+
+def era_scores(docs: DataFrame, by: str = "dataset_id", keep_stored: bool = False) -> DataFrame:
+    """``featured`` documents (texts aren't needed) with signals, p_ai, ci_low, ci_high and band, calibrated within each ``by``.
+
+    Baseline: documents dated before 2019. A scope without baseline is scored from raw signals around the
+    centroid of its least formulaic documents or, with ``keep_stored`` (as views do), keeps the STORED columns of
+    ``docs``, earlier-dated documents still forced low. Documents without a vector have distance 0.5. The
+    embedding isn't carried on. An empty scope gives no rows.
+    """
+    folder = shared_dir(docs.sparkSession)
+    docs = docs.withColumn("pre", F.coalesce((F.col("year") > 0) & (F.col("year") < 2019), F.lit(False)))
+    scopes = _scopes(docs, by, folder)
+    kept = None
+    if keep_stored:
+        bare = docs.join(scopes.where("NOT have_pre").select(by), by, "left_semi")
+        kept = forced_human(bare).withColumn("have_pre", F.lit(False)).drop("embedding")
+        docs = docs.join(scopes.where("have_pre").select(by), by, "left_semi")
+    docs = docs.drop(*STORED)
+    docs = docs.join(_centres(docs, scopes, by, folder), by, "left").join(scopes.select(by, "have_pre"), by)
+    known = (F.size("embedding") > 0) & F.col("centroid").isNotNull()
+    docs = docs.withColumn("distance", F.when(known, F.round(1 - cosine(F.col("embedding"), F.col("centroid")), 9)).otherwise(0.5)).withColumn("vector", F.coalesce(known, F.lit(False)))
+    docs = materialize(docs.drop("embedding", "centroid"), "distances", folder)
+    counted = F.col("pre") | ~F.col("have_pre")
+    base = lambda v: F.when(counted & (F.col("vector") if v == "distance" else F.lit(True)), F.coalesce(v, F.lit(0.0)))
+    stats = docs.groupBy(by).agg(*(x for v in MEASURED for x in (F.avg(base(v)).alias(f"{v}_mean"), F.stddev_samp(base(v)).alias(f"{v}_sd"), F.count(base(v)).alias(f"{v}_n"))))
+    docs = fractional_rank(docs.join(materialize(stats, "stats", folder), by), [by], "distance", "anomaly_rank", folder)
+    docs = fractional_rank(with_raw(docs), [by, "pre"], "raw_p", "_rank", folder)
+    docs = with_bands(docs)
     return docs if kept is None else docs.unionByName(kept, allowMissingColumns=True)

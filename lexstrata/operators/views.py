@@ -73,30 +73,32 @@ def signal_means(docs: DataFrame) -> list[Column]:
 
 def summary(scored: DataFrame, metric: str = "documents") -> DataFrame:
     """Counts, bands, document and word shares, mean signals: one row; the headline's share and range are those of the metric."""
-    w = F.sum(F.when(F.col("p_ai").isNotNull(), F.col("word_count")))
     band = lambda b: F.count_if(F.col("band") == b)
-    share = F.coalesce(F.try_divide(F.sum(F.col("p_ai") * F.col("word_count")), w), F.lit(0.0))
     one = scored.agg(
-        F.count("*").alias("documents"), F.count("p_ai").alias("scored"), *interval(F.col("p_ai")), F.round(share, 6).alias("word_share"), F.coalesce(w, F.lit(0)).alias("words"),
-        band("LIKELY_AI").alias("likely_ai"), band("UNCERTAIN").alias("uncertain"), band("LIKELY_HUMAN").alias("likely_human"), *signal_means(scored),
-        (1.96 * F.when(F.count("p_ai") < 2, 0.08).otherwise(F.stddev_samp("p_ai") / F.sqrt(F.greatest(F.count("p_ai"), F.lit(1))))).alias("_e"),
+        F.count("*").alias("documents"), F.count("p_ai").alias("scored"), F.avg("p_ai").alias("_mean"), F.stddev_samp("p_ai").alias("_sd"), F.sum(F.when(F.col("p_ai").isNotNull(), F.col("word_count"))).alias("_w"),
+        F.sum(F.col("p_ai") * F.col("word_count")).alias("_pw"), band("LIKELY_AI").alias("likely_ai"), band("UNCERTAIN").alias("uncertain"), band("LIKELY_HUMAN").alias("likely_human"), *signal_means(scored),
     )
+    return summary_of(one, metric)
+
+
+def summary_of(one: DataFrame, metric: str = "documents") -> DataFrame:
+    """The summary's row from its counts, the mean and deviation of scores (_mean, _sd), words (_w) and scores by words (_pw)."""
+    one = one.withColumn("_e", F.when(F.col("scored") > 0, 1.96 * F.when(F.col("scored") < 2, 0.08).otherwise(F.col("_sd") / F.sqrt(F.greatest("scored", F.lit(1))))))
+    around = lambda middle, sign: clip01(F.col(middle) + sign * F.coalesce("_e", F.lit(0.0)))
+    one = one.withColumn("_mean", F.coalesce("_mean", F.lit(0.0))).withColumn("word_share", F.round(F.coalesce(F.try_divide("_pw", "_w"), F.lit(0.0)), 6))
+    one = one.withColumns({"mean": F.round("_mean", 6), "low": F.round(around("_mean", -1), 6), "high": F.round(around("_mean", 1), 6), "words": F.coalesce("_w", F.lit(0))})
     words = F.lit(metric.lower() == "words")
     middle = F.when(words, F.col("word_share")).otherwise(F.col("mean"))
     low, high = (F.when(words, clip01(F.col("word_share") + sign * F.col("_e"))).otherwise(F.col(c)) for sign, c in ((-1, "low"), (1, "high")))
     known = F.col("scored") > 0
-    return one.withColumns({"estimate": F.when(known, percent(middle)), "estimate_low": F.when(known, percent(low)), "estimate_high": F.when(known, percent(high))}).drop("_e")
-
-
-def headline(stored: DataFrame, metric: str = "documents") -> DataFrame:
-    """documents, estimate of a collection from its stored scores; null if nothing is scored."""
-    return summary(stored, metric).select("documents", "estimate")
+    one = one.withColumns({"estimate": F.when(known, percent(middle)), "estimate_low": F.when(known, percent(low)), "estimate_high": F.when(known, percent(high))})
+    return one.drop("_e", "_mean", "_sd", "_w", "_pw")
 
 
 def comparison(this: DataFrame, other: DataFrame, kind: str, metric: str = "documents") -> DataFrame:
-    """For a collection of addresses, its estimate beside that of the encyclopedia's stored scores, which isn't rescored; no row for other kinds."""
+    """For a collection of addresses, its estimate beside ``other``, the summary of the encyclopedia's stored scores, which aren't rescored; no row for other kinds."""
     mine = summary(this, metric).select(F.col("documents").alias("this_documents"), F.col("estimate").alias("this_estimate"))
-    theirs = headline(other, metric).select(F.col("documents").alias("other_documents"), F.col("estimate").alias("other_estimate"))
+    theirs = other.select(F.col("documents").alias("other_documents"), F.col("estimate").alias("other_estimate"))
     return mine.join(F.broadcast(theirs), F.lit(True)).where(F.lit(kind == "USER_URLS"))
 
 
@@ -122,13 +124,17 @@ def topics(docs: DataFrame, least: int = 100) -> DataFrame:
     return docs.where("topic <> ''").groupBy("topic").agg(F.count("*").alias("documents")).where(F.col("documents") >= least)
 
 
-def examples(scored: DataFrame, band: str = "", limit: int = 6, least: int = 1) -> DataFrame:
-    """Country topics by mean score with the band of the mean: the strongest first for the AI band, the weakest for the human one, else the largest.
+def topic_means(scored: DataFrame) -> DataFrame:
+    """topic, documents, mean of scored documents of each country topic."""
+    return scored.where("topic <> '' AND p_ai IS NOT NULL").groupBy("topic").agg(F.count("*").alias("documents"), F.round(F.avg("p_ai"), 6).alias("mean"))
+
+
+def examples(means: DataFrame, band: str = "", limit: int = 6, least: int = 1) -> DataFrame:
+    """``topic_means`` with the band of the mean: the strongest first for the AI band, the weakest for the human one, else the largest.
 
     A ``limit`` of 0 or less is none.
     """
-    rows = scored.where("topic <> '' AND p_ai IS NOT NULL").groupBy("topic").agg(F.count("*").alias("documents"), F.round(F.avg("p_ai"), 6).alias("mean"))
-    rows = rows.where(F.col("documents") >= least).withColumn("band", F.when(F.col("mean") >= 0.58, "LIKELY_AI").when(F.col("mean") <= 0.42, "LIKELY_HUMAN").otherwise("UNCERTAIN"))
+    rows = means.where(F.col("documents") >= least).withColumn("band", F.when(F.col("mean") >= 0.58, "LIKELY_AI").when(F.col("mean") <= 0.42, "LIKELY_HUMAN").otherwise("UNCERTAIN"))
     rows = rows.where(F.col("band") == band) if band else rows
     order = {"LIKELY_AI": F.desc("mean"), "LIKELY_HUMAN": F.asc("mean")}.get(band, F.desc("documents"))
     rows = rows.orderBy(order, ascii_lower(F.col("topic")))

@@ -10,9 +10,9 @@ from lexstrata.functions import html, topics, urls
 from lexstrata.functions import text as words
 from lexstrata.functions.embed import byte_entropy, centroids, cosine, hashed_embedding
 from lexstrata.functions.text import STOCK_PHRASES, ascii_lower, detectors, document_date, guess_topic, is_article_title, is_disambiguation, recency_signal, style_features, year_of_date
-from lexstrata.operators import catalog, graph, reports, score, views
+from lexstrata.operators import catalog, cube, graph, reports, score, views
 from lexstrata.sources import ingest
-from lexstrata.storage import kept
+from lexstrata.storage import kept, materialize
 
 STYLE = ("word_count", "type_token_ratio", "avg_sentence_length", "sentence_length_std", "burstiness", "punctuation_ratio", "repetition_score")
 
@@ -113,9 +113,14 @@ def era_scores_no_baseline(spark, sf):
     return rows.select("id", "dataset_id", *(F.round(c, 4).alias(c) for c in (*score.SIGNALS, "p_ai", "ci_low", "ci_high")), "band")
 
 
-def _view(spark, sf, keep=True, **scope):
-    shown = views.view(_analysed(spark, sf), datasets(spark), **scope).withColumn("scope", F.lit(0))
-    return score.era_scores(shown, "scope", keep_stored=keep)
+def _cube(spark, sf):
+    """The stored rows of views and the cells of their statistics, stored once a session and table."""
+    rows = kept(spark, "view_rows", f"{sf}/documents.parquet", lambda: cube.rows_of(_analysed(spark, sf)))
+    return rows, kept(spark, "cells", f"{sf}/documents.parquet", lambda: cube.cells(rows))
+
+
+def _view(spark, sf, **scope):
+    return cube.view(*_cube(spark, sf), datasets(spark), **scope)
 
 
 def _texts(spark, sf):
@@ -150,8 +155,8 @@ def summary_keeps_stored(spark, sf):
 
 
 def summary_comparison(spark, sf):
-    rows = _analysed(spark, sf)
-    return views.comparison(_view(spark, sf, dataset_id=3), rows.where("dataset_id = 1"), "USER_URLS")
+    other = cube.stored_summary(cube.scope(_cube(spark, sf)[1], datasets(spark), 1))
+    return views.comparison(_view(spark, sf, dataset_id=3), other, "USER_URLS")
 
 
 def breakdown_source(spark, sf):
@@ -171,8 +176,8 @@ def topics_list(spark, sf):
 
 
 def examples_by_band(spark, sf):
-    rows = _view(spark, sf)
-    parts = [_four(views.examples(rows, band, limit, 20)).withColumn("asked", F.lit(band)) for band, limit in (("", 6), ("LIKELY_AI", 2), ("LIKELY_HUMAN", 2), ("UNCERTAIN", 0))]
+    means = materialize(views.topic_means(_view(spark, sf)), "topic_means")
+    parts = [_four(views.examples(means, band, limit, 20)).withColumn("asked", F.lit(band)) for band, limit in (("", 6), ("LIKELY_AI", 2), ("LIKELY_HUMAN", 2), ("UNCERTAIN", 0))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
