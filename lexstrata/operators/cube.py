@@ -70,13 +70,20 @@ def _stored(docs: DataFrame) -> list[tuple[str, Column]]:
     return out
 
 
-def _merged(part: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """One row: n, mean and sample deviation (null for one value) of each of ``names`` over all cells, by means first."""
-    means = part.agg(*(x for m in names for x in (F.sum(f"{m}_n").alias(f"{m}_all"), F.try_divide(F.sum(F.col(f"{m}_n") * F.col(f"{m}_mean")), F.sum(f"{m}_n")).alias(f"{m}_centre"))))
-    spread = part.crossJoin(F.broadcast(means)).agg(
-        *(x for m in names for x in (F.first(f"{m}_all").alias(f"{m}_n"), F.first(f"{m}_centre").alias(f"{m}_mean"), F.sum(F.col(f"{m}_m2") + F.when(F.col(f"{m}_n") > 0, F.col(f"{m}_n") * (F.col(f"{m}_mean") - F.col(f"{m}_centre")) ** 2).otherwise(0.0)).alias(f"_{m}")))
-    )
-    return spread.select(*(x for m in names for x in (F.coalesce(f"{m}_n", F.lit(0)).alias(f"{m}_n"), f"{m}_mean", F.when(F.col(f"{m}_n") > 1, F.sqrt(F.col(f"_{m}") / (F.col(f"{m}_n") - 1))).alias(f"{m}_sd"))))
+#: Squared deviations are merged around this value, which is near the means of all measures.
+NEAR = 0.5
+
+
+def _merged(names: tuple[str, ...]) -> list[Column]:
+    """Aggregates over cells: n, mean and sample deviation (null for one value) of each of ``names``."""
+    out = []
+    for m in names:
+        n, mean, m2 = F.col(f"{m}_n"), F.col(f"{m}_mean"), F.col(f"{m}_m2")
+        total = F.coalesce(F.sum(n), F.lit(0))
+        middle = F.try_divide(F.sum(n * (mean - NEAR)), total)
+        spread = F.sum(m2 + F.when(n > 0, n * (mean - NEAR) ** 2).otherwise(0.0)) - total * middle**2
+        out += [total.alias(f"{m}_n"), (middle + NEAR).alias(f"{m}_mean"), F.when(total > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / F.greatest(total - 1, F.lit(1)))).alias(f"{m}_sd")]
+    return out
 
 
 @dataclass(frozen=True)
@@ -88,11 +95,10 @@ class Baseline:
 
 
 def baseline(part: DataFrame) -> Baseline:
-    """The baseline of merged cells: one row comes to the driver."""
+    """The baseline of merged cells: one row, and a row for each place of a vector, come to the driver."""
     places = part.where("vectors > 0").select(F.posexplode("vector_sum").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    vector = places.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
-    row = _merged(part, BASE).crossJoin(F.broadcast(vector)).first().asDict()
-    total = row.pop("c")
+    row, vector = part.agg(*_merged(BASE)).first().asDict(), {r.i: r.x for r in places.collect()}
+    total = [vector[i] for i in range(len(vector))]
     length = sum(x * x for x in total) ** 0.5
     return Baseline([x / length if length else 0.0 for x in total] if total else None, row)
 
@@ -130,7 +136,7 @@ def scored_view(rows: DataFrame, base: Baseline) -> DataFrame:
     """
     if base.centroid is None:
         return score.forced_human(rows).withColumn("have_pre", F.lit(False)).drop("embedding")
-    centre = F.array(*map(F.lit, base.centroid))
+    centre = F.expr(f"array({', '.join(f'{x!r}D' for x in base.centroid)})")
     known = F.coalesce(F.size("embedding") > 0, F.lit(False))
     far = F.when(known, F.round(1 - cosine(F.col("embedding"), centre), 9)).otherwise(0.5)
     whole = lambda c: F.round(F.col(c) * 1e9).cast("long")
@@ -161,9 +167,9 @@ def view(rows: DataFrame, cube: DataFrame, datasets: DataFrame, dataset_id: int
 
 def stored_summary(part: DataFrame, metric: str = "documents") -> DataFrame:
     """As ``views.summary`` of stored scores, from cells alone."""
-    total = part.agg(
+    one = part.agg(
         F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.sum("words").alias("_w"), F.sum("p_words").alias("_pw"), *(F.coalesce(F.sum(b), F.lit(0)).alias(b.lower()) for b in ("LIKELY_AI", "UNCERTAIN", "LIKELY_HUMAN")),
         *(F.coalesce(views.third(F.try_divide(F.sum(f"sum_{name}"), F.sum(f"count_{name}"))), F.lit(0.0)).alias(f"mean_{name}") for name, _ in views.SIGNAL_MEANS if f"sum_{name}" in part.columns),
+        *_merged(("p",)),
     )
-    one = total.crossJoin(F.broadcast(_merged(part, ("p",))))
     return views.summary_of(one.withColumnsRenamed({"p_n": "scored", "p_mean": "_mean", "p_sd": "_sd"}), metric)

@@ -75,8 +75,8 @@ def forced_human(docs: DataFrame) -> DataFrame:
     """``docs`` with the fixed low score of earlier-dated documents in rows of ``pre``."""
     pre, human = F.col("pre"), clip01(0.025 + 0.04 * clip01(F.coalesce("detector_stylometry", F.lit(0.0))))
     docs = docs.withColumn("p_ai", F.when(pre, human).otherwise(F.col("p_ai")))
-    docs = docs.withColumn("ci_low", F.when(pre, clip01(F.col("p_ai") - 0.03)).otherwise(F.col("ci_low"))).withColumn("ci_high", F.when(pre, clip01(F.col("p_ai") + 0.08)).otherwise(F.col("ci_high")))
-    return docs.withColumn("band", F.when(pre, "LIKELY_HUMAN").otherwise(F.col("band")))
+    forced = {"ci_low": clip01(F.col("p_ai") - 0.03), "ci_high": clip01(F.col("p_ai") + 0.08), "band": F.lit("LIKELY_HUMAN")}
+    return docs.withColumns({c: F.when(pre, x).otherwise(F.col(c)) for c, x in forced.items()})
 
 
 def _scopes(docs: DataFrame, by: str, folder: str) -> DataFrame:
@@ -103,14 +103,10 @@ def with_raw(docs: DataFrame) -> DataFrame:
     have = F.col("have_pre")
     far = F.when(have, _excess("distance")).otherwise(clip01(1.4 * F.col("distance")))
     pick = lambda v: F.when(have, _excess(v)).otherwise(clip01(F.col(v)))
-    docs = (
-        docs.fillna(0.0, [v for v in MEASURED if v != "distance"])
-        .withColumn("anomaly", clip01(0.45 * far + 0.55 * F.col("anomaly_rank")))
-        .withColumn("stylometry", pick("detector_stylometry")).withColumn("stock", pick("stock_phrases"))
-        .withColumn("ngram", pick("detector_repetition")).withColumn("uniformity", pick("detector_uniformity"))
-        .withColumn("deviation", clip01((F.abs(_z("type_token_ratio")) + F.abs(_z("burstiness"))) / 6))
-        .withColumn("recency", F.when(F.col("pre"), 0.0).otherwise(recency_signal(F.col("date"))))
-    )
+    docs = docs.fillna(0.0, [v for v in MEASURED if v != "distance"]).withColumns({
+        "anomaly": clip01(0.45 * far + 0.55 * F.col("anomaly_rank")), "stylometry": pick("detector_stylometry"), "stock": pick("stock_phrases"), "ngram": pick("detector_repetition"),
+        "uniformity": pick("detector_uniformity"), "deviation": clip01((F.abs(_z("type_token_ratio")) + F.abs(_z("burstiness"))) / 6), "recency": F.when(F.col("pre"), 0.0).otherwise(recency_signal(F.col("date"))),
+    })
     signal = lambda c, default: F.when(F.isnan(c), default).otherwise(F.col(c))
     z = (
         0.58 + 0.70 * (signal("stylometry", 0.5) - 0.5) + 1.10 * (signal("stock", 0.5) - 0.5) + 0.85 * (signal("uniformity", 0.5) - 0.5) + 0.28 * (signal("ngram", 0.5) - 0.5)
@@ -119,16 +115,15 @@ def with_raw(docs: DataFrame) -> DataFrame:
     core = [signal(c, d) for c, d in (("stylometry", 0.5), ("uniformity", 0.5), ("recency", 0.45))]
     mean = (core[0] + core[1] + core[2]) / 3
     half = F.least(F.lit(0.22), 0.06 + 0.45 * F.sqrt(((core[0] - mean) ** 2 + (core[1] - mean) ** 2 + (core[2] - mean) ** 2) / 3))
-    docs = docs.withColumn("raw_p", F.round(1 / (1 + F.exp(-z)), 9)).withColumn("_half", half)
-    docs = docs.withColumn("_raw_width", clip01(F.col("raw_p") + F.col("_half")) - clip01(F.col("raw_p") - F.col("_half")))
-    return docs
+    docs = docs.withColumns({"raw_p": F.round(1 / (1 + F.exp(-z)), 9), "_half": half})
+    return docs.withColumn("_raw_width", clip01(F.col("raw_p") + F.col("_half")) - clip01(F.col("raw_p") - F.col("_half")))
 
 
 def with_bands(docs: DataFrame) -> DataFrame:
     """p_ai, ci_low, ci_high and band from raw_p and its rank, earlier-dated documents forced low; without what was needed for them."""
     mixed = clip01((1 - RANK_MIX) * F.col("raw_p") + RANK_MIX * F.col("_rank"))
     wide = F.greatest(F.lit(0.05), F.col("_raw_width") / 2)
-    docs = docs.withColumn("p_ai", mixed).withColumn("ci_low", clip01(F.col("p_ai") - wide)).withColumn("ci_high", clip01(F.col("p_ai") + wide))
+    docs = docs.withColumn("p_ai", mixed).withColumns({"ci_low": clip01(F.col("p_ai") - wide), "ci_high": clip01(F.col("p_ai") + wide)})
     docs = forced_human(docs.withColumn("band", band_of(F.col("p_ai"), F.col("ci_high") - F.col("ci_low"))))
     return docs.drop("_half", "_raw_width", "_rank", *(f"{v}_{k}" for v in MEASURED for k in ("mean", "sd", "n")))
 
