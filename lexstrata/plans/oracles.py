@@ -200,7 +200,6 @@ ORACLES = {
     "run_progress": "SELECT event_type AS task_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, round(sum(value), 2) AS ms FROM events GROUP BY 1",
 }
 
-#: Undirected pruning is sequential, so graph_pruned has no SQL; a test holds it to a plain loop.
 _HOP = "SELECT id, i, sum(x) / (1 + any_value(n)) AS x FROM (SELECT id, i, x FROM {0} UNION ALL SELECT s, i, x FROM pairs2 JOIN {0} ON {0}.id = d) q JOIN deg USING (id) GROUP BY id, i"
 _ENDS = "[('', false), ('/a.PDF', true), ('/a.pdfx', false), ('/a.json?x=1', true), ('/b.tar.gz', true), ('/c.js/d', true)]"
 _SIDE = "SELECT year, count(*) AS n, round(avg(x) FILTER (id % 2 = 0), 6) AS m FROM z WHERE id % 3 {} 0 GROUP BY year"
@@ -394,3 +393,15 @@ ORACLES |= {
     "means_status": "SELECT * FROM (VALUES (1, 'EMBEDDED', 'means'), (2, 'EMBEDDED', 'means'), (3, 'NOT_TRAINED', 'means'), (4, 'NOT_TRAINED', 'means'), (1, 'VALIDATION_FAILED', 'training'), (2, 'VALIDATION_FAILED', 'training'), (3, 'VALIDATION_FAILED', 'training'), (4, 'VALIDATION_FAILED', 'training')) t(dataset_id, status, asked)",
     "edges_replace": f"{_STORE} SELECT dataset_id, 'embedding' AS reason, count(*) AS n, CAST(sum(dst) AS BIGINT) AS ends FROM e WHERE dataset_id <> 2 GROUP BY 1 UNION ALL SELECT 2, 'embedding+topic', count(*), CAST(sum(id + 10) AS BIGINT) FROM corpus0 WHERE dataset_id = 2",
 }
+
+#: Edges one by one, best first; the state is a list of the nodes' degrees.
+ORACLES["graph_pruned"] = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, un AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(cosine) AS c FROM edges GROUP BY 1, 2),
+og AS (SELECT a, b, c, row_number() OVER (ORDER BY c DESC, a, b) AS r FROM un WHERE c >= 0.45 OR (SELECT count(*) FROM embeddings) <= 12),
+lim AS (SELECT CASE WHEN count(*) > 20 THEN 2 ELSE 3 END AS cap, max(vec_id) AS m FROM embeddings),
+g AS (SELECT 0::BIGINT AS r, list_transform(range(0, m + 1), lambda x: 0) AS deg, false AS ok FROM lim
+  UNION ALL SELECT og.r, CASE WHEN deg[a + 1] < cap AND deg[b + 1] < cap THEN list_transform(deg, lambda x, i: x + CASE WHEN i IN (a + 1, b + 1) THEN 1 ELSE 0 END) ELSE deg END, deg[a + 1] < cap AND deg[b + 1] < cap
+  FROM g JOIN og ON og.r = g.r + 1, lim)
+SELECT a, b, round(c, 5) AS cosine FROM g JOIN og USING (r) WHERE ok"""
+ORACLES["graph_increments"] = """WITH v AS (SELECT vec_id AS id, embedding, CASE WHEN vec_id % 50 = 7 THEN 0 ELSE label END AS t FROM embeddings WHERE vec_id % 10 <> 9),
+p AS (SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c, a.t = b.t AS st FROM v a JOIN v b ON a.id <> b.id)
+SELECT src, dst, round(c, 5) AS cosine, st AS same_topic FROM p WHERE c >= 0.32 OR st QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(c + 0.08 * CAST(st AS INT), 9) DESC, dst) <= 8"""

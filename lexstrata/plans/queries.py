@@ -558,6 +558,18 @@ def graph_pruned(spark, sf):
     return graph.prune_edges(_edges(spark, sf), nodes).select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
+def graph_increments(spark, sf):
+    """Edges after three increments of vectors, with deletions and a changed topic, each from the edges before."""
+    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("t"), "label").alias("topic"))
+    late = v.withColumn("topic", F.when(F.col("id") % 50 == 7, F.lit("t0")).otherwise(F.col("topic")))
+    rows = v.where("id % 4 = 0")
+    edges = materialize(graph.knn_edges(rows, exact=True), "edges_0")
+    steps = ((v.where("id % 4 < 2"), "id % 4 = 1", "false"), (v.where("id % 4 < 3 AND id % 10 <> 9"), "id % 4 = 2 AND id % 10 <> 9", "id % 10 = 9"), (late.where("id % 10 <> 9"), "id % 10 <> 9 AND (id % 4 = 3 OR id % 50 = 7)", "id % 50 = 7"))
+    for n, (now, new, gone) in enumerate(steps, 1):
+        edges = materialize(graph.update_edges(edges, now, v.where(new).select("id"), v.where(gone).select("id"), exact=True), f"edges_{n}")
+    return edges.select("src", "dst", F.round("cosine", 5).alias("cosine"), "same_topic")
+
+
 def graph_orphans(spark, sf):
     left = _t(spark, sf, "embeddings").where("label <> 3").select(F.col("vec_id").alias("id"))
     return graph.orphan_free(_edges(spark, sf), left).select("src", "dst")
@@ -677,7 +689,7 @@ QUERIES = {
         era_cohort_traits, era_articles, url_normalize, url_dedup, url_odd_cases, url_resolve, url_coding, encyclopedia_urls, news_titles, html_extract, html_links, crawl_frontier, topic_rules,
         topic_normalize, text_helpers, signals_text, date_forms, jsonl_ingest, news_ingest, news_countries, news_documents, catalog_delete_cascade, catalog_edge_cascade, catalog_clear, catalog_lookups,
         catalog_counts, stored_topics, short_doc_delete, topic_updates, created_backfill, catalog_merge, revision_backfill, run_progress, run_snapshot, runs_interrupted, runs_latest, task_dependencies,
-        topics_distinct, titles_distinct, extract_longest, topic_caps, topic_years, graph_two_hop, graph_pruned, graph_orphans, graph_nodes, strongest_detector, field_share_max, year_rows,
+        topics_distinct, titles_distinct, extract_longest, topic_caps, topic_years, graph_two_hop, graph_pruned, graph_increments, graph_orphans, graph_nodes, strongest_detector, field_share_max, year_rows,
         created_collapsed, document_cards, article_extracts, revision_dates, url_skippable, title_filters, page_lines, summary_json, features_pending, means_status, edges_replace,
     )
 }
