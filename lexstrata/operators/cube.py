@@ -34,7 +34,7 @@ def rows_of(analysed: DataFrame) -> DataFrame:
     return rows.repartitionByRange("dataset_id", "topic", "id").sortWithinPartitions("dataset_id", "topic")
 
 
-def _moments(value: Column, name: str) -> list[Column]:
+def mergeable(value: Column, name: str) -> list[Column]:
     """count, mean and squared deviations, as mergeable columns."""
     n = F.count(value)
     return [n.alias(f"{name}_n"), F.avg(value).alias(f"{name}_mean"), F.when(n > 1, F.var_pop(value) * n).otherwise(0.0).alias(f"{name}_m2")]
@@ -49,17 +49,22 @@ def cells(rows: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(n) for n, c in _stored(docs)]
     counts = docs.groupBy(*KEYS).agg(
         F.count("*").alias("documents"), F.sum(F.when(known, F.col("word_count"))).alias("words"), *(F.count_if(F.col("band") == b).alias(b) for b in ("LIKELY_AI", "UNCERTAIN", "LIKELY_HUMAN")),
-        *(x for m in BASE for x in _moments(F.when(pre, F.coalesce(m, F.lit(0.0))), m)), *_moments(F.col("p_ai"), "p"), *sums,
+        *(x for m in BASE for x in mergeable(F.when(pre, F.coalesce(m, F.lit(0.0))), m)), *mergeable(F.col("p_ai"), "p"), *sums,
     )
-    places = docs.where(pre & (F.size("embedding") > 0)).select(*KEYS, F.posexplode("embedding").alias("_i", "_x"))
-    places = places.groupBy(*KEYS, "_i").agg(F.sum(F.col("_x").cast("double")).alias("_s"), F.count("*").alias("_n"))
-    vectors = places.groupBy(*KEYS).agg(F.max("_n").alias("vectors"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda s: s["_s"]).alias("vector_sum"))
+    vectors = vector_sums(docs.where(pre), KEYS)
     same = None
     for k in KEYS:
         same = counts[k].eqNullSafe(vectors[k]) if same is None else same & counts[k].eqNullSafe(vectors[k])
     return counts.join(vectors, same, "left").select(counts["*"], F.coalesce("vectors", F.lit(0)).alias("vectors"), "vector_sum")
 
 
+def vector_sums(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, vectors, vector_sum of the rows with a vector, by partial sums of places."""
+    places = docs.where(F.size("embedding") > 0).select(*keys, F.posexplode("embedding").alias("_i", "_x"))
+    places = places.groupBy(*keys, "_i").agg(F.sum(F.col("_x").cast("double")).alias("_s"), F.count("*").alias("_n"))
+    return places.groupBy(*keys).agg(F.max("_n").alias("vectors"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda s: s["_s"]).alias("vector_sum"))
+
+
 def _stored(docs: DataFrame) -> list[tuple[str, Column]]:
     """Sums of stored scores: p times words, and each signal with its number of values."""
     value = lambda c: views.third(F.col(c)) if c in ("stock", "recency") else F.col(c)
@@ -74,7 +79,7 @@ def _stored(docs: DataFrame) -> list[tuple[str, Column]]:
 NEAR = 0.5
 
 
-def _merged(names: tuple[str, ...]) -> list[Column]:
+def merged(names: tuple[str, ...]) -> list[Column]:
     """Aggregates over cells: n, mean and sample deviation (null for one value) of each of ``names``."""
     out = []
     for m in names:
@@ -97,7 +102,7 @@ class Baseline:
 def baseline(part: DataFrame) -> Baseline:
     """The baseline of merged cells: one row, and a row for each place of a vector, come to the driver."""
     places = part.where("vectors > 0").select(F.posexplode("vector_sum").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    row, vector = part.agg(*_merged(BASE)).first().asDict(), {r.i: r.x for r in places.collect()}
+    row, vector = part.agg(*merged(BASE)).first().asDict(), {r.i: r.x for r in places.collect()}
     total = [vector[i] for i in range(len(vector))]
     length = sum(x * x for x in total) ** 0.5
     return Baseline([x / length if length else 0.0 for x in total] if total else None, row)
@@ -170,6 +175,6 @@ def stored_summary(part: DataFrame, metric: str = "documents") -> DataFrame:
     one = part.agg(
         F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.sum("words").alias("_w"), F.sum("p_words").alias("_pw"), *(F.coalesce(F.sum(b), F.lit(0)).alias(b.lower()) for b in ("LIKELY_AI", "UNCERTAIN", "LIKELY_HUMAN")),
         *(F.coalesce(views.third(F.try_divide(F.sum(f"sum_{name}"), F.sum(f"count_{name}"))), F.lit(0.0)).alias(f"mean_{name}") for name, _ in views.SIGNAL_MEANS if f"sum_{name}" in part.columns),
-        *_merged(("p",)),
+        *merged(("p",)),
     )
     return views.summary_of(one.withColumnsRenamed({"p_n": "scored", "p_mean": "_mean", "p_sd": "_sd"}), metric)

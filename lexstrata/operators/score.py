@@ -128,6 +128,27 @@ def with_bands(docs: DataFrame) -> DataFrame:
     return docs.drop("_half", "_raw_width", "_rank", *(f"{v}_{k}" for v in MEASURED for k in ("mean", "sd", "n")))
 
 
+def distanced(docs: DataFrame) -> DataFrame:
+    """Rows with ``centroid`` get distance (9 places, 0.5 without a vector) and vector (whether there is one) instead of it and the embedding."""
+    known = (F.size("embedding") > 0) & F.col("centroid").isNotNull()
+    far = F.when(known, F.round(1 - cosine(F.col("embedding"), F.col("centroid")), 9)).otherwise(0.5)
+    return docs.withColumns({"distance": far, "vector": F.coalesce(known, F.lit(False))}).drop("embedding", "centroid")
+
+
+def moments(docs: DataFrame, by: str, names: tuple[str, ...] = MEASURED) -> DataFrame:
+    """by, and mean, sd and n of each of ``names`` over the scope's baseline (all of its rows, if it has none)."""
+    counted = F.col("pre") | ~F.col("have_pre")
+    base = lambda v: F.when(counted & (F.col("vector") if v == "distance" else F.lit(True)), F.coalesce(v, F.lit(0.0)))
+    return docs.groupBy(by).agg(*(x for v in names for x in (F.avg(base(v)).alias(f"{v}_mean"), F.stddev_samp(base(v)).alias(f"{v}_sd"), F.count(base(v)).alias(f"{v}_n"))))
+
+
+def calibrated(docs: DataFrame, by: str, folder: str, stats: DataFrame | None = None) -> DataFrame:
+    """``distanced`` rows (stored, with pre and have_pre) with signals, p_ai, ci_low, ci_high and band; ``stats`` are the scopes' moments, if known."""
+    stats = materialize(moments(docs, by) if stats is None else stats, "stats", folder)
+    docs = fractional_rank(docs.join(stats, by), [by], "distance", "anomaly_rank", folder)
+    return with_bands(fractional_rank(with_raw(docs), [by, "pre"], "raw_p", "_rank", folder))
+
+
 def era_scores(docs: DataFrame, by: str = "dataset_id", keep_stored: bool = False) -> DataFrame:
     """``featured`` documents (texts aren't needed) with signals, p_ai, ci_low, ci_high and band, calibrated within each ``by``.
 
@@ -146,13 +167,6 @@ def era_scores(docs: DataFrame, by: str = "dataset_id", keep_stored: bool = Fals
         docs = docs.join(scopes.where("have_pre").select(by), by, "left_semi")
     docs = docs.drop(*STORED)
     docs = docs.join(_centres(docs, scopes, by, folder), by, "left").join(scopes.select(by, "have_pre"), by)
-    known = (F.size("embedding") > 0) & F.col("centroid").isNotNull()
-    docs = docs.withColumn("distance", F.when(known, F.round(1 - cosine(F.col("embedding"), F.col("centroid")), 9)).otherwise(0.5)).withColumn("vector", F.coalesce(known, F.lit(False)))
-    docs = materialize(docs.drop("embedding", "centroid"), "distances", folder)
-    counted = F.col("pre") | ~F.col("have_pre")
-    base = lambda v: F.when(counted & (F.col("vector") if v == "distance" else F.lit(True)), F.coalesce(v, F.lit(0.0)))
-    stats = docs.groupBy(by).agg(*(x for v in MEASURED for x in (F.avg(base(v)).alias(f"{v}_mean"), F.stddev_samp(base(v)).alias(f"{v}_sd"), F.count(base(v)).alias(f"{v}_n"))))
-    docs = fractional_rank(docs.join(materialize(stats, "stats", folder), by), [by], "distance", "anomaly_rank", folder)
-    docs = fractional_rank(with_raw(docs), [by, "pre"], "raw_p", "_rank", folder)
-    docs = with_bands(docs)
+    docs = materialize(distanced(docs), "distances", folder)
+    docs = calibrated(docs, by, folder)
     return docs if kept is None else docs.unionByName(kept, allowMissingColumns=True)

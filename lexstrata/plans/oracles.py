@@ -405,3 +405,4 @@ SELECT a, b, round(c, 5) AS cosine FROM g JOIN og USING (r) WHERE ok"""
 ORACLES["graph_increments"] = """WITH v AS (SELECT vec_id AS id, embedding, CASE WHEN vec_id % 50 = 7 THEN 0 ELSE label END AS t FROM embeddings WHERE vec_id % 10 <> 9),
 p AS (SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c, a.t = b.t AS st FROM v a JOIN v b ON a.id <> b.id)
 SELECT src, dst, round(c, 5) AS cosine, st AS same_topic FROM p WHERE c >= 0.32 OR st QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(c + 0.08 * CAST(st AS INT), 9) DESC, dst) <= 8"""
+ORACLES["stream_scores"] = ORACLES["era_scores"]

@@ -12,7 +12,8 @@ from lexstrata.functions.embed import byte_entropy, centroids, cosine, hashed_em
 from lexstrata.functions.text import STOCK_PHRASES, ascii_lower, detectors, document_date, guess_topic, is_article_title, is_disambiguation, recency_signal, style_features, year_of_date
 from lexstrata.operators import catalog, cube, graph, reports, score, views
 from lexstrata.sources import ingest
-from lexstrata.storage import kept, materialize
+from lexstrata.storage import kept, materialize, shared_dir
+from lexstrata.streaming import calibration
 
 STYLE = ("word_count", "type_token_ratio", "avg_sentence_length", "sentence_length_std", "burstiness", "punctuation_ratio", "repetition_score")
 
@@ -108,6 +109,18 @@ def era_scores(spark, sf):
     return _analysed(spark, sf).select("id", "dataset_id", *(F.round(c, 4).alias(c) for c in (*score.SIGNALS, "p_ai", "ci_low", "ci_high")), "band")
 
 
+def stream_scores(spark, sf):
+    """The stored scores of the corpus after it came as a stream of three files: earlier-dated documents first, then the rest in halves."""
+    folder, docs = shared_dir(spark), corpus(spark, sf)
+    dated = docs.withColumn("late", F.when(year_of_date(document_date()).between(1, 2018), 0).otherwise(1 + F.col("id") % 2))
+    for k in range(3):
+        dated.where(F.col("late") == k).drop("late").coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+    calibration.calibrate_stream(stream, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    rows = calibration.scores(spark, f"{folder}/store")
+    return rows.select("id", "dataset_id", *(F.round(c, 4).alias(c) for c in (*score.SIGNALS, "p_ai", "ci_low", "ci_high")), "band")
+
+
 def era_scores_no_baseline(spark, sf):
     rows = score.era_scores(_features(spark, sf).where("year >= 2019 OR year = 0"))
     return rows.select("id", "dataset_id", *(F.round(c, 4).alias(c) for c in (*score.SIGNALS, "p_ai", "ci_low", "ci_high")), "band")
@@ -684,7 +697,7 @@ QUERIES = {
     for f in (
         summary_documents, summary_words, summary_topic_view, summary_id_view, summary_keeps_stored, summary_comparison, doc_style, doc_entropy, doc_detectors, doc_topic_guess, doc_dates,
         doc_hashed_embedding, stock_phrase_df, vec_centroid_by_label, vec_anomaly, knn_edges_vec, knn_edges_docs, doc_neighbours, graph_visible_edges, graph_undirected, graph_mean_aggregate,
-        graph_node_means, graph_sample, graph_groups, era_scores, era_scores_no_baseline, breakdown_source, breakdown_topic, breakdown_time, topics_list, examples_by_band, group_fold, ai_common,
+        graph_node_means, graph_sample, graph_groups, era_scores, stream_scores, era_scores_no_baseline, breakdown_source, breakdown_topic, breakdown_time, topics_list, examples_by_band, group_fold, ai_common,
         strongest_signal, evidence_ranked, excerpts, era_sample, year_rise, era_compare_sept, subject_mix, corpus_lines, calculations, year_span_mode, year_ranges, breakdown_merge, era_cohort_pools,
         era_cohort_traits, era_articles, url_normalize, url_dedup, url_odd_cases, url_resolve, url_coding, encyclopedia_urls, news_titles, html_extract, html_links, crawl_frontier, topic_rules,
         topic_normalize, text_helpers, signals_text, date_forms, jsonl_ingest, news_ingest, news_countries, news_documents, catalog_delete_cascade, catalog_edge_cascade, catalog_clear, catalog_lookups,
