@@ -406,3 +406,11 @@ ORACLES["graph_increments"] = """WITH v AS (SELECT vec_id AS id, embedding, CASE
 p AS (SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c, a.t = b.t AS st FROM v a JOIN v b ON a.id <> b.id)
 SELECT src, dst, round(c, 5) AS cosine, st AS same_topic FROM p WHERE c >= 0.32 OR st QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(c + 0.08 * CAST(st AS INT), 9) DESC, dst) <= 8"""
 ORACLES["stream_scores"] = ORACLES["era_scores"]
+
+_BARE = r"regexp_replace({}, '^https?://(www\.)?', '')"
+_LINKS = ORACLES["html_links"].rpartition(" SELECT page_id, CAST(row_number()")[0]
+ORACLES["links_seen"] = f"""{_LINKS}, k AS (SELECT {_BARE.format("link")} AS key, link, page_id, page_id % 3 AS increment, i FROM f)
+SELECT key, link, page_id, CAST(increment AS INT) AS increment FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY increment, page_id, i) = 1"""
+ORACLES["crawl_frontier"] = f"""{_LINKS.replace("WITH ", "WITH RECURSIVE ", 1)}, e AS (SELECT {_BARE.format("normal")} AS a, {_BARE.format("link")} AS b FROM f JOIN nw USING (page_id)),
+r AS (SELECT {_BARE.format("normal")} AS page, 0 AS depth FROM nw WHERE page_id % 25 = 0 UNION SELECT b, depth + 1 FROM r JOIN e ON a = page WHERE depth < 2)
+SELECT page, CAST(min(depth) AS INT) AS depth FROM r GROUP BY page"""

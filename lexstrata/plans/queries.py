@@ -10,7 +10,7 @@ from lexstrata.functions import html, topics, urls
 from lexstrata.functions import text as words
 from lexstrata.functions.embed import byte_entropy, centroids, cosine, hashed_embedding
 from lexstrata.functions.text import STOCK_PHRASES, ascii_lower, detectors, document_date, guess_topic, is_article_title, is_disambiguation, recency_signal, style_features, year_of_date
-from lexstrata.operators import catalog, cube, graph, reports, score, views
+from lexstrata.operators import catalog, cube, graph, reports, score, seen, views
 from lexstrata.sources import ingest
 from lexstrata.storage import kept, materialize, shared_dir
 from lexstrata.streaming import calibration
@@ -344,8 +344,7 @@ def html_extract(spark, sf):
 
 
 def html_links(spark, sf):
-    p = _t(spark, sf, "pages").select("page_id", "url", html.parse_html(F.col("html"))["hrefs"].alias("hrefs"))
-    return p.select("page_id", F.posexplode(html.same_host_links(F.col("url"), F.col("hrefs"))).alias("place", "link"))
+    return _page_links(spark, sf).select("page_id", "place", "link")
 
 
 def topic_rules(spark, sf):
@@ -417,10 +416,27 @@ def url_dedup(spark, sf):
     return variants.groupBy(urls.dedup_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
 
 
+def _page_links(spark, sf):
+    """(page_id, place, link) of the links to pages of the same host."""
+    p = _t(spark, sf, "pages").select("page_id", "url", html.parse_html(F.col("html"))["hrefs"].alias("hrefs"))
+    return p.select("page_id", "url", F.posexplode(html.same_host_links(F.col("url"), F.col("hrefs"))).alias("place", "link"))
+
+
+def links_seen(spark, sf):
+    """The addresses that pages' links lead to, each once, as three increments of pages found them."""
+    store, found = shared_dir(spark), None
+    rows = materialize(_page_links(spark, sf).select(urls.dedup_key(F.col("link")).alias("key"), "link", "page_id", "place"), "links")
+    for k in range(3):
+        new = seen.add(rows.where(F.col("page_id") % 3 == k), k, store, ("page_id", "place")).withColumn("increment", F.lit(k))
+        found = new if found is None else found.unionByName(new)
+    return found.select("key", "link", "page_id", "increment")
+
+
 def crawl_frontier(spark, sf):
-    p = _t(spark, sf, "pages").select("page_id")
-    links = p.select(F.col("page_id").alias("from_page"), F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("to_page")).join(p.withColumnRenamed("page_id", "to_page"), "to_page", "left_semi")
-    return graph.reachable(links, p.where("page_id = 0").select(F.col("page_id").alias("page")), 4)
+    """Addresses within two steps of some pages, by the pages' own links."""
+    links = _page_links(spark, sf).select(urls.dedup_key(F.col("url")).alias("from_page"), urls.dedup_key(F.col("link")).alias("to_page"))
+    seeds = _t(spark, sf, "pages").where("page_id % 25 = 0").select(urls.dedup_key(F.col("url")).alias("page"))
+    return graph.reachable(links, seeds, 2)
 
 
 def jsonl_ingest(spark, sf):
@@ -699,7 +715,7 @@ QUERIES = {
         doc_hashed_embedding, stock_phrase_df, vec_centroid_by_label, vec_anomaly, knn_edges_vec, knn_edges_docs, doc_neighbours, graph_visible_edges, graph_undirected, graph_mean_aggregate,
         graph_node_means, graph_sample, graph_groups, era_scores, stream_scores, era_scores_no_baseline, breakdown_source, breakdown_topic, breakdown_time, topics_list, examples_by_band, group_fold, ai_common,
         strongest_signal, evidence_ranked, excerpts, era_sample, year_rise, era_compare_sept, subject_mix, corpus_lines, calculations, year_span_mode, year_ranges, breakdown_merge, era_cohort_pools,
-        era_cohort_traits, era_articles, url_normalize, url_dedup, url_odd_cases, url_resolve, url_coding, encyclopedia_urls, news_titles, html_extract, html_links, crawl_frontier, topic_rules,
+        era_cohort_traits, era_articles, url_normalize, url_dedup, url_odd_cases, url_resolve, url_coding, encyclopedia_urls, news_titles, html_extract, html_links, links_seen, crawl_frontier, topic_rules,
         topic_normalize, text_helpers, signals_text, date_forms, jsonl_ingest, news_ingest, news_countries, news_documents, catalog_delete_cascade, catalog_edge_cascade, catalog_clear, catalog_lookups,
         catalog_counts, stored_topics, short_doc_delete, topic_updates, created_backfill, catalog_merge, revision_backfill, run_progress, run_snapshot, runs_interrupted, runs_latest, task_dependencies,
         topics_distinct, titles_distinct, extract_longest, topic_caps, topic_years, graph_two_hop, graph_pruned, graph_increments, graph_orphans, graph_nodes, strongest_detector, field_share_max, year_rows,
