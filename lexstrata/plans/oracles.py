@@ -159,7 +159,7 @@ GUESS = "CASE " + " ".join("WHEN " + " OR ".join(hit(m) for m in marks) + f" THE
 NORMAL = r"""nu AS (SELECT page_id, url, lower(regexp_extract(url, '^([^:/]*)://', 1)) AS sch, regexp_replace(url, '^[^:/]*://', '') AS rest FROM {src}),
 nv AS (SELECT *, lower(regexp_extract(rest, '^([^/?:]*)', 1)) AS host, regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+', '/', 'g') AS path, regexp_extract(rest, '\?(.*)$', 1) AS qs FROM nu),
 nw AS (SELECT *, sch || '://' || host || CASE WHEN path IN ('', '/') THEN '/' ELSE rtrim(path, '/') END || CASE WHEN qs = '' THEN '' ELSE '?' || qs END AS normal FROM nv)"""
-SUBJECT = "CASE " + " ".join(f"WHEN regexp_matches(lower(title || ' ' || substr(text, greatest(length(text) - 39, 1), 40)), '{p}') THEN '{n}'" for n, p in SUBJECTS) + " ELSE '' END"
+SUBJECT = "CASE " + " ".join(f"WHEN regexp_matches(lower(title || ' ' || subtopic), '{p}') THEN '{n}'" for n, p in SUBJECTS) + " ELSE '' END"
 WIKI = scored("dataset_id", f"SELECT * EXCLUDE (topic), {CANONICAL} AS topic FROM corpus0 WHERE dataset_id = 1")
 POOLS = "pools AS (SELECT topic, count(*) AS documents, count(*) FILTER (year > 0) AS dated, count(*) FILTER (year > 0 AND year < 2019) AS before_pool, count(*) FILTER (year >= 2019) AS after_pool FROM {src} WHERE topic <> '' GROUP BY topic HAVING count(*) >= 100)"
 COHORT = f"""{WIKI}, {POOLS.format(src="scored")},
@@ -341,14 +341,14 @@ SELECT (SELECT count(*) FROM corpus0) AS corpus, documents, likely_ai + likely_h
     "document_cards": f"{STORED} SELECT id, title, CAST(NULL AS VARCHAR) AS url, source, topic, nullif(subtopic, '') AS subtopic, nullif(published_at, '') AS published_at, nullif(created_at, '') AS created_at, CAST(word_count AS INT) AS word_count, {third('p_ai')} AS p_ai, {third('ci_low')} AS ci_low, {third('ci_high')} AS ci_high, band, round(detector_stylometry, 4) AS stylometry, {third('stock')} AS stock_phrase, round(detector_uniformity, 4) AS sentence_uniformity, round(detector_repetition, 4) AS ngram_repetition, round(anomaly, 4) AS embedding_anomaly, round(deviation, 4) AS stylometry_deviation, {third('recency')} AS post_chatgpt, substr(text, 1, 320) AS excerpt FROM scored",
     "url_odd_cases": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {n}, {h}, {str(pub).lower()}, {pa}, {co}, {ar})" for i, (n, h, pub, pa, co, ar) in enumerate(_ODD)) + ") t(k, normal, host, public, path, comparable, article)",
     "url_resolve": f"WITH {_HOSTED} " + " UNION ALL ".join(f"SELECT page_id, '{h}' AS href, {_TO.get(h, 'CAST(NULL AS VARCHAR)')} AS resolved FROM pd" for h in _HREFS),
-    "url_coding": "SELECT doc_id, replace(replace(url_encode(t), '%20', '+'), '%7C', '|') AS encoded, t AS decoded FROM (SELECT doc_id, substr(text, 1, 60) AS t FROM documents)",
-    "encyclopedia_urls": f"{DS}, t AS (SELECT id, title, replace(title, ' ', '_') AS d FROM c WHERE id < 60) " + " UNION ALL ".join(f"SELECT id, {u} AS url, {u if k == 'url' else k} AS canonical, {a} AS article, {str(f).lower()} AS follow, 'https://en.wikipedia.org/wiki/' || d AS own, title AS name FROM t" for u, k, a, f in _FORMS),
+    "url_coding": "SELECT doc_id, replace(replace(url_encode(t), '%20', '+'), '%7C', '|') AS encoded, t AS decoded FROM (SELECT doc_id, text AS t FROM documents)",
+    "encyclopedia_urls": f"{DS}, t AS (SELECT id, title, replace(title, ' ', '_') AS d FROM c) " + " UNION ALL ".join(f"SELECT id, {u} AS url, {u if k == 'url' else k} AS canonical, {a} AS article, {str(f).lower()} AS follow, 'https://en.wikipedia.org/wiki/' || d AS own, title AS name FROM t" for u, k, a, f in _FORMS),
     "news_titles": f"WITH {_HOSTED}, s AS (SELECT page_id, substr(translate(regexp_extract(path, '([^/]*)$', 1), '-_', '  '), 1, 80) AS s, normal FROM pd) SELECT s.page_id, CASE WHEN s = '' THEN CASE WHEN s.page_id % 2 = 0 THEN 'src' ELSE pages.url END WHEN s.page_id % 2 = 0 THEN 'src: ' || s ELSE s END AS title FROM s JOIN pages USING (page_id)",
     "html_extract": f"SELECT page_id, trim({_TEXTED(chr(114) + 'egexp_extract(html, ' + chr(39) + '<title>([^<]*)</title>' + chr(39) + ', 1)')}) AS title, CAST(length({_TEXTED(_PLAIN_PAGE)}) AS INT) AS n_body, sha256({_TEXTED(_PLAIN_PAGE)}) AS body, CAST(len(regexp_extract_all(html, '<a href=\"[^\"]+\"')) AS INT) AS n_links FROM pages",
     "html_links": f"WITH {_HOSTED}, l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) AS h, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1), 1) AS i FROM pages), f AS (SELECT l.page_id, origin || h AS link, min(i) AS i FROM l JOIN pd USING (page_id) WHERE starts_with(h, '/') AND origin || h <> normal GROUP BY ALL) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS place, link FROM f",
     "topic_rules": f"{CASES} SELECT id, canonical, label, general, country, CASE WHEN display IN ('India', 'United States', 'Germany', 'Australia') THEN display ELSE inferred END AS topic, pretty AS subtopic FROM tc3",
     "topic_normalize": f"{CASES} SELECT canonical AS topic, count(*) AS documents FROM tc3 GROUP BY 1",
-    "text_helpers": f"""{DS}, z AS (SELECT id, title, substr(text, 1, 90) AS t, id % 50 / 37 AS x, id % 11 / 9 AS y FROM c), q AS (SELECT *, x / greatest(y, 1e-300) AS r, (x - y) / greatest(abs(y), 1e-300) AS rel FROM z)
+    "text_helpers": f"""{DS}, z AS (SELECT id, title, text AS t, id % 50 / 37 AS x, id % 11 / 9 AS y FROM c), q AS (SELECT *, x / greatest(y, 1e-300) AS r, (x - y) / greatest(abs(y), 1e-300) AS rel FROM z)
 SELECT id, substr(t, 1, list_max(list_filter(range(0, length(t) + 1), lambda k: strlen(substr(t, 1, k)) <= 50))) AS clipped, array_to_string(list_filter(list_transform(string_split(t, ','), lambda s: regexp_replace(s, '^{SPACE}+|{SPACE}+$', '', 'g')), lambda s: s <> ''), '|') AS parts, true AS same, starts_with(lower(title), 'doc 1') AS starts, printf('%.1f', x) AS number,
 CASE WHEN x < 1e-4 AND y < 1e-4 THEN 'about the same as' WHEN y < 1e-4 THEN 'much higher than' WHEN r >= 1.08 THEN printf('%.1f', r) || 'x as high as' WHEN r <= 0.92 THEN printf('%.0f', r * 100) || '% as high as' ELSE 'about the same as' END AS times,
 CASE WHEN abs(y) < 1e-4 THEN CASE WHEN x > y + 0.02 THEN 'rose from near zero' ELSE 'barely moved' END WHEN rel >= 0.03 THEN 'rose ' || printf('%.0f', rel * 100) || '%' WHEN rel <= -0.03 THEN 'fell ' || printf('%.0f', -rel * 100) || '%' ELSE 'changed little' END AS change,
@@ -364,7 +364,9 @@ SELECT url, title, topic, '2024-03-15' AS seen, CAST(length('GDELT Project monit
     "catalog_delete_cascade": f"{_STORE} SELECT ds.dataset_id, name, kind, count(c.id) AS documents, kind = 'WIKIPEDIA_SAMPLE' AS wikipedia, false AS gdelt, kind <> 'WIKIPEDIA_SAMPLE' AS deletable, 0 AS place FROM ds LEFT JOIN c USING (dataset_id) WHERE dataset_id = 1 GROUP BY ALL",
     "catalog_edge_cascade": f"{_STORE}, l AS (SELECT id FROM c WHERE dataset_id IN (1, 4)) SELECT dataset_id, src, dst FROM e WHERE dataset_id IN (1, 4) AND src IN (SELECT id FROM l) AND dst IN (SELECT id FROM l)",
     "catalog_clear": f"{_STORE} SELECT dataset_id, count(*) AS n, 'documents' AS what FROM c WHERE dataset_id <> 1 GROUP BY 1 UNION ALL SELECT dataset_id, count(*), 'edges' FROM e WHERE dataset_id <> 1 GROUP BY 1",
-    "catalog_lookups": "SELECT * FROM (VALUES ('name', CAST(1 AS BIGINT), 'Wikipedia'), ('kind', 2, 'GDELT'), ('id', 3, 'uploads'), ('document', 12, 'Doc 12'), ('ids', 5, 'Doc 5'), ('ids', 6, 'Doc 6'), ('ids', 7, 'Doc 7'), ('ids', 8, 'Doc 8'), ('edge', 21, 'embedding')) t(asked, id, name)",
+    "catalog_lookups": f"""{DS} SELECT 'name' AS asked, CAST(dataset_id AS BIGINT) AS id, name FROM ds WHERE lower(name) = 'wikipedia' UNION ALL SELECT 'kind', dataset_id, name FROM ds WHERE kind = 'GDELT'
+UNION ALL SELECT 'id', dataset_id, name FROM ds WHERE dataset_id = 3 UNION ALL SELECT 'document', id, title FROM c WHERE id = 12 UNION ALL SELECT 'ids', id, title FROM c WHERE id BETWEEN 5 AND 8
+UNION ALL SELECT 'edge', id + 1, 'embedding' FROM c WHERE id = 20 AND dataset_id = 1 AND id % 97 <> 5""",
     "catalog_counts": f"{DS} SELECT count(*) AS documents, count(*) FILTER (id % 9 = 0) AS unscored, CAST(3 AS BIGINT) AS datasets, false AS \"full\" FROM c",
     "stored_topics": f"{DS} SELECT dataset_id, topic, count(*) AS documents FROM c WHERE topic <> '' GROUP BY ALL",
     "short_doc_delete": f"{_STORE}, g AS (SELECT id FROM c WHERE dataset_id = 1 AND n < 900) SELECT (SELECT count(*) FROM c WHERE id NOT IN (SELECT id FROM g)) AS documents, (SELECT count(*) FROM e WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g)) AS edges, (SELECT count(*) FROM g) AS deleted",
@@ -375,7 +377,7 @@ SELECT url, title, topic, '2024-03-15' AS seen, CAST(length('GDELT Project monit
     "run_snapshot": f"WITH t AS (SELECT event_id % 6 AS run_id, {_STATE} AS s, value, event_id FROM events) SELECT run_id, count(*) AS total, count(*) FILTER (s IN ('complete', 'cached')) AS completed, count(*) FILTER (s = 'cached') AS cached, count(*) FILTER (s = 'running') AS running, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'ready') AS pending, round(100.0 * count(*) FILTER (s IN ('complete', 'cached')) / count(*), 6) AS progress, round(sum(value), 2) AS ms, CAST(sum(event_id * 3) AS BIGINT) AS bytes FROM t GROUP BY 1",
     "runs_interrupted": f"WITH t AS (SELECT {_STATE} AS s FROM events) SELECT CASE WHEN s IN ('running', 'ready') THEN 'failed' ELSE s END AS status, CASE WHEN s IN ('running', 'ready') THEN 'interrupted' ELSE '' END AS error, count(*) AS n FROM t GROUP BY ALL",
     "runs_latest": "SELECT event_id AS id, event_id % 4 AS dataset_id, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id DESC) = 1",
-    "task_dependencies": "SELECT event_id AS id, CASE WHEN event_id = 0 THEN '[]' WHEN event_id - 1 = event_id // 2 THEN '[' || (event_id - 1) || ']' ELSE '[' || event_id // 2 || ', ' || (event_id - 1) || ']' END AS dependencies FROM events WHERE event_id < 40",
+    "task_dependencies": "SELECT event_id AS id, CASE WHEN event_id = 0 THEN '[]' WHEN event_id - 1 = event_id // 2 THEN '[' || (event_id - 1) || ']' ELSE '[' || event_id // 2 || ', ' || (event_id - 1) || ']' END AS dependencies FROM events",
     "topics_distinct": f"{DS}, o AS (SELECT id, trim(CASE WHEN id % 2 = 0 THEN upper(topic) ELSE ' ' || topic END) AS topic FROM c) SELECT arg_min(topic, id) AS topic FROM o WHERE lower(topic) IN ('india', 'united states', 'germany', 'australia') GROUP BY lower(topic)",
     "titles_distinct": f"{DS}, o AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'doc ' ELSE 'DOC ' END || id // 3 AS title FROM c) SELECT id, title FROM o QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY id) = 1",
     "extract_longest": f"{DS} SELECT topic, id FROM c QUALIFY row_number() OVER (PARTITION BY topic ORDER BY strlen(text) DESC, id) = 1",
@@ -390,7 +392,8 @@ ORACLES |= {
     "page_lines": f"{scored('dataset_id')}, g AS (SELECT id, CASE id % 5 WHEN 0 THEN 'a example some page no ' || id || ' html' WHEN 1 THEN 'a slug of ' || id WHEN 2 THEN {_ONE_LINE.format('text')} ELSE title END AS g, {_ONE_LINE.format('text')} AS s, CASE WHEN id % 9 > 0 THEN CAST(CAST(floor(round(round(p_ai, 6) * 100, 9) + 0.5) AS BIGINT) AS VARCHAR) || '%' || CASE band WHEN 'LIKELY_AI' THEN ', likely AI-generated' WHEN 'LIKELY_HUMAN' THEN ', likely human-written' ELSE ', uncertain' END ELSE '' END AS label FROM scored) SELECT id, {_SHORT.format('g', 180, 176)} AS gist, {_SHORT.format('s', 110, 110)} AS sentence, label FROM g",
     "summary_json": f"{VIEW}, s AS ({SUMMARY}) SELECT '{{\"documents\":' || documents || ',\"scored\":' || scored || ',\"words\":' || words || ',\"likely_ai\":' || likely_ai || ',\"uncertain\":' || uncertain || ',\"likely_human\":' || likely_human || ',\"estimate\":' || estimate || ',\"topic\":null}}' AS json FROM s",
     "features_pending": f"{DS} SELECT dataset_id, count(*) AS documents, count(*) FILTER (id % 3 = 0 AND dataset_id <> 2) AS pending, CASE WHEN dataset_id = 2 THEN 'ready' ELSE 'pending' END AS state FROM c GROUP BY 1",
-    "means_status": "SELECT * FROM (VALUES (1, 'EMBEDDED', 'means'), (2, 'EMBEDDED', 'means'), (3, 'NOT_TRAINED', 'means'), (4, 'NOT_TRAINED', 'means'), (1, 'VALIDATION_FAILED', 'training'), (2, 'VALIDATION_FAILED', 'training'), (3, 'VALIDATION_FAILED', 'training'), (4, 'VALIDATION_FAILED', 'training')) t(dataset_id, status, asked)",
+    "means_status": f"""{DS}, n AS (SELECT dataset_id, count(*) AS n FROM c WHERE dataset_id < 3 OR id = 9 GROUP BY 1)
+SELECT dataset_id, CASE WHEN n >= 2 THEN 'EMBEDDED' ELSE 'NOT_TRAINED' END AS status, 'means' AS asked FROM ds LEFT JOIN n USING (dataset_id) UNION ALL SELECT dataset_id, 'VALIDATION_FAILED', 'training' FROM ds""",
     "edges_replace": f"{_STORE} SELECT dataset_id, 'embedding' AS reason, count(*) AS n, CAST(sum(dst) AS BIGINT) AS ends FROM e WHERE dataset_id <> 2 GROUP BY 1 UNION ALL SELECT 2, 'embedding+topic', count(*), CAST(sum(id + 10) AS BIGINT) FROM corpus0 WHERE dataset_id = 2",
 }
 

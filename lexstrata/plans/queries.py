@@ -236,8 +236,7 @@ def era_compare_sept(spark, sf):
 
 
 def _subjects(spark, sf):
-    ends = F.expr("substring(text, greatest(length(text) - 39, 1), 40)")
-    return _view(spark, sf).join(_texts(spark, sf), "id").withColumn("subject", reports.subject_of(F.concat_ws(" ", "title", ends)))
+    return _view(spark, sf).withColumn("subject", reports.subject_of(F.concat_ws(" ", "title", "subtopic")))
 
 
 def subject_mix(spark, sf):
@@ -334,7 +333,7 @@ def url_resolve(spark, sf):
 
 
 def url_coding(spark, sf):
-    rows = _t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"))
+    rows = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
     return rows.select("doc_id", urls.url_encode(F.col("t")).alias("encoded"), urls.url_decode(urls.url_encode(F.col("t"))).alias("decoded"))
 
 
@@ -367,7 +366,7 @@ def topic_normalize(spark, sf):
 
 
 def text_helpers(spark, sf):
-    c = corpus(spark, sf).select("id", "title", "source", "topic", F.substring("text", 1, 90).alias("t"))
+    c = corpus(spark, sf).select("id", "title", "source", "topic", F.col("text").alias("t"))
     x, y = F.col("id") % 50 / 37, F.col("id") % 11 / 9
     return c.select(
         "id", words.clip_bytes(F.col("t"), 50).alias("clipped"), F.array_join(words.split_csv(F.col("t")), "|").alias("parts"), words.same_text(F.col("title"), F.lower("title")).alias("same"),
@@ -540,7 +539,7 @@ def runs_latest(spark, sf):
 
 
 def task_dependencies(spark, sf):
-    tasks = _tasks(spark, sf).where("id < 40").select("id", "status")
+    tasks = _tasks(spark, sf).select("id", "status")
     waits = tasks.where("id > 0").select(F.col("id").alias("task_id"), F.explode(F.array(F.col("id") - 1, F.floor(F.col("id") / 2))).alias("depends_on"))
     return catalog.with_dependencies(tasks, waits).select("id", F.col("dependencies").cast("string").alias("dependencies"))
 
@@ -661,7 +660,7 @@ def title_filters(spark, sf):
 
 def encyclopedia_urls(spark, sf):
     cases = F.explode(F.array(*(F.concat(F.lit(p), F.translate("title", " ", "_"), F.lit(e)) for p, e in WIKI_FORMS))).alias("url")
-    rows = corpus(spark, sf).where("id < 60").select("id", "title", cases)
+    rows = corpus(spark, sf).select("id", "title", cases)
     u = F.col("url")
     return rows.select("id", "url", urls.article_url(u).alias("canonical"), urls.article_title(u).alias("article"), urls.followed(u).alias("follow"), urls.title_url(F.col("title")).alias("own"), urls.page_title(F.concat("title", F.lit(" - Wikipedia"))).alias("name"))
 
