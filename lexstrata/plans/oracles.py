@@ -358,9 +358,14 @@ CASE WHEN y < 1e-4 THEN 'about the same as' ELSE '0% as high as' END AS times0,
     "jsonl_ingest": f"{DS}, x AS (SELECT *, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') AS t FROM c) SELECT title, CASE WHEN id % 2 = 0 AND topic <> '' THEN topic ELSE {GUESS} END AS topic, source, CAST(len(regexp_extract_all({LOW.format('text')}, '[a-z0-9'']+')) AS INT) AS word_count, '' AS url, sha256(t) AS text FROM x WHERE t <> ''",
     "news_ingest": "SELECT '2024-03-15' AS seen, 'src' AS source, url, '1#India' AS locations, 'x' AS codes FROM pages WHERE page_id % 3 = 0 AND starts_with(url, 'http')",
     "news_countries": f"WITH {_NEWS} SELECT array_to_string(ts, '|') AS countries, count(*) AS n FROM nt GROUP BY 1",
-    "news_documents": f"""WITH {_NEWS}, sole AS (SELECT ts[1] AS t, count(*) AS n FROM nt WHERE len(ts) = 1 GROUP BY 1), pick AS (SELECT page_id, t AS topic FROM (SELECT page_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM nt) LEFT JOIN sole USING (t) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY coalesce(n, 0), i) = 1),
-tt AS (SELECT nt.page_id, url, source || ': ' || translate(regexp_extract(split_part(regexp_replace(url, '^https?://[^/]*', ''), '?', 1), '([^/]*)$', 1), '-_', '  ') AS title, source, topic FROM nt JOIN pick USING (page_id))
-SELECT url, title, topic, '2024-03-15' AS seen, CAST(length('GDELT Project monitored news item titled "' || title || '". Seen on 2024-03-15. Published by ' || source || '. Source country ' || topic || '. Language English. Topic label ' || topic || '. Collected from the GDELT Project document API on api.gdeltproject.org. The GDELT Project monitors worldwide news coverage. Original article URL: ' || url || '.') AS INT) AS n FROM tt QUALIFY row_number() OVER (PARTITION BY topic ORDER BY url) <= 30""",
+    "news_documents": f"""{("WITH " + _NEWS).replace("WITH ", "WITH RECURSIVE ", 1)}, o AS (SELECT *, row_number() OVER (ORDER BY url) AS r FROM nt WHERE len(ts) > 0),
+cs AS (SELECT ['India', 'United States', 'Germany', 'Australia'] AS names),
+g AS (SELECT 0::BIGINT AS r, [30, 30, 30, 30] AS places, '' AS topic UNION ALL
+  SELECT r, CASE WHEN topic = '' THEN places ELSE list_transform(places, lambda x, i: x - CASE WHEN names[i] = topic THEN 1 ELSE 0 END) END, topic FROM (
+    SELECT o.r, places, names, coalesce(list_filter(ts, lambda t: places[list_position(names, t)] > 0 AND places[list_position(names, t)] = list_max(list_transform(ts, lambda u: places[list_position(names, u)])))[1], '') AS topic
+    FROM g JOIN o ON o.r = g.r + 1, cs)),
+tt AS (SELECT url, source || ': ' || translate(regexp_extract(split_part(regexp_replace(url, '^https?://[^/]*', ''), '?', 1), '([^/]*)$', 1), '-_', '  ') AS title, source, topic FROM g JOIN o USING (r) WHERE topic <> '')
+SELECT url, title, topic, '2024-03-15' AS seen, sha256('GDELT Project monitored news item titled "' || title || '". Seen on 2024-03-15. Published by ' || source || '. Source country ' || topic || '. Language English. Topic label ' || topic || '. Collected from the GDELT Project document API on api.gdeltproject.org. The GDELT Project monitors worldwide news coverage. Original article URL: ' || url || '.') AS text FROM tt""",
     "catalog_delete_cascade": f"{_STORE} SELECT ds.dataset_id, name, kind, count(c.id) AS documents, kind = 'WIKIPEDIA_SAMPLE' AS wikipedia, false AS gdelt, kind <> 'WIKIPEDIA_SAMPLE' AS deletable, 0 AS place FROM ds LEFT JOIN c USING (dataset_id) WHERE dataset_id = 1 GROUP BY ALL",
     "catalog_edge_cascade": f"{_STORE}, l AS (SELECT id FROM c WHERE dataset_id IN (1, 4)) SELECT dataset_id, src, dst FROM e WHERE dataset_id IN (1, 4) AND src IN (SELECT id FROM l) AND dst IN (SELECT id FROM l)",
     "catalog_clear": f"{_STORE} SELECT dataset_id, count(*) AS n, 'documents' AS what FROM c WHERE dataset_id <> 1 GROUP BY 1 UNION ALL SELECT dataset_id, count(*), 'edges' FROM e WHERE dataset_id <> 1 GROUP BY 1",

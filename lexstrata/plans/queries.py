@@ -401,7 +401,7 @@ def news_countries(spark, sf):
 
 
 def news_documents(spark, sf):
-    return ingest.news_documents(_news_lines(spark, sf), 30).select("url", "title", "topic", "seen", F.length("text").alias("n"))
+    return ingest.news_documents(_news_lines(spark, sf), 30).select("url", "title", "topic", "seen", F.sha2("text", 256).alias("text"))
 
 
 def url_normalize(spark, sf):

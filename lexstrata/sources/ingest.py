@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from lexstrata.functions import naming
 from lexstrata.functions.html import news_text, parse_html, parse_page, stamp_date
 from lexstrata.functions.text import ascii_lower, clip_bytes, guess_topic, trimmed, word_tokens
-from lexstrata.functions.topics import kept_topic, news_topics, with_accepted, with_canonical
+from lexstrata.functions.topics import COUNTRIES, kept_topic, news_topics, with_accepted, with_canonical
 from lexstrata.functions.urls import dedup_key, host_of, news_title, normalize_url
 from lexstrata.operators import reports
 from lexstrata.sources.pdf import pdf_text
-from lexstrata.storage import materialize
+from lexstrata.storage import materialize, shared_dir
 
 JSON_FIELDS = "title string, text string, url string, topic string, source string"
 DOCUMENT = ("title", "text", "url", "topic", "source", "word_count")
@@ -138,22 +138,72 @@ def news_rows(lines: DataFrame) -> DataFrame:
     return rows.where(F.col("url").startswith("http"))
 
 
-def news_documents(lines: DataFrame, cap: int = 1000) -> DataFrame:
-    """Documents of news rows: one country each, one address once, at most ``cap`` of a country (the first by address).
+#: Rows of a run of news rows that one task assigns, with the places that earlier runs have left.
+RUN_ROWS = 200_000
 
-    A row of several countries goes to the one with the fewest rows of its own, the first in order of equals.
+
+def assigned_in_order(choices: DataFrame, caps: dict[str, int], rows: int | None = None) -> DataFrame:
+    """(place, row, pick) of the rows that are stored when they come one by one, in order of ``place`` and ``row``.
+
+    ``choices``: a row for each country ``pick`` that a news row names, in order of ``n``, with ``topic``, under which it would be stored
+    (null if it can't be), and its ``key``. A row of one country goes to it while it has places; one of several to
+    that with the most places left, the first of equals. It is stored if its topic has a place and its key isn't stored yet.
+
+    Each row depends on those before, so runs of sorted rows follow each other, each in one task that takes the places left and
+    the stored keys (no more than all places) and gives them on. Rows whose countries are all full are left out
+    of a run before it starts, and runs end when all are full.
+    """
+    spark, folder = choices.sparkSession, shared_dir(choices.sparkSession)
+    runs = max(1, -(-choices.count() // (rows or RUN_ROWS)))
+    ordered = choices.repartitionByRange(runs, "place", "row").withColumn("run", F.spark_partition_id()).sortWithinPartitions("place", "row", "n")
+    ordered.write.partitionBy("run").option("compression", "zstd").parquet(f"{folder}/ordered")
+    table = spark.read.schema(ordered.schema).parquet(f"{folder}/ordered")
+    left, keys, stored = dict(caps), set(), []
+    for run in range(runs):
+        full = [t for t, n in left.items() if n <= 0]
+        if len(full) == len(caps):
+            break
+        some = table.where(F.col("run") == run)
+        some = some.join(some.where(~F.col("pick").isin(full)).select("place", "row").distinct(), ["place", "row"], "left_semi") if full else some
+        now, have = dict(left), set(keys)
+
+        def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            frame = pd.concat(list(frames), ignore_index=True)
+            out = []
+            for (place, row), part in frame.sort_values(["place", "row", "n"]).groupby(["place", "row"], sort=False):
+                need = [now[p] for p in part["pick"]]
+                best = max(range(len(need)), key=lambda i: (need[i], -i))
+                topic, key = part["topic"].iloc[best], part["key"].iloc[best]
+                if need[best] > 0 and topic is not None and now[topic] > 0 and (key is None or key not in have):
+                    now[topic] -= 1
+                    if key is not None:
+                        have.add(key)
+                    out.append((place, row, part["pick"].iloc[best], topic, key))
+            yield pd.DataFrame(out, columns=["place", "row", "pick", "topic", "key"])
+
+        taken = some.select("place", "row", "n", "pick", "topic", "key").coalesce(1).mapInPandas(assign, "place string, row long, pick string, topic string, key string").collect()
+        stored += [(r.place, r.row, r.pick) for r in taken]
+        for r in taken:
+            left[r.topic] -= 1
+        keys |= {r.key for r in taken if r.key is not None}
+    return spark.createDataFrame(stored, "place string, row long, pick string")
+
+
+def news_documents(lines: DataFrame, cap: int = 1000, germany: int = 1000) -> DataFrame:
+    """Documents of news rows in order of address: one country each, one address once, at most ``cap`` of a country (``germany`` at most of Germany's).
+
+    A row that names several countries goes to the one with the most places left so far.
     """
-    rows = news_rows(lines).withColumn("url", F.coalesce(normalize_url(F.col("url")), F.col("url")))
-    rows = rows.withColumn("topics", news_topics(F.col("locations"), F.col("codes"))).where(F.size("topics") > 0)
-    sole = materialize(rows.where("size(topics) = 1").groupBy(F.col("topics")[0].alias("t")).agg(F.count("*").alias("n")), "sole")
-    load = F.broadcast(sole.agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("_load")))  # four rows at most
-    least = F.array_min(F.transform("topics", lambda x, i: F.struct(F.coalesce(F.element_at("_load", x), F.lit(0)).alias("n"), i.alias("i"), x.alias("t"))))["t"]
-    topic = F.when(F.size("topics") == 1, F.col("topics")[0]).otherwise(least)
-    rows = rows.join(load, F.lit(True)).withColumn("topic", topic).withColumn("title", news_title(F.col("url"), F.col("source")))
-    text = news_text(F.col("title"), F.col("url"), F.col("stamp"), F.col("source"), F.col("topic"), F.lit("English"), F.col("topic"))
-    rows = with_accepted(rows.withColumn("text", text), "title", "text", "topic", "topic")
-    first = rows.where(F.size(word_tokens(F.col("text"))) >= 40).groupBy(dedup_key(F.col("url")).alias("_key")).agg(F.min_by(F.struct("url", "title", "text", "topic", "source", "seen"), "url").alias("r")).select("r.*")
-    return reports.capped(first.withColumn("id", F.col("url")), cap).drop("id")
+    rows = news_rows(lines).withColumn("url", F.coalesce(normalize_url(F.col("url")), F.col("url"))).distinct()
+    rows = rows.withColumn("row", F.xxhash64("url", "stamp", "source", "locations", "codes"))
+    picked = rows.select("*", F.posexplode(news_topics(F.col("locations"), F.col("codes"))).alias("n", "pick")).withColumn("title", news_title(F.col("url"), F.col("source")))
+    text = news_text(F.col("title"), F.col("url"), F.col("stamp"), F.col("source"), F.col("pick"), F.lit("English"), F.col("pick"))
+    picked = with_accepted(picked.withColumn("text", text), "title", "text", "pick", "topic")
+    picked = materialize(picked.withColumn("topic", F.when(F.size(word_tokens(F.col("text"))) >= 40, F.col("topic"))), "picked")
+    caps = {c: min(cap, germany) if c == "Germany" else cap for c in COUNTRIES}
+    chosen = assigned_in_order(picked.select(F.col("url").alias("place"), "row", "n", "pick", "topic", dedup_key(F.col("url")).alias("key")), caps)
+    found = picked.join(F.broadcast(chosen.withColumnRenamed("place", "url")), ["url", "row", "pick"], "left_semi")  # no more rows than places
+    return found.select("url", "title", "text", "topic", "source", "seen")
 
 
 def articles(payload: DataFrame) -> DataFrame:
