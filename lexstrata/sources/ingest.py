@@ -168,9 +168,9 @@ def assigned_in_order(choices: DataFrame, caps: dict[str, int], rows: int | None
         now, have = dict(left), set(keys)
 
         def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            frame = pd.concat(list(frames), ignore_index=True)
-            out = []
-            for (place, row), part in frame.sort_values(["place", "row", "n"]).groupby(["place", "row"], sort=False):
+            frames, out = list(frames), []
+            frame = pd.concat(frames, ignore_index=True).sort_values(["place", "row", "n"]) if frames else None
+            for (place, row), part in frame.groupby(["place", "row"], sort=False) if frames else ():
                 need = [now[p] for p in part["pick"]]
                 best = max(range(len(need)), key=lambda i: (need[i], -i))
                 topic, key = part["topic"].iloc[best], part["key"].iloc[best]
