@@ -10,7 +10,7 @@ from lexstrata.functions import html, topics, urls
 from lexstrata.functions import text as words
 from lexstrata.functions.embed import byte_entropy, centroids, cosine, hashed_embedding
 from lexstrata.functions.text import STOCK_PHRASES, ascii_lower, detectors, document_date, guess_topic, is_article_title, is_disambiguation, recency_signal, style_features, year_of_date
-from lexstrata.operators import catalog, cube, graph, reports, score, seen, views
+from lexstrata.operators import catalog, cube, graph, reports, retrieval, score, seen, views
 from lexstrata.sources import ingest
 from lexstrata.storage import kept, materialize, shared_dir
 from lexstrata.streaming import calibration
@@ -213,9 +213,16 @@ def strongest_signal(spark, sf):
     return views.strongest_signal(_view(spark, sf))
 
 
+def _index(spark, sf):
+    """The inverted index of all shown documents, stored once a session and table."""
+    docs = lambda: views.view(_analysed(spark, sf), datasets(spark)).withColumn("url", F.concat(F.lit("http://site"), F.col("id") % 7, F.lit(".example/")))
+    source = f"{sf}/documents.parquet"
+    posted = kept(spark, "postings", source, lambda: retrieval.postings(docs()))
+    return retrieval.Index(posted, kept(spark, "vocabulary", source, lambda: retrieval.vocabulary(posted)), kept(spark, "stored", source, lambda: retrieval.stored(docs())))
+
+
 def evidence_ranked(spark, sf):
-    shown = views.view(_analysed(spark, sf), datasets(spark)).withColumn("url", F.concat(F.lit("http://site"), F.col("id") % 7, F.lit(".example/")))
-    return _four(views.evidence(shown, "Which src7 pages about India on site3?"))
+    return _four(retrieval.search(_index(spark, sf), "Which src7 pages about India on site3?"))
 
 
 def excerpts(spark, sf):
