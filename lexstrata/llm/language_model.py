@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .native import keys_for_join
 from .rolling import Block, U, blocks, mix
@@ -252,6 +253,21 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     return sums.groupBy("block").applyInArrow(_finish, "doc_id long, lang string, n_symbols long, log2_perplexity double")
 
 
+def exact_quantile(values: DataFrame, quantile: float) -> DataFrame:
+    """(group, value): of each group's values the least that ``quantile`` of them don't exceed, by counts.
+
+    Buckets of 1/4096 are counted first, and the values of the bucket in which the quantile lies are ranked alone, so no
+    group's values come to one task and the result is the same for any partitions.
+    """
+    counts = values.groupBy("group", "value").agg(F.count("*").alias("n")).withColumn("bucket", F.floor(F.col("value") * 4096))
+    sizes = counts.groupBy("group", "bucket").agg(F.sum("n").alias("s"))
+    up_to = lambda c, by: F.sum(c).over(Window.partitionBy("group").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.select("group", "bucket", (up_to("s", "bucket") - F.col("s")).alias("before"), "s", F.greatest(F.lit(1), F.ceil(F.round(quantile * F.sum("s").over(Window.partitionBy("group")), 6))).alias("rank"))
+    chosen = sizes.where((F.col("before") < F.col("rank")) & (F.col("before") + F.col("s") >= F.col("rank"))).select("group", "bucket", "before", "rank")
+    inside = counts.join(chosen, ["group", "bucket"]).withColumn("at", F.col("before") + up_to("n", "value"))
+    return inside.where(F.col("at") >= F.col("rank")).groupBy("group").agg(F.min("value").alias("value"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, held_out: int = HELD_OUT) -> DataFrame:
     """doc_id, lang, n_symbols, log2_perplexity, threshold, kept.
 
@@ -269,10 +285,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE,
     scored = materialize(score(docs.select("doc_id", "lang", "text"), model), "scored", folder)
     unseen = docs.select("doc_id", aside.alias("_aside")).join(good, "doc_id", "left_semi").where("_aside").select("doc_id").distinct()
     trusted = scored.where("n_symbols > 0").join(keys_for_join(materialize(unseen, "held_out", folder)), "doc_id", "left_semi")
-    cut = F.percentile_approx("log2_perplexity", quantile, 10_000)
-    whole = trusted.agg(cut.alias("_all"))
-    by_lang = trusted.groupBy("lang").agg(cut.alias("_cut")).withColumnRenamed("lang", "_lang")
-    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(whole), F.lit(True), "left")
+    lang = F.to_json(F.struct("lang"))
+    values = materialize(trusted.select(lang.alias("group"), F.col("log2_perplexity").alias("value")), "trusted", folder)
+    by_lang, whole = exact_quantile(values, quantile), exact_quantile(values.withColumn("group", F.lit("all")), quantile)
+    out = scored.withColumn("_lang", lang).join(by_lang.select(F.col("group").alias("_lang"), F.col("value").alias("_cut")), "_lang", "left").join(F.broadcast(whole.select(F.col("value").alias("_all"))), F.lit(True), "left")
     threshold = F.coalesce("_cut", "_all", F.lit(float("inf")))
     return out.select(
         "doc_id", "lang", "n_symbols", "log2_perplexity", threshold.alias("threshold"), ((F.col("n_symbols") > 0) & (F.col("log2_perplexity") <= threshold)).alias("kept")

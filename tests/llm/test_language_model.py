@@ -114,3 +114,17 @@ def test_held_out_recall_by_language(spark):
         F.avg(F.when(F.col("quality") == 0, (~F.col("kept")).cast("int"))).alias("caught"), F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int"))).alias("kept")
     ).collect()
     assert len(got) == 4 and all(r.caught >= 0.9 and r.kept >= 0.95 for r in got), got
+
+
+def test_exact_quantiles(spark):
+    """The value at rank ceil(q n) of each group, with ties and any partitions; no values give no row."""
+    rng = random.Random(2)
+    groups = {"a": [round(rng.gauss(5, 2), 9) for _ in range(3000)], "b": [1.5] * 40 + [-2.25, 9.0], "c": [0.125], "{}": [3.0, 3.0, 4.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "group string, value double")
+    for q in (0.97, 0.5, 0.0, 1.0):
+        want = {g: sorted(vs)[max(1, math.ceil(round(q * len(vs), 6))) - 1] for g, vs in groups.items()}
+        for parts in (1, 7):
+            assert {r.group: r.value for r in L.exact_quantile(df.repartition(parts), q).collect()} == want
+    assert L.exact_quantile(df.limit(0), 0.5).count() == 0
