@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _kept: dict[tuple[str, str], str] = {}
+_made: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lexstrata-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lexstrata-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/lexstrata-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the folders that this session made for intermediates, but for those of ``kept`` tables; returns how many were there.
+
+    To be called when no DataFrame made so far is read any more.
+    """
+    own = _made.get(spark.sparkContext.applicationId, set())
+    gone = own - {path.rpartition("/")[0] for path in _kept.values()}
+    found = 0
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    own -= gone
+    return found
 
 
 def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
