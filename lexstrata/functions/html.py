@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import ascii_lower, let, trimmed
-from .urls import article_url, followed, host_of, normalize_url, resolve_url, same_host, skippable
+from .urls import article_url, followed, host_of, looks_like_page, normalize_url, resolve_url, same_host
 
 # The named references that are decoded.
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
@@ -192,7 +192,7 @@ def _distinct(links: Column, own: Column) -> Column:
 
 def same_host_links(url: Column, hrefs: Column) -> Column:
     """Pages of the same host that ``hrefs`` lead to, but for the page itself, in order, each once; files are left out."""
-    near = lambda own: lambda x: F.when(same_host(own, x) & ~skippable(x), x)
+    near = lambda own: lambda x: F.when(same_host(own, x) & looks_like_page(x), x)
     return let(normalize_url(url), lambda own: _distinct(F.transform(hrefs, lambda h: let(resolve_url(own, h), near(own))), own))
 
 
@@ -208,7 +208,7 @@ PROJECT = "gdeltproject.org"
 
 def project_links(url: Column, hrefs: Column) -> Column:
     """Pages of the news project that ``hrefs`` lead to, from a page of it, in order, each once."""
-    site = lambda u: F.when(F.coalesce(host_of(u).rlike(rf"(^|\.){re.escape(PROJECT)}$"), F.lit(False)) & ~skippable(u), u)
+    site = lambda u: F.when(F.coalesce(host_of(u).rlike(rf"(^|\.){re.escape(PROJECT)}$"), F.lit(False)) & looks_like_page(u), u)
     found = lambda own: _distinct(F.transform(hrefs, lambda h: let(resolve_url(own, h), site)), own)
     return let(let(normalize_url(url), site), lambda own: F.when(own.isNotNull(), found(own)).otherwise(F.array().cast("array<string>")))
 

@@ -82,6 +82,11 @@ def skippable(url: Column) -> Column:
     return F.coalesce(let(ascii_lower(url_path(url)), ends), F.lit(True))
 
 
+def looks_like_page(url: Column) -> Column:
+    """Whether an address has a path that no file ending marks as something else than a page."""
+    return ~skippable(url)
+
+
 def comparable_host(url: Column) -> Column:
     return F.regexp_replace(host_of(url), r"^www\.", "")
 

@@ -422,3 +422,7 @@ SELECT key, link, page_id, CAST(increment AS INT) AS increment FROM k QUALIFY ro
 ORACLES["crawl_frontier"] = f"""{_LINKS.replace("WITH ", "WITH RECURSIVE ", 1)}, e AS (SELECT {_BARE.format("normal")} AS a, {_BARE.format("link")} AS b FROM f JOIN nw USING (page_id)),
 r AS (SELECT {_BARE.format("normal")} AS page, 0 AS depth FROM nw WHERE page_id % 25 = 0 UNION SELECT b, depth + 1 FROM r JOIN e ON a = page WHERE depth < 2)
 SELECT page, CAST(min(depth) AS INT) AS depth FROM r GROUP BY page"""
+ORACLES["site_links"] = """WITH r AS (SELECT page_id, CASE WHEN regexp_matches(x, '^[a-z]+$') THEN x ELSE 'none' END AS w FROM (SELECT page_id, regexp_extract(html, '<a href="/([^"]*)"', 1) AS x FROM pages)),
+l AS (SELECT page_id, 'wiki' AS side, k, 'https://en.wikipedia.org/wiki/' || [w || '_x', 'Category:' || w, 'Portal:' || w || '_2'][k] AS link FROM r, range(1, 4) t(k)
+  UNION ALL SELECT page_id, 'news', k, ['https://www.gdeltproject.org/' || w || '.html', 'https://blog.gdeltproject.org/' || w || '/a'][k] FROM r, range(1, 3) t(k))
+SELECT page_id, side, CAST(k - 1 AS INT) AS place, link FROM l"""

@@ -428,6 +428,17 @@ def _page_links(spark, sf):
     return p.select("page_id", "url", F.posexplode(html.same_host_links(F.col("url"), F.col("hrefs"))).alias("place", "link"))
 
 
+def site_links(spark, sf):
+    """Links of pages of the encyclopedia and of the news project, made of the pages' own words, that a crawl of them follows."""
+    word = F.regexp_extract("html", "<a href=\"/([^\"]*)\"", 1)
+    rows = _t(spark, sf, "pages").select("page_id", F.when(word.rlike("^[a-z]+$"), word).otherwise("none").alias("w"))
+    wiki = F.array(*(F.concat(F.lit(a), "w", F.lit(b)) for a, b in WIKI_HREFS))
+    news = F.array(*(F.concat(F.lit(a), "w", F.lit(b)) for a, b in NEWS_HREFS))
+    found = rows.select("page_id", "w", html.article_links(F.concat(F.lit("https://en.wikipedia.org/wiki/"), "w"), wiki).alias("wiki"), html.project_links(F.concat(F.lit("https://www.gdeltproject.org/"), "w"), news).alias("news"))
+    sides = [found.select("page_id", F.lit(side).alias("side"), F.posexplode(side).alias("place", "link")) for side in ("wiki", "news")]
+    return sides[0].unionByName(sides[1])
+
+
 def links_seen(spark, sf):
     """The addresses that pages' links lead to, each once, as three increments of pages found them."""
     store, found = shared_dir(spark), None
@@ -711,6 +722,8 @@ ODD_URLS = (
 HREFS = ("", "#top", "mailto:a@b.c", "JavaScript:void(0)", "tel:1", "data:x", "//other.org/a", "http://x.org//b/", "/root", "leaf.html", "a/../b?q=1", "?only=query", " /spaced ", "ftp://x")
 MENTION_CASES = ("usa", "the u.s. senate", "a german town", "germans", "australian law", "usage", "germanium", "germany and australia", "bharat")
 TOPIC_CASES = ("", "India", " usa ", "computer_science", "general", "geography of india", "politics of germany", "3d_model making", "Australia")
+WIKI_HREFS = (("/wiki/", "_x"), ("/wiki/", ""), ("/wiki/Talk:", ""), ("/wiki/Category:", ""), ("https://de.wikipedia.org/wiki/", ""), ("#", ""), ("//en.m.wikipedia.org/wiki/", "_x?y=1"), ("/wiki/Portal:", "_2"))
+NEWS_HREFS = (("", ".html"), ("/", ""), ("https://blog.gdeltproject.org/", "/a"), ("https://other.org/", ""), ("/data/", ".zip"), ("", ".html"), ("http://notgdeltproject.org/", ""), ("mailto:", ""))
 WIKI_FORMS = (("https://en.wikipedia.org/wiki/", ""), ("http://en.m.wikipedia.org/wiki/", "?x=1"), ("https://en.wikipedia.org/wiki/Talk:", ""), ("https://de.wikipedia.org/wiki/", ""), ("https://en.wikipedia.org/wiki/Category:", ""), ("https://en.wikipedia.org/w/", ""))
 
 
@@ -721,7 +734,7 @@ QUERIES = {
         doc_hashed_embedding, stock_phrase_df, vec_centroid_by_label, vec_anomaly, knn_edges_vec, knn_edges_docs, doc_neighbours, graph_visible_edges, graph_undirected, graph_mean_aggregate,
         graph_node_means, graph_sample, graph_groups, era_scores, stream_scores, era_scores_no_baseline, breakdown_source, breakdown_topic, breakdown_time, topics_list, examples_by_band, group_fold, ai_common,
         strongest_signal, evidence_ranked, excerpts, era_sample, year_rise, era_compare_sept, subject_mix, corpus_lines, calculations, year_span_mode, year_ranges, breakdown_merge, era_cohort_pools,
-        era_cohort_traits, era_articles, url_normalize, url_dedup, url_odd_cases, url_resolve, url_coding, encyclopedia_urls, news_titles, html_extract, html_links, links_seen, crawl_frontier, topic_rules,
+        era_cohort_traits, era_articles, url_normalize, url_dedup, url_odd_cases, url_resolve, url_coding, encyclopedia_urls, news_titles, html_extract, html_links, site_links, links_seen, crawl_frontier, topic_rules,
         topic_normalize, text_helpers, signals_text, date_forms, jsonl_ingest, news_ingest, news_countries, news_documents, catalog_delete_cascade, catalog_edge_cascade, catalog_clear, catalog_lookups,
         catalog_counts, stored_topics, short_doc_delete, topic_updates, created_backfill, catalog_merge, revision_backfill, run_progress, run_snapshot, runs_interrupted, runs_latest, task_dependencies,
         topics_distinct, titles_distinct, extract_longest, topic_caps, topic_years, graph_two_hop, graph_pruned, graph_increments, graph_orphans, graph_nodes, strongest_detector, field_share_max, year_rows,
