@@ -36,6 +36,8 @@ ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 LEAST_CELLS, MOST_CELLS, BLOCK = 1 << 16, 1 << 28, 1 << 16
 #: Words of the runs of whole texts that are counted at once; cells of such runs that a task sums before it sends them.
 RUN, HELD = 1 << 20, 8 << 20
+#: Bytes of text that a task of the second pass counts.
+TASK_BYTES = 64 << 20
 #: Words that take part in more than BUSY cuts are dealt over SALTS parts in joins, as one word may begin a third of all phrases.
 BUSY, SALTS = 10_000, 16
 
@@ -191,7 +193,8 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, folder:
     for r in merged.toLocalIterator():  # at most MOST_CELLS bits for each row of the sketch
         full[r.row][r.block * (BLOCK // 8) : (r.block + 1) * (BLOCK // 8)] = r.often
     often = spark.sparkContext.broadcast([bytes(f) for f in full])
-    found = rows.mapInArrow(_exact(longest, bits, often), "lang string, phrase string, size int, count long")
+    # A task of the second pass sends a phrase once, so tasks of more text send less; there are at least as many as cores.
+    found = rows.coalesce(max(spark.sparkContext.defaultParallelism, size // TASK_BYTES)).mapInArrow(_exact(longest, bits, often), "lang string, phrase string, size int, count long")
     counts = found.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("count"))
     return materialize(counts.where((F.col("count") >= least) | (F.col("size") == 0)), "phrases", folder)
 
