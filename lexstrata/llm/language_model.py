@@ -287,8 +287,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE,
     trusted = scored.where("n_symbols > 0").join(keys_for_join(materialize(unseen, "held_out", folder)), "doc_id", "left_semi")
     lang = F.to_json(F.struct("lang"))
     values = materialize(trusted.select(lang.alias("group"), F.col("log2_perplexity").alias("value")), "trusted", folder)
-    by_lang, whole = exact_quantile(values, quantile), exact_quantile(values.withColumn("group", F.lit("all")), quantile)
-    out = scored.withColumn("_lang", lang).join(by_lang.select(F.col("group").alias("_lang"), F.col("value").alias("_cut")), "_lang", "left").join(F.broadcast(whole.select(F.col("value").alias("_all"))), F.lit(True), "left")
+    by_lang, whole = (materialize(exact_quantile(v, quantile), name, folder) for v, name in ((values, "by_lang"), (values.withColumn("group", F.lit("all")), "whole")))
+    out = scored.withColumn("_lang", lang).join(keys_for_join(by_lang.select(F.col("group").alias("_lang"), F.col("value").alias("_cut"))), "_lang", "left").join(F.broadcast(whole.select(F.col("value").alias("_all"))), F.lit(True), "left")
     threshold = F.coalesce("_cut", "_all", F.lit(float("inf")))
     return out.select(
         "doc_id", "lang", "n_symbols", "log2_perplexity", threshold.alias("threshold"), ((F.col("n_symbols") > 0) & (F.col("log2_perplexity") <= threshold)).alias("kept")
