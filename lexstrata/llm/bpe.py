@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .native import fresh
+
 LATEST = 1 << 60
 #: Words, and pairs of state and arc, that a worker remembers; it forgets all of them beyond that.
 REMEMBERED = 500_000
@@ -223,7 +225,8 @@ def encode(docs: DataFrame, automaton: Automaton, text: str = "text", out: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
     if text == out:
-        return encode(docs.withColumn("_coded_text", F.col(text)), automaton, "_coded_text", out).drop("_coded_text")
+        other = fresh(docs, "_text")
+        return encode(docs.withColumn(other, F.col(text)), automaton, other, out).drop(other)
     kept = docs.drop(out)
     names = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
