@@ -35,7 +35,7 @@ TABLE = bytes.maketrans(bytes(range(65, 91)) + b"\t" + MARKS, bytes(range(97, 12
 ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 LEAST_CELLS, MOST_CELLS, BLOCK = 1 << 16, 1 << 28, 1 << 16
 #: Words of the runs of whole texts that are counted at once; cells of such runs that a task sums before it sends them.
-RUN, HELD = 1 << 20, 8 << 20
+RUN, HELD = 1 << 19, 3 << 20
 #: Bytes of text that a task of the second pass counts.
 TASK_BYTES = 64 << 20
 #: Words that take part in more than BUSY cuts are dealt over SALTS parts in joins, as one word may begin a third of all phrases.
