@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from lexstrata.fixtures import corpus
 from lexstrata.functions.text import document_date, year_of_date
 from lexstrata.operators import score
+from lexstrata.plans import queries
 from lexstrata.storage import shared_dir
 from lexstrata.streaming import calibration
 
@@ -75,3 +76,15 @@ def test_an_empty_batch(spark, docs):
     path = shared_dir(spark)
     calibration.process(docs.limit(0).drop("k"), 0, path)
     assert calibration.committed(spark, path) == 0 and calibration.scores(spark, path).count() == 0
+
+
+def test_no_batch_in_one_file(spark, tmp_path, monkeypatch):
+    """Each of the three batches is written and read in as many parts as the documents have, with the same scores."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.repartition(4, "doc_id").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    monkeypatch.setattr(queries, "shared_dir", lambda spark: f"{tmp_path}/run")
+    columns = ["id", "band"]
+    got = sorted(map(tuple, queries.stream_scores(spark, f"{tmp_path}/sf").select(*columns).collect()))
+    assert got == sorted(map(tuple, queries.era_scores(spark, SF).select(*columns).collect()))
+    assert len(list((tmp_path / "run" / "arriving").glob("part-*"))) == 12
+    assert spark.read.parquet(f"{tmp_path}/run/store/commits").count() == 3
