@@ -177,13 +177,20 @@ def parse_page(html: str) -> Page:
 #: Fields of a parsed page, in order; the last two are lists.
 PAGE = ("title", "body", "wiki_text", "footer", "modified", "time", "hrefs", "categories")
 _LISTS = PAGE[6:]
+#: Pages held as Python objects at a time.
+PARSED = 128
 
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType()) if c in _LISTS else T.StringType()) for c in PAGE]))
 def parse_html(html: pa.Array) -> pa.Array:
     """Title, texts, dates, links and categories of each page; null html is an empty page."""
-    pages = [parse_page(h or "") for h in html.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([getattr(p, k) for p in pages], pa.list_(pa.string()) if k in _LISTS else pa.string()) for k in PAGE], names=list(PAGE))
+    kinds = {k: pa.list_(pa.string()) if k in _LISTS else pa.string() for k in PAGE}
+    parts = {k: [pa.array([], kind)] for k, kind in kinds.items()}
+    for at in range(0, len(html), PARSED):
+        pages = [parse_page(h or "") for h in html.slice(at, PARSED).to_pylist()]
+        for k, kind in kinds.items():
+            parts[k].append(pa.array([getattr(p, k) for p in pages], kind))
+    return pa.StructArray.from_arrays([pa.concat_arrays(parts.pop(k)) for k in PAGE], names=list(PAGE))
 
 
 def _distinct(links: Column, own: Column) -> Column:
