@@ -28,10 +28,19 @@ GRAM = 50
 SHARDS = 4
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys (none below 0), and the keys in it: where key and place fit into one number, by a plain sort."""
+    bits = max(1, len(keys)).bit_length()
+    if len(keys) and int(keys.max()) < 1 << (62 - bits):
+        held = np.sort((keys << bits) | np.arange(len(keys)))
+        return held & ((1 << bits) - 1), held >> bits
+    order = np.argsort(keys)
+    return order, keys[order]
+
+
 def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Dense ranks from 1, and the number of different keys."""
-    order = np.argsort(keys)
-    ranked = keys[order]
+    order, ranked = _sorted(keys)
     new = np.ones(len(keys), dtype=np.int64)
     new[1:] = ranked[1:] != ranked[:-1]
     out = np.empty(len(keys), dtype=np.int64)
@@ -68,14 +77,14 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     real[names - 1] = sample
     real = real[real < n]
     ones, twos, rest = real[real % 3 == 1], real[real % 3 == 2], np.arange(0, n, 3)
-    key = t[rest] * width + rank[rest + 1]
+    # The rest in order: their keys beside the twos rise in that order too, so both searches run along.
+    by, key = _sorted(t[rest] * width + rank[rest + 1])
     below = np.searchsorted(t[ones] * width + rank[ones + 1], key)
     pairs = np.concatenate([t[twos] * top + t[twos + 1], t[rest] * top + t[rest + 1]])
     if top * top * width >= 1 << 62:
         pairs, _ = _names(pairs)
-    below += np.searchsorted(pairs[: len(twos)] * width + rank[twos + 2], pairs[len(twos) :] * width + rank[rest + 2])
-    by = np.argsort(key)
-    place = below[by] + np.arange(len(rest))
+    below += np.searchsorted(pairs[: len(twos)] * width + rank[twos + 2], (pairs[len(twos) :] * width + rank[rest + 2])[by])
+    place = below + np.arange(len(rest))
     out = np.empty(n, dtype=np.int64)
     out[place] = rest[by]
     free = np.ones(n, dtype=bool)
@@ -146,10 +155,12 @@ def _settle_suffixes(window: int):
             strings += [raw[at[i] : at[i + 1]] for i in range(len(p[3]))]
         seen: dict[bytes, int] = {}
         late = np.zeros(len(tid), dtype=bool)
-        for i in np.lexsort((start, tid, order)):
+        by = np.lexsort((start, tid, order))
+        for i in by:
             late[i] = seen.setdefault(strings[i], i) != i
         yield from R.to_texts(tid[late], start[late], n[late])
-        one = np.flatnonzero(~late)
+        # Strings lie in order of their documents and starts, so of equal windows the first is that of least place in ``data``.
+        one = by[~late[by]]
         tid, order, start, n = tid[one], order[one], start[one], n[one]
         data = np.frombuffer(b"\x00".join(strings[i] for i in one), dtype=np.uint8)
         # Bytes from 2, separators 1: a string's end is below any byte, and windows never hold one.
@@ -161,14 +172,10 @@ def _settle_suffixes(window: int):
         string[R.ranges(at, n.astype(np.int64))] = np.repeat(np.arange(len(n)), n)
         suffixes = suffix_order(symbols)
         suffixes = suffixes[string[suffixes] >= 0]
-        group = np.cumsum(~equal_neighbours(data, suffixes, window))
-        owner = string[suffixes]
-        place = start[owner] + (suffixes - at[owner])
-        by = np.lexsort((place, tid[owner], order[owner], group))
-        again = np.zeros(len(by), dtype=bool)
-        again[1:] = group[by][1:] == group[by][:-1]
+        new = np.flatnonzero(~equal_neighbours(data, suffixes, window))
         flag = np.zeros(len(data), dtype=bool)
-        flag[suffixes[by[again]]] = True
+        flag[suffixes] = True
+        flag[np.minimum.reduceat(suffixes, new)] = False
         yield from R.to_texts(*runs_of(flag[R.ranges(at, n.astype(np.int64))], tid, start, n))
 
     return settle

@@ -259,3 +259,37 @@ def test_null_ids_and_repeated_rows(spark):
     ):
         assert df.count() == 6
     assert decontaminate.decontaminate(docs, bench).where("contaminated").count() == 4
+
+
+def test_suffixes_settle_without_a_sort_of_all(monkeypatch):
+    """Of equal windows the first stays, whatever the order of strings; only strings are sorted by document, not all suffixes."""
+    import numpy as np
+
+    from lexstrata.llm import repeats
+
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 100, 60).astype(np.uint8)) for _ in range(40)]
+    window, tids = 4, rng.permutation(40)
+    n = np.array([len(t) - window + 1 for t in texts], dtype=np.int32)
+    blob = repeats.pack(tids.astype(np.int64), (tids // 2).astype(np.int64), np.zeros(40, np.int32), n, np.frombuffer(b"".join(texts), dtype=np.uint8))
+    longest, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, *a, **b: longest.append(len(keys[-1])) or real(keys, *a, **b))
+    places = repeats.gathered(pa_table(suffix_dedup._settle_suffixes(window)([blob])))
+    monkeypatch.undo()
+    got = {(int(t), i) for t, a, k in zip(*places) for i in range(a, a + k)}
+    seen, want = set(), set()
+    for t in np.argsort(tids):
+        for i in range(n[t]):
+            w = texts[t][i : i + window]
+            want |= {(int(tids[t]), i)} if w in seen else set()
+            seen.add(w)
+    assert got == want
+    assert max(longest) <= 40
+
+
+def pa_table(found):
+    import pyarrow as pa
+
+    from lexstrata.llm import repeats
+
+    return pa.Table.from_batches([repeats._batch(list(found))])
