@@ -34,7 +34,7 @@ from .native import fresh
 
 LATEST = 1 << 60
 #: Words, and pairs of state and arc, that a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def byte_symbols() -> list[str]:

@@ -93,3 +93,13 @@ def test_edges(spark, automaton, library):
 def test_other_files_are_refused(tmp_path):
     with pytest.raises(ValueError, match="isn't a vocabulary"):
         bpe.compile_automaton(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_a_worker_remembers_little():
+    """Two workers' words and arcs must fit beside an executor's heap: at most 150,000 of each, and one text's."""
+    import public_tokenizers
+
+    automaton = bpe.compile_automaton(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(0, 240_000, 2000):
+        automaton.encode(" ".join(f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(i, i + 2000)))
+        assert len(automaton.words) <= 160_000 and len(automaton.arcs) <= 150_000
