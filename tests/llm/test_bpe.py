@@ -103,3 +103,19 @@ def test_a_worker_remembers_little():
     for i in range(0, 240_000, 2000):
         automaton.encode(" ".join(f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(i, i + 2000)))
         assert len(automaton.words) <= 160_000 and len(automaton.arcs) <= 150_000
+
+
+def test_one_step_of_workers(spark):
+    """Encoding and decoding share the Python workers: two steps' workers took an executor past its memory."""
+    plan = bpe.query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_packed_and_decoded_beside_ids(spark, automaton):
+    """The columns that encoding adds are those of the ids and of decode, and replace columns of their names."""
+    texts = [None, "", "One two, three", "<|endoftext|>x", "\u00e9 \u0301"]
+    rows = spark.createDataFrame([(i, t, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, decoded string, packed int")
+    got = bpe.decode(bpe.encode(rows, automaton, packed="packed", decoded="decoded"), automaton, out="again").orderBy("doc_id").collect()
+    assert [r.text for r in got] == texts
+    for r in got:
+        assert bytes(r.packed) == np.array(r.ids, dtype="<u4").tobytes() and r.decoded == r.again
