@@ -1,6 +1,7 @@
 import random
 
 from lexstrata.operators import graph, reports
+from lexstrata.plans import queries
 from lexstrata.sources import ingest
 
 
@@ -10,6 +11,26 @@ def test_subject_of(spark):
     assert got == ["sports", "history", "", "", ""]
 
 
+def test_subject_mix_reads_whole_texts(spark, tmp_path):
+    """Subjects told by a text's start, middle and end all count, however long it is, beside those told by title and subtopic."""
+    words = "alfa " * 4000
+    texts = (f"The orchestra's film. {words}", f"{words} a cathedral and a church {words}", f"{words} a hospital", words, "")
+    # Ids to which the corpus adds no words of a subject.
+    ids = [i for i in range(140) if i % 7 > 4]
+    rows = [(i, texts[k % 5], "en", "src1", len(texts[k % 5])) for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.told_by, r.subject): (r.documents, r.share) for r in queries.subject_mix(spark, str(tmp_path)).collect()}
+    coded = sum(i % 10 == 7 for i in ids)
+    assert len(ids) == 40 and got == {
+        ("text", "arts, language, and culture"): (8, 0.2), ("text", "religion"): (8, 0.2), ("text", "health"): (8, 0.2), ("title", "science and technology"): (coded, coded / 40),
+    }
+
+
+def test_subject_bounds_are_ascii(spark):
+    rows = spark.createDataFrame([("The écwar",), ("éwar",), ("WAR.",), ("warß",), ("_war",), (None,)], "t string")
+    assert [r.s for r in rows.select(reports.subject_of(rows.t).alias("s")).collect()] == ["", "history", "history", "history", "", ""]
+
+
 def test_year_span(spark):
     rows = spark.createDataFrame([(2001,), (2001,), (2003,), (2003,), (0,), (None,)], "year int")
     assert tuple(reports.year_span(rows).first()) == (4, 2001, 2003, 2001, 0.5, False)
