@@ -26,6 +26,16 @@ def test_subject_mix_reads_whole_texts(spark, tmp_path):
     }
 
 
+def test_corpus_lines_rank_subjects_of_texts(spark):
+    """Each subject that texts tell of has a line, beside the three largest and the thin ones of titles."""
+    names = [name for name, _ in reports.SUBJECTS]
+    rows = [("Wikipedia", "India", "history", name) for k, name in enumerate(names) for _ in range(20 - k)] + [("uploads", "", "", ""), ("uploads", "", "", None)]
+    nodes = spark.createDataFrame(rows, "collection string, topic string, subject string, text_subject string")
+    got = [tuple(r) for r in reports.corpus_lines(nodes).collect()]
+    assert sorted(r[1:] for r in got if r[0] == "text_subject") == sorted((name, 20 - k, k + 1) for k, name in enumerate(names))
+    assert [r for r in got if r[0] in ("subject", "thin")] == [("subject", "history", len(rows) - 2, 1)]
+
+
 def test_subject_bounds_are_ascii(spark):
     rows = spark.createDataFrame([("The écwar",), ("éwar",), ("WAR.",), ("warß",), ("_war",), (None,)], "t string")
     assert [r.s for r in rows.select(reports.subject_of(rows.t).alias("s")).collect()] == ["", "history", "history", "history", "", ""]
